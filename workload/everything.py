@@ -1,3 +1,3 @@
 """Importing this module registers all queries."""
 
-from workload import ingest_queries, stage_queries  # noqa: F401
+from workload import ingest_queries, stage_queries, text_queries  # noqa: F401
