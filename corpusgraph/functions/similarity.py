@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def jaro_winkler_score(a: str, b: str) -> float:
@@ -44,7 +45,7 @@ def jaro_winkler_score(a: str, b: str) -> float:
     return score
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity of two string columns, one Arrow batch at a time."""
     return pd.Series([jaro_winkler_score(x or "", y or "") for x, y in zip(a, b)], dtype="float64")

@@ -63,7 +63,7 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int = 10, exclude_self:
         "point_id", "embedding",
     )
     right = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))).cast("bigint").alias("pb"),
+        F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1)).cast("array<bigint>")).alias("pb"),
         F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"),
         "query_id", "embedding",
     )
