@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import strip
+from corpusgraph.session import spread
 
 MENTIONED = "MENTIONED_IN"
 
@@ -92,7 +93,8 @@ def shared_pairs(memberships: DataFrame, block: int = 1000) -> DataFrame:
     cut = cut.withColumn("mine", F.pmod(F.xxhash64("member"), "parts").cast("int"))
     low = cut.select("grp", F.col("mine").alias("lo"), F.explode(F.sequence("mine", F.col("parts") - 1)).alias("hi"), F.col("member").alias("m1"))
     high = cut.select("grp", F.explode(F.sequence(F.lit(0), "mine")).alias("lo"), F.col("mine").alias("hi"), F.col("member").alias("m2"))
-    pairs = low.join(high, ["grp", "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("m1") < F.col("m2")))
+    key = ["grp", "lo", "hi"]
+    pairs = spread(low, *key).join(spread(high, *key), key).where((F.col("lo") < F.col("hi")) | (F.col("m1") < F.col("m2")))
     return pairs.groupBy(F.least("m1", "m2").alias("a"), F.greatest("m1", "m2").alias("b")).agg(F.count("*").alias("count"))
 
 

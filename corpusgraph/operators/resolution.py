@@ -17,7 +17,7 @@ from corpusgraph.functions.names import normalize_name
 from corpusgraph.functions.similarity import jaro_winkler
 from corpusgraph.operators.algorithms import connected_components
 from corpusgraph.operators.graph import MENTIONED
-from corpusgraph.session import broadcast_if_small, cut_lineage
+from corpusgraph.session import broadcast_if_small, cut_lineage, spread
 
 MATCH = 0.95
 AMBIGUOUS = 0.85
@@ -46,15 +46,14 @@ def _needed(threshold: float, shared: int) -> float:
     return 3 * jaro - 1
 
 
-def common_characters(f1: Column, f2: Column) -> Column:
-    """Size of the multiset intersection of the characters of two strings."""
+def signature(marks: Column) -> Column:
+    """A 64-bit set of hashed marks.
 
-    def times(form: Column, char: Column) -> Column:
-        return F.length(form) - F.length(F.replace(form, char, F.lit("")))
-
-    return F.aggregate(
-        F.array_distinct(F.split(f1, "")), F.lit(0), lambda acc, c: acc + F.least(times(f1, c), times(f2, c))
-    )
+    A bit that only one of two signatures has stands for at least one mark the
+    other form lacks, which bounds the common marks from above.
+    """
+    bit = lambda m: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(m), F.lit(64)).cast("int"))
+    return F.aggregate(marks, F.lit(0).cast("bigint"), lambda acc, m: acc.bitwiseOR(bit(m)))
 
 
 def _index_keys(marks: Column, form: Column, threshold: float, first_tier: Column) -> Column:
@@ -118,38 +117,35 @@ def candidate_forms(keyed: DataFrame, threshold: float = AMBIGUOUS, part_rows: i
 
         return F.transform(chars, numbered)
 
-    marked = cut_lineage(forms.withColumn("marks", let(F.split("form", ""), marks)))
+    marked = spread(forms, "form").withColumn("marks", let(F.split("form", ""), marks))
+    marked = cut_lineage(marked.withColumn("sig", signature(F.col("marks"))))
     counts = marked.select("label", "block", F.explode("marks").alias("mark")).groupBy("label", "block", "mark").agg(F.count("*").alias("n"))
     # At most alphabet times name length entries per block, one row per block.
     rarity = counts.groupBy("label", "block").agg(F.map_from_entries(F.collect_list(F.struct("mark", "n"))).alias("n_of"))
     by_rarity = F.array_sort(F.transform("marks", lambda m: F.struct(F.element_at(F.col("n_of"), m).alias("n"), m.alias("mark"))))
     first_tier = F.length("block")  # a block by first character has no pairs of tier 0
     ordered = marked.join(broadcast_if_small(rarity), ["label", "block"]).select(
-        "label", "block", "form",
+        "label", "block", "form", "sig",
         let(F.transform(by_rarity, lambda r: r["mark"]), lambda m: _index_keys(m, F.col("form"), threshold, first_tier)).alias("keys"),
     )
     group = ["label", "block", "key"]
-    keys = cut_lineage(ordered.select("label", "block", "form", F.explode("keys").alias("key")))
+    keys = cut_lineage(ordered.select("label", "block", "form", "sig", F.explode("keys").alias("key")))
     parts = keys.groupBy(*group).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1")
     cut = keys.join(parts.drop("n"), group).withColumn("mine", F.pmod(F.xxhash64("form"), F.col("parts").cast("bigint")).cast("int"))
-    low = cut.select(*group, F.col("mine").alias("lo"), F.explode(F.sequence("mine", F.col("parts") - 1)).alias("hi"), F.col("form").alias("f1"))
-    high = cut.select(*group, F.explode(F.sequence(F.lit(0), "mine")).alias("lo"), F.col("mine").alias("hi"), F.col("form").alias("f2"))
-
-    la, lb = F.length("f1"), F.length("f2")
-    shared = F.lit(0)
-    for i in (4, 3, 2, 1):
-        same = (F.substring("f1", 1, i) == F.substring("f2", 1, i)) & (F.least(la, lb) >= i)
-        shared = F.when((shared == 0) & same, i).otherwise(shared)
-    boost = F.col("shared") * 0.1
-    least = 3 * (F.lit(threshold) - boost) / (1 - boost) - 1
-    inverse = 1 / la + 1 / lb
-    distinct = ((F.col("lo") < F.col("hi")) | (F.col("f1") < F.col("f2"))) & (F.col("f1") != F.col("f2"))
-    met = low.join(high, [*group, "lo", "hi"]).where(distinct).withColumn("shared", shared)
-    kept = met.where(
-        (F.substring("key", 1, 1).cast("int") == F.col("shared"))
-        & (F.least(la, lb) * inverse >= least - 1e-9)
-        & (common_characters(F.col("f1"), F.col("f2")) * inverse >= least - 1e-9)
-    )
+    low = cut.select(*group, F.col("mine").alias("lo"), F.explode(F.sequence("mine", F.col("parts") - 1)).alias("hi"), F.col("form").alias("f1"), F.col("sig").alias("s1"))
+    high = cut.select(*group, F.explode(F.sequence(F.lit(0), "mine")).alias("lo"), F.col("mine").alias("hi"), F.col("form").alias("f2"), F.col("sig").alias("s2"))
+
+    met = spread(low, *group, "lo", "hi").join(spread(high, *group, "lo", "hi"), [*group, "lo", "hi"]).withColumn("tier", F.substring("key", 1, 1).cast("int"))
+    # The key guarantees ``tier`` equal leading characters; the next one decides.
+    exact = (F.col("tier") == 4) | (F.expr("substr(f1, tier + 1, 1)") != F.expr("substr(f2, tier + 1, 1)"))
+    once = (F.col("f1") != F.col("f2")) & ((F.col("lo") < F.col("hi")) | (F.col("f1") < F.col("f2")))
+    inverse = 1 / F.length("f1") + 1 / F.length("f2")
+    least = F.element_at(F.array(*[F.lit(_needed(threshold, t) - 1e-9) for t in range(5)]), F.col("tier") + 1)
+    fits = F.least(F.length("f1"), F.length("f2")) * inverse >= least
+    only_1 = F.bit_count(F.col("s1").bitwiseAND(F.bitwise_not("s2")))
+    only_2 = F.bit_count(F.col("s2").bitwiseAND(F.bitwise_not("s1")))
+    enough = F.least(F.length("f1") - only_1, F.length("f2") - only_2) * inverse >= least
+    kept = met.where(once & exact & fits & enough)
     return kept.select("label", "block", F.least("f1", "f2").alias("a"), F.greatest("f1", "f2").alias("b")).distinct()
 
 

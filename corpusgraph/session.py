@@ -68,3 +68,12 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when its measured size allows, else unchanged."""
     return F.broadcast(df) if fits_broadcast(df, rows) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` over all shuffle partitions.
+
+    Adaptive execution merges partitions by their bytes.  Where few bytes mean
+    much work, as in joins that compare pairs, the number is fixed instead.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

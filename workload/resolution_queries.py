@@ -193,12 +193,12 @@ def pagerank(spark, sf):
 
 @query("communities")
 def communities(spark, sf):
-    return algorithms.communities(entity_nodes(spark, sf), members(spark, sf), weight=F.col("count"))
+    return algorithms.communities(entity_nodes(spark, sf), members(spark, sf), weight=F.col("count"), rounds=3, levels=2)
 
 
 @query("betweenness")
 def betweenness(spark, sf):
-    return algorithms.betweenness(entity_nodes(spark, sf), members(spark, sf), samples=16).withColumn("betweenness", F.round("betweenness", 6))
+    return algorithms.betweenness(entity_nodes(spark, sf), members(spark, sf), samples=8).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @query(
