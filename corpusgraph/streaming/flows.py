@@ -206,3 +206,10 @@ def pipeline_batch(path: str, size: int = 6000, overlap: int = 500) -> Callable[
             rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
     return body
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version written by ``upsert_latest``."""
+    rows = spark.read.parquet(path)
+    newest = rows.agg(F.max("version").alias("v")).scalar()
+    return rows.where(F.col("version") == newest).drop("version")
