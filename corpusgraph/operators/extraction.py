@@ -39,7 +39,10 @@ def parse_entity_json(raw: Column) -> Column:
     dropped; an answer with nothing usable gives null.
     """
     block = F.regexp_extract(raw, r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}", 0)
-    strict, inner = F.try_parse_json(raw), F.try_parse_json(block)
+    whole = strip(raw)
+    # The parser stops after the first value, so trailing prose is ruled out here.
+    alone = (whole == block) | ((block == "") & whole.rlike(r"(?s)^\{.*\}$"))
+    strict, inner = F.when(alone, F.try_parse_json(raw)), F.try_parse_json(block)
     doc = F.when(strict.isNotNull(), strict).otherwise(inner)
 
     def strings(kind: str) -> Column:
