@@ -34,27 +34,39 @@ def chunk_column(text: Column, size: int = 6000, overlap: int = 500, most: int |
         start = state["start"]
         full = start + size
         zone = full - tail  # first character of the break zone, 0-based
-        sentence = F.length(F.regexp_extract(text.substr(zone + 1, F.lit(tail + 1)), r"(?s)^(.*[.!?\n])[ \n\t]", 1))
-        word = F.length(F.regexp_extract(text.substr(zone + 1, F.lit(tail)), r"(?s)^(.*[ \n\t])", 1))
-        end = (
-            F.when(full >= n, n).when(sentence > 0, zone + sentence).when(word > 0, zone + word).otherwise(full)
+        breaks = F.struct(
+            F.length(F.regexp_extract(text.substr(zone + 1, F.lit(tail + 1)), r"(?s)^(.*[.!?\n])[ \n\t]", 1)).alias("sentence"),
+            F.length(F.regexp_extract(text.substr(zone + 1, F.lit(tail)), r"(?s)^(.*[ \n\t])", 1)).alias("word"),
         )
-        # The stop test needs the unclamped end of the last window.
-        reach = F.when(full >= n, full).otherwise(end)
-        body = strip(text.substr(start + 1, end - start))
-        piece = F.struct(
-            F.size(state["chunks"]).alias("chunk_index"), start.alias("start_char"), end.cast("int").alias("end_char"), body.alias("text")
-        )
-        chunks = F.when(body != "", F.concat(state["chunks"], F.array(piece))).otherwise(state["chunks"])
-        last = F.when(body != "", start).otherwise(state["last"])
-        back = reach - overlap
-        following = F.when((last >= 0) & (back <= last), reach).otherwise(back)
-        after = following if strict else F.when(end >= n, n).otherwise(following)
+
+        def window(found: Column) -> Column:
+            # ``reach`` is the end before it is clamped to the text.
+            return (
+                F.when(full >= n, full)
+                .when(found["sentence"] > 0, zone + found["sentence"])
+                .when(found["word"] > 0, zone + found["word"])
+                .otherwise(full)
+            )
+
+        def close(reach: Column) -> Column:
+            return let(strip(text.substr(start + 1, F.least(reach, n) - start)), lambda body: advance_to(reach, body))
+
+        def advance_to(reach: Column, body: Column) -> Column:
+            piece = F.struct(
+                F.size(state["chunks"]).alias("chunk_index"), start.alias("start_char"),
+                F.least(reach, n).cast("int").alias("end_char"), body.alias("text"),
+            )
+            last = F.when(body != "", start).otherwise(state["last"])
+            back = reach - overlap
+            following = F.when((last >= 0) & (back <= last), reach).otherwise(back)
+            after = following if strict else F.when(reach >= n, n).otherwise(following)
+            grown = F.when(body != "", F.concat(state["chunks"], F.array(piece))).otherwise(state["chunks"])
+            return F.struct(after.cast("int").alias("start"), last.cast("int").alias("last"), grown.alias("chunks"))
+
         live = start < n
         if most is not None:
             live = live & (F.size(state["chunks"]) < most)
-        moved = F.struct(after.cast("int").alias("start"), last.cast("int").alias("last"), chunks.alias("chunks"))
-        return F.when(live, moved).otherwise(state)
+        return F.when(live, let(breaks, lambda found: let(window(found), close))).otherwise(state)
 
     empty = F.struct(
         F.lit(0).alias("start"), F.lit(-1).alias("last"), F.array().cast(f"array<{CHUNK}>").alias("chunks")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import string
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -105,6 +105,33 @@ def capitalized_runs(docs: DataFrame, min_words: int = 1, shortest: int = 3, lon
     )
 
 
+def find_spans(text: str, names: list[str]) -> list[dict]:
+    """Whole-word occurrences of the names in one text, leftmost first, none overlapping."""
+    low = text.lower()
+    if len(low) != len(text):  # lower-casing moved positions; compare character by character
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    word = frozenset(string.ascii_letters + string.digits + "_")
+
+    def edge(i: int) -> bool:
+        return (i > 0 and text[i - 1] in word) != (i < len(text) and text[i] in word)
+
+    hits = []
+    for order, name in enumerate(names):
+        wanted = name.lower()
+        at = low.find(wanted) if wanted else -1
+        while at >= 0:
+            whole = edge(at) and edge(at + len(wanted))
+            if whole:
+                hits.append((at, order, len(wanted), name))
+            at = low.find(wanted, at + (len(wanted) if whole else 1))
+    kept, free = [], 0
+    for start, _, length, name in sorted(hits):
+        if start >= free:
+            kept.append({"start_char": start, "length": length, "name": name})
+            free = start + length
+    return kept
+
+
 def entity_spans(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     """Whole-word, case-insensitive, non-overlapping occurrences, leftmost first.
 
@@ -113,19 +140,7 @@ def entity_spans(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     """
     @F.pandas_udf("array<struct<start_char:int,length:int,name:string>>")
     def spans(texts: pd.Series, names: pd.Series) -> pd.Series:
-        out = []
-        for text, listed in zip(texts, names):
-            hits = []
-            for order, name in enumerate(listed):
-                word = re.compile(rf"(?a:\b){re.escape(name)}(?a:\b)", re.IGNORECASE)
-                hits += [(m.start(), order, m.end() - m.start(), name) for m in word.finditer(text)]
-            kept, free = [], 0
-            for start, _, length, name in sorted(hits):
-                if start >= free:
-                    kept.append({"start_char": start, "length": length, "name": name})
-                    free = start + length
-            out.append(kept)
-        return pd.Series(out)
+        return pd.Series([find_spans(text, listed) for text, listed in zip(texts, names)])
 
     listed = mentions.groupBy("doc_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
     found = docs.select("doc_id", "text").join(listed, "doc_id").select("doc_id", spans("text", "names").alias("s"))

@@ -20,6 +20,16 @@ def read_table(spark: SparkSession, path: str, jdbc: dict | None = None) -> Data
     return spark.read.parquet(path)
 
 
+def widen(rows: DataFrame, key: str) -> DataFrame:
+    """Spread a table that arrives in fewer splits than there are cores.
+
+    Large tables have more splits than cores and pass through unchanged, so
+    nothing is shuffled where shuffling would cost.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def extension(path: Column) -> Column:
     """Lower-case extension without the dot, empty when there is none."""
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))

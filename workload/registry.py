@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusgraph.sources.files import widen
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -24,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+# Text is expensive per row; a small table in one split would be one task's work.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return widen(rows, TEXT_KEYS[name]) if name in TEXT_KEYS else rows
