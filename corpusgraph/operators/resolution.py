@@ -164,6 +164,7 @@ def score_pairs(keyed: DataFrame, threshold: float = AMBIGUOUS, floor: float | N
 
     Pairs with equal forms are included at similarity 1.
     """
+    keyed = cut_lineage(keyed)
     scored = score_forms(candidate_forms(keyed, threshold))
     if floor is not None:
         scored = scored.where(F.col("similarity") >= floor)
@@ -207,6 +208,7 @@ def match_links(keyed: DataFrame, mentions: DataFrame, match: float = MATCH, amb
     match of two forms links one entity of each; the ambiguous band needs every
     entity pair, as each must share a document itself.
     """
+    keyed = cut_lineage(keyed)
     scored = cut_lineage(score_forms(candidate_forms(keyed, ambiguous)).where(F.col("similarity") >= ambiguous))
     who = keyed.where("normalized <> ''").select("label", "block", F.col("normalized").alias("form"), "id")
     head = who.groupBy("label", "block", "form").agg(F.min("id").alias("head"))

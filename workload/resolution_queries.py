@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions.similarity import jaro_winkler
 from corpusgraph.operators import algorithms, extraction, graph, resolution
+from corpusgraph.session import cut_lineage
 from workload.graph_standins import CO_MENTIONED, GRAPH, edges, members, mentions, nodes
 from workload.registry import query, table
 from workload.text_queries import RUNS_SQL
@@ -88,9 +89,15 @@ def merge_groups(spark, sf):
     return groups(spark, sf)
 
 
-def canonical(spark, sf):
+def canonical(spark, sf, grouped=None):
     e = entities(spark, sf)
-    return resolution.canonicalize(e.select("id", "name"), groups(spark, sf), e.select("id", "connections"))
+    grouped = groups(spark, sf) if grouped is None else grouped
+    return resolution.canonicalize(e.select("id", "name"), grouped, e.select("id", "connections"))
+
+
+def mapping(spark, sf):
+    grouped = cut_lineage(groups(spark, sf))
+    return resolution.canonical_map(grouped, canonical(spark, sf, grouped))
 
 
 @query(
@@ -108,8 +115,7 @@ def canonicalize(spark, sf):
  (SELECT {ENTITY_ID} AS src, doc_id AS dst, mention_count FROM runs) e LEFT JOIN moved ON moved.id = src GROUP BY 1, 2""",
 )
 def rewrite_edges(spark, sf):
-    mapping = resolution.canonical_map(groups(spark, sf), canonical(spark, sf))
-    return resolution.rewrite_edges(text_mentions(spark, sf), mapping).select("src", "dst", "count")
+    return resolution.rewrite_edges(text_mentions(spark, sf), mapping(spark, sf)).select("src", "dst", "count")
 
 
 @query(
@@ -118,8 +124,7 @@ def rewrite_edges(spark, sf):
  round(100.0::DOUBLE * count(moved.id) / count(*), 1) AS reduction_pct FROM ent LEFT JOIN moved USING (id) GROUP BY 1""",
 )
 def resolution_report(spark, sf):
-    mapping = resolution.canonical_map(groups(spark, sf), canonical(spark, sf))
-    return resolution.resolution_report(entities(spark, sf), mapping)
+    return resolution.resolution_report(entities(spark, sf), mapping(spark, sf))
 
 
 # Relational entities: every fourth name is already known, with stale aliases.
