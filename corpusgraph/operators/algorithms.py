@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.session import broadcast_if_small, cut_lineage
+from corpusgraph.session import broadcast_if_small, cut_lineage, spread
 
 PART_ROWS = 100_000
 
@@ -55,16 +55,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
     """
     adjacency = undirected(edges).withColumn("weight", F.lit(1.0))
     salted, facts = cut_adjacency(adjacency, part_rows)
-    salted = cut_lineage(salted.select("src", "salt", "dst"))
-    state = cut_lineage(
-        nodes.select("id").join(facts.select("id", "out", "parts"), "id", "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("rank", F.lit(1.0 - damping))
+    # Partitioned once by the loop's join key: no round shuffles the edges again.
+    salted = cut_lineage(spread(salted.select("src", "salt", "dst"), "src", "salt"))
+    # The static node facts; each round reads the previous ranks exactly once, so plans grow by a line per round.
+    base = cut_lineage(
+        nodes.select("id").join(facts.select("id", "out", "parts"), "id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     )
+    state = base.withColumn("rank", F.lit(1.0 - damping))
     for i in range(1, iterations + 1):
         given = salted.join(per_salt(state.where("out IS NOT NULL")), ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg(
             F.sum(F.col("rank") / F.col("out")).alias("got")
         )
-        state = state.drop("rank").join(given, "id", "left").withColumn(
+        state = base.join(given, "id", "left").withColumn(
             "rank", F.lit(1.0 - damping) + damping * F.coalesce("got", F.lit(0.0))
         ).drop("got")
         if i % every == 0 and i < iterations:
@@ -151,7 +153,7 @@ def _local_moves(adjacency: DataFrame, rounds: int, tolerance: float, part_rows:
     if not total:
         return None, False
     salted, facts = cut_adjacency(adjacency.where("src <> dst"), part_rows)
-    salted = cut_lineage(salted)
+    salted = cut_lineage(spread(salted, "src", "salt"))
     strength = cut_lineage(
         adjacency.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
         .join(facts.select("id", "parts"), "id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -205,7 +207,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, samples: int = 1000, seed: i
     """
     adjacency = undirected(edges.where(F.col("src") != F.col("dst")))
     salted, facts = cut_adjacency(adjacency, part_rows)
-    salted = cut_lineage(salted.select("src", "salt", "dst"))
+    salted = cut_lineage(spread(salted.select("src", "salt", "dst"), "src", "salt"))
     parts = cut_lineage(facts.select("id", "parts"))
     draw = F.md5(F.concat_ws("_", F.col("id").cast("string"), F.lit(str(seed))))
     sources = nodes.select("id").orderBy(draw, "id").limit(samples)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.operators.graph import both_ways, restrict_types
-from corpusgraph.session import broadcast_if_small, cut_lineage
+from corpusgraph.session import broadcast_if_small, cut_lineage, spread
 
 
 def clamp_depth(depth, most: int = 4) -> int:
@@ -24,7 +24,8 @@ def hop_levels(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
     The parent is the smallest neighbour one hop closer.
     """
-    ways = both_ways(edges).select("node", "other").distinct()
+    # Written once, partitioned by the node the hops join on.
+    ways = cut_lineage(spread(both_ways(edges).select("node", "other").distinct(), "node"))
     frontier = cut_lineage(starts.select("id", F.lit(0).alias("distance"), F.lit(None).cast("bigint").alias("parent")))
     seen = frontier
     for step in range(1, depth + 1):
@@ -67,7 +68,7 @@ def shortest_path(edges: DataFrame, source: int, target: int, most: int = 6, typ
     kept = edges.where(F.col("type").isin(types)) if types else edges
     spark = edges.sparkSession
     starts = spark.createDataFrame([(source,)], "id bigint")
-    ways = both_ways(kept).groupBy("node", "other").agg(F.min("type").alias("type"))
+    ways = cut_lineage(spread(both_ways(kept).groupBy("node", "other").agg(F.min("type").alias("type")), "node"))
     frontier = cut_lineage(starts.select("id", F.lit(0).alias("distance"), F.lit(None).cast("bigint").alias("parent")))
     levels = [frontier]
     seen = frontier
