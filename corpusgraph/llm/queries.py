@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusgraph.llm import secrets
+from corpusgraph.llm import linededup, ngramjoin, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,3 +30,40 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op1_secret_scan")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf, "documents"))
+
+
+_KEY = r"translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op2_line_dedup", rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+keyed AS (SELECT doc_id, pos, line, {_KEY} AS key FROM lines),
+hot AS (SELECT key, max(doc_id) AS stays FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT k.*, coalesce(h.stays <> k.doc_id, false) AS gone FROM keyed k LEFT JOIN hot h ON k.key = h.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"), least=20, times=3, keep="last")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), x -> x <> '')"
+
+
+@query("op6_jaccard_join", rf"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' ')) END) AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS common
+           FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4),
+links AS (SELECT a, b FROM shared WHERE 100 * common >= 85 * (na + nb - common)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, at) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.id, s.b FROM reach r JOIN sides s ON s.a = r.at)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
+FROM sets s JOIN (SELECT id, min(at) AS component_id FROM reach GROUP BY id) c ON c.id = s.doc_id""")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf, "documents"), words=4, percent=85)
