@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import linededup, ngramjoin, secrets
+from corpusgraph.llm import html, linededup, ngramjoin, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,8 +62,25 @@ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) A
            FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4),
 links AS (SELECT a, b FROM shared WHERE 100 * common >= 85 * (na + nb - common)),
 sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(id, at) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.id, s.b FROM reach r JOIN sides s ON s.a = r.at)
+reach(id, near) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.id, s.b FROM reach r JOIN sides s ON s.a = r.near)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
-FROM sets s JOIN (SELECT id, min(at) AS component_id FROM reach GROUP BY id) c ON c.id = s.doc_id""")
+FROM sets s JOIN (SELECT id, min(near) AS component_id FROM reach GROUP BY id) c ON c.id = s.doc_id""")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return ngramjoin.jaccard_components(table(spark, sf, "documents"), words=4, percent=85)
+
+
+@query("op3_main_text")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    found = html.extract_text(table(spark, sf, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op4_shards")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    slim = table(spark, sf, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32")
+    )
+    return sharding.shard_rows(slim, 16).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
