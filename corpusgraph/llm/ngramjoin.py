@@ -25,8 +25,11 @@ from pyspark.sql.window import Window
 from corpusgraph.llm.common import WordHashes, components, mix, rows_of, shingles, stored
 from corpusgraph.session import broadcast_if_small
 
-#: Bits of the sketch that bounds a pair's symmetric difference from below.
-BITS = 2048
+#: Bits per shingle of the sketch that bounds a pair's symmetric difference from
+#: below, its least size, and the size of the small sketch that buckets carry.
+BITS_PER_SHINGLE = 3
+LEAST_BITS = 512
+MINI = LEAST_BITS // 8
 #: Upper end over lower end of a size band.
 BAND = 1.3
 #: Rows of a bucket that one comparison cell takes at a time.
@@ -84,13 +87,19 @@ def piece_keys(found: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parity_bits(found: np.ndarray) -> bytes:
-    """One bit per shingle, XORed into ``BITS`` bits."""
-    odd = np.bincount((found & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """One bit per shingle, XORed into a power of two of bits that grows with the set."""
+    size = max(LEAST_BITS, 1 << (BITS_PER_SHINGLE * len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """The sketch of ``size`` bytes that the same set has: halves XORed onto each other."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
+
+
 def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, node, twin, bits, keys`` per row; ``node`` names the shingle set.
+    """``doc_id, n_shingles, node, twin, bits, mini, keys`` per row; ``node`` names the shingle set.
 
     Copies met again in the same task carry no keys: their set has offered its pieces.
     """
@@ -99,30 +108,30 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
         seen, done = WordHashes(), set()
         for whole in batches:
             for batch in rows_of(whole):
-                size, node, twin, bits, keys = [], [], [], [], []
+                size, node, twin, bits, mini, keys = [], [], [], [], [], []
                 for text in batch.column("text").to_pylist():
                     found = shingles(text, words, seen)
                     size.append(len(found))
                     if not len(found):
-                        node.append(None), twin.append(None), bits.append(None), keys.append(None)
+                        node.append(None), twin.append(None), bits.append(None), mini.append(None), keys.append(None)
                         continue
                     with np.errstate(over="ignore"):
                         name = int(mix(found).sum(dtype=np.uint64).astype(np.int64))
                         other = int(mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64))
                     node.append(name), twin.append(other)
                     if name in done:
-                        bits.append(None), keys.append(None)
+                        bits.append(None), mini.append(None), keys.append(None)
                         continue
                     if len(done) >= 1_000_000:
                         done.clear()
                     done.add(name)
-                    bits.append(parity_bits(found)), keys.append(piece_keys(found, percent).view(np.int64))
+                    bits.append(parity_bits(found)), mini.append(folded(bits[-1], MINI).tobytes()), keys.append(piece_keys(found, percent).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "node", "twin", "bits", "keys"],
+                    [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(bits, pa.binary()), pa.array(mini, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "node", "twin", "bits", "mini", "keys"],
                 )
 
-    schema = "doc_id long, n_shingles long, node long, twin long, bits binary, keys array<long>"
+    schema = "doc_id long, n_shingles long, node long, twin long, bits binary, mini binary, keys array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -131,10 +140,6 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _matrix(bits) -> np.ndarray:
-    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), BITS // 64)
-
-
 def _near(sizes_a, sizes_b, gap, percent: int) -> np.ndarray:
     """Pairs whose sizes and sketch distance still allow a link."""
     small, total = np.minimum(sizes_a, sizes_b), sizes_a + sizes_b
@@ -148,7 +153,8 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def passes(na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
-        return pd.Series(_near(na.to_numpy(), nb.to_numpy(), apart(_matrix(sa), _matrix(sb)), percent))
+        gap = [int(apart(folded(x, k), folded(y, k))) for x, y, k in zip(sa, sb, np.minimum(sa.str.len(), sb.str.len()), strict=True)]
+        return pd.Series(_near(na.to_numpy(), nb.to_numpy(), np.array(gap, np.int64), percent))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(passes("na", "nb", "sa", "sb")).select("a", "b")
 
@@ -183,7 +189,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """``a, b``: members of one bucket, in different components, that pass the bounds.
 
-    ``members`` has ``key, node, comp, n, bits``. A bucket of m rows is cut into
+    ``members`` has ``key, node, comp, n, mini``. A bucket of m rows is cut into
     ceil(m / BLOCK) blocks; each pair of blocks is a cell of its own, so no task
     holds a whole large bucket, and only pairs within the bounds are returned.
     """
@@ -193,28 +199,45 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         members.join(mixed, "key")
         .withColumn("at", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-        .select("key", "node", "comp", "n", "bits", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+        .select(F.xxhash64("key", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), (F.col("at") != F.col("other")).alias("two"), "at", "node", "comp", "n", "mini")
     )
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
-        left = rows[rows["at"] == i]
-        right = rows if i == j else rows[rows["at"] == j]
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            sr, cr = _matrix(right["bits"]), right["comp"].to_numpy()
-            nr, idr = right["n"].to_numpy(), right["node"].to_numpy()
-            for node, comp, n, bits in zip(left["node"], left["comp"], left["n"], left["bits"], strict=True):
-                pick = (cr != comp) & ((idr > node) if i == j else True)
-                if not pick.any():
-                    continue
-                gap = apart(sr[pick], np.frombuffer(bits, np.uint64))
-                near = idr[pick][_near(nr[pick], n, gap, percent)]
-                out_a += [min(node, x) for x in near]
-                out_b += [max(node, x) for x in near]
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
-
-    return cells.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, told = None, set()
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            cell = rows["cell"].to_numpy()
+            # The last cell may go on in the next batch.
+            end = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
+            rest = rows.slice(end)
+            yield from near(rows.slice(0, end), told)
+        if rest is not None:
+            yield from near(rest, told)
+
+    def near(rows: pa.Table, told: set) -> Iterator[pa.RecordBatch]:
+        if rows.num_rows < 2:
+            return
+        cell, two, at, node, comp, n = (rows[c].to_numpy() for c in ("cell", "two", "at", "node", "comp", "n"))
+        mini = np.frombuffer(b"".join(rows["mini"].to_pylist()), np.uint64).reshape(len(cell), MINI // 8)
+        at_a = np.arange(len(cell) - 1)
+        for step in range(1, len(cell)):
+            at_a = at_a[at_a + step < len(cell)]
+            at_a = at_a[cell[at_a] == cell[at_a + step]]
+            if not len(at_a):
+                return
+            a, b = at_a, at_a + step
+            pick = (comp[a] != comp[b]) & (~two[a] | (at[a] != at[b]))
+            a, b = a[pick], b[pick]
+            pick = _near(n[a], n[b], apart(mini[a], mini[b]), percent)
+            found = np.stack([np.minimum(node[a[pick]], node[b[pick]]), np.maximum(node[a[pick]], node[b[pick]])], axis=1)
+            if len(told) > 1_000_000:
+                told.clear()
+            fresh = [p for p in map(tuple, found.tolist()) if p not in told]
+            told.update(fresh)
+            if fresh:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in fresh], pa.int64()), "b": pa.array([p[1] for p in fresh], pa.int64())})
+
+    return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(compare, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -230,7 +253,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     """
     feats = stored(sketches(docs, words, percent), "sketches")
     nodes = stored(
-        feats.filter("bits IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.min("twin").alias("t0"), F.max("twin").alias("t1")),
+        feats.filter("bits IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("mini").alias("mini"), F.min("twin").alias("t0"), F.max("twin").alias("t1")),
         "nodes",
     )
     if nodes.filter("t0 <> t1").limit(1).count():
@@ -246,8 +269,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     comps = stored(components(edges), "comps")
     # Then whatever shares a bucket across components.
     members = stars.select("key", "node").union(stars.select("key", F.col("head").alias("node"))).distinct()
-    named = nodes.join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "bits")
-    more = verified(cross_pairs(members.join(named, "node"), percent), nodes, docs, words, percent)
+    named = nodes.join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "mini")
+    more = verified(near_pairs(cross_pairs(members.join(named, "node"), percent), nodes, percent), nodes, docs, words, percent)
     comps = components(edges.union(more))
 
     # Names to smallest doc_id, over the nodes and then over the rows.

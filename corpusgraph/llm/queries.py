@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import html, linededup, ngramjoin, secrets, sharding
+from corpusgraph.llm import decontam, html, linededup, mixing, ngramjoin, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,13 +50,13 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), x -> x <> '')"
+_WORDS = r"[x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+') if x <> '']"
 
 
 @query("op6_jaccard_join", rf"""
 WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' ')) END) AS s FROM words),
+         ELSE [array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)] END) AS s FROM words),
 items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS common
            FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4),
@@ -84,3 +84,30 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_rows(slim, 16).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+#: Target shares of tokens by domain of the labelled table.
+WEIGHTS = {"clean": 0.8, "junk": 0.1, "toxic": 0.1}
+
+
+@query("op5_mixing")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    labelled = mixing.domains(table(spark, sf, "labels"))
+    rates = mixing.mix_rates(table(spark, sf, "documents"), labelled, WEIGHTS)
+    return rates.select("doc_id", "tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(WEIGHTS)), "rate", "copies")
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.graded(table(spark, sf, "labels")))
+    rated = quality.rate(docs, model)
+    return rated.select(
+        "doc_id", "expected_grade", F.col("tails")[0].alias("p_above_harmful"), F.col("tails")[1].alias("p_good"),
+        quality.accepted(F.col("tails")).alias("keep"),
+    )
+
+
+@query("op10_decontamination")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
