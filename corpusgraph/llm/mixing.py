@@ -136,13 +136,13 @@ def fit_rates(rated: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, pull:
 
 
 def mix_rates(
-    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None,
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], growth: float = 1.0,
     sample: int = SAMPLE, low: float = 0.0, high: float = 10.0, seed: int = 17, rounding: str = "sampled",
 ) -> DataFrame:
     """``doc_id, tokens, p, rate, copies`` per row of ``docs``.
 
-    ``weights`` are the domains' shares of ``total`` tokens (all tokens of
-    ``docs`` if None). ``rate`` is the expected number of copies; ``copies`` is
+    ``weights`` are the domains' shares of ``growth`` times the tokens of
+    ``docs``. ``rate`` is the expected number of copies; ``copies`` is
     an integer, drawn by a hash of doc_id and ``seed`` so that its mean is the
     rate (``rounding="nearest"`` takes the nearest integer instead). Null and
     empty texts have no tokens and keep rate 1. A null doc_id is drawn like any
@@ -153,7 +153,7 @@ def mix_rates(
     rated = stored(posteriors(docs, labelled, names, sample), "posteriors")
     there = rated.agg(F.sum("tokens")).first()[0] or 0
     goal = np.array([weights[d] for d in names], float)
-    goal = goal / goal.sum() * (there if total is None else total)
+    goal = goal / goal.sum() * there * growth
     rates, _ = fit_rates(rated, goal, low=low, high=high)
     if rounding == "nearest":
         copies = F.floor(F.col("rate") + 0.5)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import decontam, html, linededup, mixing, ngramjoin, quality, secrets, sharding
+import corpus_pipeline
+from corpusgraph.llm import ann, decontam, html, linededup, mixing, ngramjoin, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -111,3 +112,14 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_decontamination")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
+
+
+@query("op9_neighbours")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    return ann.neighbours(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
