@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusgraph.llm import ann, decontam, html, linededup, mixing, ngramjoin, quality, secrets, sharding
+from corpusgraph.llm import ann, decontam, html, linededup, mixing, ngramjoin, pii, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -123,3 +123,9 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings")
     return ann.neighbours(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query("op8_surrogates")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_entities"), F.transform("pii", lambda x: x.kind).alias("kinds"))
