@@ -26,10 +26,10 @@ from corpusgraph.llm.common import WordHashes, components, mix, rows_of, shingle
 from corpusgraph.session import broadcast_if_small
 
 #: Bits per shingle of the sketch that bounds a pair's symmetric difference from
-#: below, its least size, and the size of the small sketch that buckets carry.
+#: below, its least size, and the most that buckets carry of it.
 BITS_PER_SHINGLE = 3
 LEAST_BITS = 512
-MINI = LEAST_BITS // 8
+MINI_BITS = 4096
 #: Upper end over lower end of a size band.
 BAND = 1.3
 #: Rows of a bucket that one comparison cell takes at a time.
@@ -93,6 +93,11 @@ def parity_bits(found: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def small_sketch(bits: bytes, n: int) -> bytes:
+    """About a bit per shingle of the sketch, enough to tell near from far."""
+    return folded(bits, min(len(bits), MINI_BITS // 8, max(LEAST_BITS, 1 << (n - 1).bit_length()) // 8)).tobytes()
+
+
 def folded(bits: bytes, size: int) -> np.ndarray:
     """The sketch of ``size`` bytes that the same set has: halves XORed onto each other."""
     return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
@@ -125,7 +130,7 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     if len(done) >= 1_000_000:
                         done.clear()
                     done.add(name)
-                    bits.append(parity_bits(found)), mini.append(folded(bits[-1], MINI).tobytes()), keys.append(piece_keys(found, percent).view(np.int64))
+                    bits.append(parity_bits(found)), mini.append(small_sketch(bits[-1], len(found))), keys.append(piece_keys(found, percent).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(bits, pa.binary()), pa.array(mini, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "node", "twin", "bits", "mini", "keys"],
@@ -147,9 +152,9 @@ def _near(sizes_a, sizes_b, gap, percent: int) -> np.ndarray:
     return (gap <= total - 2 * need) & (need <= small)
 
 
-def near_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The ``a, b`` of ``pairs`` that pass the size and Hamming bounds."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"s{c}"))
+def near_pairs(pairs: DataFrame, nodes: DataFrame, percent: int, sketch: str = "bits") -> DataFrame:
+    """The ``a, b`` of ``pairs`` that pass the size and Hamming bounds, by the sketch in column ``sketch``."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(sketch).alias(f"s{c}"))
 
     @F.pandas_udf("boolean")
     def passes(na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
@@ -218,7 +223,10 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         if rows.num_rows < 2:
             return
         cell, two, at, node, comp, n = (rows[c].to_numpy() for c in ("cell", "two", "at", "node", "comp", "n"))
-        mini = np.frombuffer(b"".join(rows["mini"].to_pylist()), np.uint64).reshape(len(cell), MINI // 8)
+        mini = rows["mini"].to_pylist()
+        length = np.array([len(x) for x in mini])
+        # Sketches of one length in one matrix; longer ones fold onto shorter ones.
+        tables = {k: np.stack([folded(x, k) if len(x) >= k else np.zeros(k // 8, np.uint64) for x in mini]) for k in np.unique(length).tolist()}
         at_a = np.arange(len(cell) - 1)
         for step in range(1, len(cell)):
             at_a = at_a[at_a + step < len(cell)]
@@ -228,7 +236,11 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
             a, b = at_a, at_a + step
             pick = (comp[a] != comp[b]) & (~two[a] | (at[a] != at[b]))
             a, b = a[pick], b[pick]
-            pick = _near(n[a], n[b], apart(mini[a], mini[b]), percent)
+            gap, least = np.zeros(len(a), np.int64), np.minimum(length[a], length[b])
+            for k, table in tables.items():
+                at_k = least == k
+                gap[at_k] = apart(table[a[at_k]], table[b[at_k]])
+            pick = _near(n[a], n[b], gap, percent)
             found = np.stack([np.minimum(node[a[pick]], node[b[pick]]), np.maximum(node[a[pick]], node[b[pick]])], axis=1)
             if len(told) > 1_000_000:
                 told.clear()
@@ -263,9 +275,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     offers = feats.filter("keys IS NOT NULL").select("node", F.explode("keys").alias("key"))
     stars = stored(offers.withColumn("head", F.first("node").over(bucket)).filter("head <> node"), "stars")
 
-    # First one link per node, to the smallest head it meets; most copies settle here.
-    first = stars.groupBy(F.col("node").alias("b")).agg(F.min("head").alias("a")).select("a", "b")
-    edges = verified(near_pairs(first, nodes, percent), nodes, docs, words, percent)
+    # First the links to bucket heads; most copies settle here.
+    first = stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    edges = verified(near_pairs(first, nodes, percent, "mini"), nodes, docs, words, percent)
     comps = stored(components(edges), "comps")
     # Then whatever shares a bucket across components.
     members = stars.select("key", "node").union(stars.select("key", F.col("head").alias("node"))).distinct()
