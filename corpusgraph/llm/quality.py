@@ -28,7 +28,7 @@ PARTS = 12
 LEAST_DOCS = 8
 LEAST_Z = 6.0
 #: Least probability of the top grade for a document to be accepted.
-LEAST_TAIL = 0.7
+LEAST_TAIL = 0.5
 #: Letters of a longer word's stem, a feature of its own.
 STEM = 5
 ROUNDS = 40
@@ -133,7 +133,8 @@ def gradient(batches, weights: np.ndarray, cuts: np.ndarray) -> tuple[float, np.
     grade, ids, starts = _csr(batches)
     if not len(grade):
         return 0.0, np.zeros_like(weights), np.zeros_like(cuts), 0
-    score = np.add.reduceat(weights[ids], starts)
+    row = np.repeat(np.arange(len(grade)), np.diff(np.append(starts, len(ids))))
+    score = np.bincount(row, weights=weights[ids], minlength=len(grade))
     edges = np.concatenate(([-np.inf], cuts, [np.inf]))
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     hi, lo = sig(edges[grade + 1] - score), sig(edges[grade] - score)
@@ -141,7 +142,7 @@ def gradient(batches, weights: np.ndarray, cuts: np.ndarray) -> tuple[float, np.
     p = np.maximum(hi - lo, 1e-12)
     dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
     by_score = dhi - dlo  # of -log p
-    by_weight = np.bincount(ids, weights=np.repeat(by_score, np.diff(np.append(starts, len(ids)))), minlength=len(weights))
+    by_weight = np.bincount(ids, weights=by_score[row], minlength=len(weights))
     by_cut = np.zeros(len(cuts) + 2)
     np.add.at(by_cut, grade + 1, -dhi)
     np.add.at(by_cut, grade, dlo)
@@ -197,12 +198,13 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, rounds: int =
                 lists.append(at if len(at) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(lists, pa.list_(pa.int64()))], names=["grade", "at"])
 
-    coded = stored(found.repartition(PARTS, F.xxhash64("doc_id")).mapInArrow(positions, "grade int, at array<long>").filter(F.size("at") > 0), "coded")
+    coded = stored(found.repartition(PARTS, F.xxhash64("doc_id")).mapInArrow(positions, "grade int, at array<long>"), "coded")
     n = len(index)
     weights, moved, speed = np.zeros(n), np.zeros(n + top), np.zeros(n + top)
     point = np.concatenate([weights, cuts])
     # Steps scaled by how often a feature is seen: rare features move as fast as common ones.
     scale = np.concatenate([1 / np.sqrt(seen_in / total), np.ones(top)])
+    best, best_loss, size = point, np.inf, 0.5
     for r in range(1, rounds + 1):
         state = spark.sparkContext.broadcast((point[:n].copy(), point[n:].copy()))
 
@@ -214,17 +216,24 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, rounds: int =
         sums = coded.mapInArrow(part, "loss double, rows long, g binary").collect()
         state.unpersist()
         rows = max(1, sum(s["rows"] for s in sums))
+        loss = sum(s["loss"] for s in sums) / rows + ridge / 2 * float(point[:n] @ point[:n])
+        if loss < best_loss:
+            best, best_loss = point, loss
+        elif loss > 1.02 * best_loss:
+            # Overshot: go back to the best point and on from there in smaller steps.
+            point, size, moved = best, size / 2, 0 * moved
+            continue
         g = sum(np.frombuffer(s["g"], float) for s in sums) / rows
         g[:n] += ridge * point[:n]
         g *= scale
         moved = 0.9 * moved + 0.1 * g
         speed = 0.99 * speed + 0.01 * g * g
-        step = 0.5 * (moved / (1 - 0.9**r)) / (np.sqrt(speed / (1 - 0.99**r)) + 1e-6) / (1 + r / 20)
+        step = size * (moved / (1 - 0.9**r)) / (np.sqrt(speed / (1 - 0.99**r)) + 1e-6) / (1 + r / 20)
         point = point - step
         # Features only count against a document: a short text is not poor for want of praise.
         point[:n] = np.minimum(point[:n], 0)
         point[n:] = np.maximum.accumulate(point[n:] + 1e-6 * np.arange(top))
-    return OrdinalModel(index, point[:n], point[n:])
+    return OrdinalModel(index, best[:n], best[n:])
 
 
 def rate(docs: DataFrame, model: OrdinalModel) -> DataFrame:
