@@ -28,8 +28,10 @@ from corpusgraph.session import broadcast_if_small
 #: Bits per shingle of the sketch that bounds a pair's symmetric difference from
 #: below, its least size, and the most that buckets carry of it.
 BITS_PER_SHINGLE = 3
-LEAST_BITS = 512
+LEAST_BITS = 1024
 MINI_BITS = 4096
+#: Bucket keys that a member carries, so that a pair is told in few buckets.
+LEAD = 16
 #: Upper end over lower end of a size band.
 BAND = 1.3
 #: Rows of a bucket that one comparison cell takes at a time.
@@ -191,10 +193,18 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
     return stored(joined.mapInArrow(run, "a long, b long, ok boolean").filter("ok").select("a", "b").distinct(), "edges")
 
 
+def told_here(lead_a: np.ndarray, lead_b: np.ndarray, key: int) -> bool:
+    """Whether a pair that shares the bucket ``key`` is told there."""
+    both = np.intersect1d(lead_a, lead_b, assume_unique=True)
+    return not len(both) or both[0] == key
+
+
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """``a, b``: members of one bucket, in different components, that pass the bounds.
 
-    ``members`` has ``key, node, comp, n, mini``. A bucket of m rows is cut into
+    ``members`` has ``key, node, comp, n, mini, lead``; ``lead`` are the node's
+    smallest keys. A pair whose leads meet is told only in the smallest bucket
+    of both, any other pair in every bucket that it shares. A bucket of m rows is cut into
     ceil(m / BLOCK) blocks; each pair of blocks is a cell of its own, so no task
     holds a whole large bucket, and only pairs within the bounds are returned.
     """
@@ -204,7 +214,7 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         members.join(mixed, "key")
         .withColumn("at", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-        .select(F.xxhash64("key", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), (F.col("at") != F.col("other")).alias("two"), "at", "node", "comp", "n", "mini")
+        .select(F.xxhash64("key", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), (F.col("at") != F.col("other")).alias("two"), "at", "key", "node", "comp", "n", "mini", "lead")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +232,9 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     def near(rows: pa.Table, told: set) -> Iterator[pa.RecordBatch]:
         if rows.num_rows < 2:
             return
-        cell, two, at, node, comp, n = (rows[c].to_numpy() for c in ("cell", "two", "at", "node", "comp", "n"))
+        cell, two, at, key, node, comp, n = (rows[c].to_numpy() for c in ("cell", "two", "at", "key", "node", "comp", "n"))
+        lead = rows["lead"].combine_chunks()
+        ends, lead = lead.offsets.to_numpy(), lead.values.to_numpy()
         mini = rows["mini"].to_pylist()
         length = np.array([len(x) for x in mini])
         # Sketches of one length in one matrix; longer ones fold onto shorter ones.
@@ -241,7 +253,10 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
                 at_k = least == k
                 gap[at_k] = apart(table[a[at_k]], table[b[at_k]])
             pick = _near(n[a], n[b], gap, percent)
-            found = np.stack([np.minimum(node[a[pick]], node[b[pick]]), np.maximum(node[a[pick]], node[b[pick]])], axis=1)
+            a, b = a[pick], b[pick]
+            here = np.array([told_here(lead[ends[x] : ends[x + 1]], lead[ends[y] : ends[y + 1]], key[x]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
+            a, b = a[here], b[here]
+            found = np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1)
             if len(told) > 1_000_000:
                 told.clear()
             fresh = [p for p in map(tuple, found.tolist()) if p not in told]
@@ -280,9 +295,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     edges = verified(near_pairs(first, nodes, percent, "mini"), nodes, docs, words, percent)
     comps = stored(components(edges), "comps")
     # Then whatever shares a bucket across components.
-    members = stars.select("key", "node").union(stars.select("key", F.col("head").alias("node"))).distinct()
+    members = stored(stars.select("key", "node").union(stars.select("key", F.col("head").alias("node"))).distinct(), "members")
     named = nodes.join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "mini")
-    more = verified(near_pairs(cross_pairs(members.join(named, "node"), percent), nodes, percent), nodes, docs, words, percent)
+    leads = members.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAD).alias("lead"))
+    more = verified(near_pairs(cross_pairs(members.join(named, "node").join(leads, "node"), percent), nodes, percent), nodes, docs, words, percent)
     comps = components(edges.union(more))
 
     # Names to smallest doc_id, over the nodes and then over the rows.
