@@ -51,10 +51,11 @@ def content_hash(body: Column) -> Column:
     return F.md5(body)
 
 
-def clean_text(text: Column, cap: int = 50_000) -> Column:
-    """Drop NUL and BOM, replace non-ASCII by ``?``, keep the stored length."""
+def clean_text(text: Column, cap: int | None = None) -> Column:
+    """Drop NUL and BOM, replace non-ASCII by ``?``; the first ``cap`` characters if given."""
     bare = F.regexp_replace(text, "[\\x00\\uFEFF]", "")
-    return F.substring(F.regexp_replace(bare, r"[^\x00-\x7F]", "?"), 1, cap)
+    plain = F.regexp_replace(bare, r"[^\x00-\x7F]", "?")
+    return plain if cap is None else F.substring(plain, 1, cap)
 
 
 def doc_type_of(ext: Column, coarse: bool = False) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions.binding import let
 from corpusgraph.functions.names import title_case
-from corpusgraph.functions.text import clean_text, strip
+from corpusgraph.functions.text import strip
 from corpusgraph.operators.search import tokenize
 from corpusgraph.session import broadcast_if_small
 
@@ -38,7 +38,7 @@ def parse_entity_json(raw: Column) -> Column:
     then the bracketed array after each key.  Members that are not strings are
     dropped; an answer with nothing usable gives null.
     """
-    block = F.regexp_extract(raw, r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}", 0)
+    block = F.regexp_extract(raw, r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}", 0)
     whole = strip(raw)
     # The parser stops after the first value, so trailing prose is ruled out here.
     alone = (whole == block) | ((block == "") & whole.rlike(r"(?s)^\{.*\}$"))
@@ -66,15 +66,17 @@ def parse_entity_json(raw: Column) -> Column:
 
 
 def gazetteer_entities(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """Known names written in each document, Title-Cased; persons need two words.
+    """Known names (name, and kind if there is one) written in each document, Title-Cased.
+
+    Persons, and names without a kind, need two words; other kinds one.
 
     Documents and names meet on token n-grams of the lengths the list contains,
     so the match is an equi-join; distinct n-grams per document keep a repeated
     phrase from multiplying rows.
     """
     listed = (
-        names.select(tokenize(F.col("name"), stop=False).alias("t"))
-        .where(F.size("t") >= 2)
+        names.select(tokenize(F.col("name"), stop=False).alias("t"), (F.col("kind") if "kind" in names.columns else F.lit("Person")).alias("kind"))
+        .where(F.size("t") >= F.when(F.col("kind") == "Person", 2).otherwise(1))
         .select(F.array_join("t", " ").alias("gram"), F.size("t").alias("n"))
         .distinct()
     )
@@ -88,15 +90,16 @@ def gazetteer_entities(docs: DataFrame, names: DataFrame) -> DataFrame:
 
         return F.array_distinct(F.concat(F.array().cast("array<string>"), *[of_length(n) for n in lengths]))
 
-    tokens = tokenize(clean_text(F.col("text")), stop=False)
+    tokens = tokenize(F.col("text"), stop=False)
     spread = docs.select("doc_id", F.explode(let(tokens, grams_of)).alias("gram"))
     return spread.join(broadcast_if_small(listed), "gram").select("doc_id", title_case(F.col("gram")).alias("name"))
 
 
 def capitalized_runs(docs: DataFrame, min_words: int = 1, shortest: int = 3, longest: int = 99) -> DataFrame:
-    """Mentions (doc_id, name, mention_count) of capitalised word runs in the cleaned text."""
-    pattern = rf"\b[A-Z][a-z]+(?: [A-Z][a-z]+){{{min_words - 1},}}\b"
-    runs = F.regexp_extract_all(clean_text(F.col("text")), F.lit(pattern), 0)
+    """Mentions (doc_id, name, mention_count) of capitalised word runs, in any script with letter case."""
+    word = r"(?<![\p{L}\p{N}_])\p{Lu}\p{Ll}+(?![\p{L}\p{N}_])"
+    pattern = f"{word}(?: {word}){{{min_words - 1},}}"
+    runs = F.regexp_extract_all(F.col("text"), F.lit(pattern), 0)
     return (
         docs.select("doc_id", F.explode(runs).alias("name"))
         .where(F.length("name").between(shortest, longest))

@@ -21,14 +21,20 @@ from corpusgraph.session import broadcast_if_small, cut_lineage, spread
 
 MATCH = 0.95
 AMBIGUOUS = 0.85
-BLOCK_ABOVE = 5000
 
 
-def block_keys(entities: DataFrame, above: int = BLOCK_ABOVE, sorted_words: bool = False) -> DataFrame:
-    """(id, label, name, normalized, block): first character when a label has more than ``above`` entities."""
+def block_keys(entities: DataFrame, above: int | None = None, sorted_words: bool = False) -> DataFrame:
+    """(id, label, name, normalized, block).
+
+    All names of a label are one block, at any size: the index of
+    ``candidate_forms`` loses no pair.  Only with ``above`` given, a label with
+    more entities than that is compared within first characters.
+    """
     named = entities.where(F.length(F.trim("name")) > 0).withColumn("normalized", normalize_name(F.col("name")))
     if sorted_words:
         named = named.withColumn("normalized", F.array_join(F.array_sort(F.split("normalized", " ")), " "))
+    if above is None:
+        return named.withColumn("block", F.lit(""))
     # One row per label: the label set is the fixed list of entity kinds.
     sizes = named.groupBy("label").agg(F.count("*").alias("label_size"))
     first = F.when(F.col("normalized") == "", "_").otherwise(F.substring("normalized", 1, 1))

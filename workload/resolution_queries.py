@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusgraph.functions.names import TITLE_PATTERN
 from corpusgraph.functions.similarity import jaro_winkler
 from corpusgraph.operators import algorithms, extraction, graph, resolution
 from corpusgraph.session import cut_lineage
@@ -14,14 +15,13 @@ from workload.text_queries import RUNS_SQL
 # Names are the capitalised runs of the documents; the source of a name's first
 # document decides its label, so each label has thousands of entities.
 ENTITY_ID = "CAST(('0x' || substr(md5(name), 1, 15)) AS BIGINT)"
-TITLE = r"^(mr\.?|mrs\.?|ms\.?|miss\.?|dr\.?|prof\.?|sir|lady|lord|hon\.?|rev\.?|the)\s+"
 ENTS = rf"""{RUNS_SQL},
  ent AS (SELECT {ENTITY_ID} AS id, name, CASE length(name) % 3 WHEN 0 THEN 'Person' WHEN 1 THEN 'Organization' ELSE 'Location' END AS label,
   count(DISTINCT doc_id) AS connections FROM runs GROUP BY name),
  m AS (SELECT {ENTITY_ID} AS src, doc_id AS dst FROM runs),
- norm AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '{TITLE}', ''), '[^\p{{L}}\p{{N}}_\s\-'']', '', 'g'), '\s+', ' ', 'g')) AS normalized,
+ norm AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '{TITLE_PATTERN}', ''), '[^\p{{L}}\p{{N}}_\s\-'']', '', 'g'), '\s+', ' ', 'g')) AS normalized,
   count(*) OVER (PARTITION BY label) AS n FROM ent),
- keyed AS (SELECT id, label, name, connections, normalized, CASE WHEN n <= 5000 THEN '' WHEN normalized = '' THEN '_' ELSE substr(normalized, 1, 1) END AS block FROM norm),
+ keyed AS (SELECT id, label, name, connections, normalized, '' AS block FROM norm),
  scored AS MATERIALIZED (SELECT a.label, a.id AS id_a, b.id AS id_b, jaro_winkler_similarity(a.normalized, b.normalized) AS similarity
   FROM keyed a JOIN keyed b ON a.label = b.label AND a.block = b.block AND a.id < b.id WHERE a.normalized <> '' AND b.normalized <> ''
   AND jaro_winkler_similarity(a.normalized, b.normalized) >= 0.85),

@@ -260,37 +260,45 @@ def parse_entity_json(spark, sf):
     rf"""WITH w AS (SELECT doc_id, {TRIM.format('w')} AS name, i FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents) q),
  d AS (SELECT doc_id, name, i, row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY i) AS rn FROM w WHERE length(name) BETWEEN 3 AND 99),
  r AS (SELECT doc_id, name, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM d WHERE rn = 1)
- SELECT documents.doc_id, coalesce(string_agg(name, '|' ORDER BY i), '') AS names FROM documents LEFT JOIN r ON r.doc_id = documents.doc_id AND pos <= 50 GROUP BY 1""",
+ SELECT documents.doc_id, coalesce(string_agg(name, '|' ORDER BY i), '') AS names FROM documents LEFT JOIN r ON r.doc_id = documents.doc_id GROUP BY 1""",
 )
 def clean_entities(spark, sf):
     return raw(spark, sf).select("doc_id", F.array_join(names.clean_entities(F.split("text", " ")), "|").alias("names"))
 
 
-# Known names: the first three words of each benchmark passage.
+# Known names: the first words of each benchmark passage; persons have three, places one.
 def known_names(spark, sf):
-    return table(spark, sf, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name"))
+    person = F.col("item_id") % 2 == 0
+    words = F.slice(F.split("text", " "), F.lit(1), F.when(person, 3).otherwise(1))
+    return table(spark, sf, "benchmark").select(F.array_join(words, " ").alias("name"), F.when(person, "Person").otherwise("Location").alias("kind"))
 
 
 _TOK = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
-_ASCII = r"regexp_replace(regexp_replace(text, '[\x00\x{FEFF}]', '', 'g'), '[^\x00-\x7F]', '?', 'g')"
+_NAME = "array_to_string(list_slice(string_split(text, ' '), 1, CASE WHEN item_id % 2 = 0 THEN 3 ELSE 1 END), ' ')"
 
 
 @query(
     "gazetteer_entities",
-    rf"""WITH n AS (SELECT DISTINCT array_to_string({_TOK.format("array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ')")}, ' ') AS gram FROM benchmark),
- t AS (SELECT doc_id, ' ' || array_to_string({_TOK.format(_ASCII)}, ' ') || ' ' AS joined FROM documents)
+    rf"""WITH k AS (SELECT array_to_string({_TOK.format(_NAME)}, ' ') AS gram, item_id % 2 = 0 AS person FROM benchmark),
+ n AS (SELECT DISTINCT gram FROM k WHERE gram <> '' AND (contains(gram, ' ') OR NOT person)),
+ t AS (SELECT doc_id, ' ' || array_to_string({_TOK.format('text')}, ' ') || ' ' AS joined FROM documents)
  SELECT doc_id, array_to_string(list_transform(string_split(gram, ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS name
- FROM t JOIN n ON contains(joined, ' ' || gram || ' ') WHERE contains(gram, ' ')""",
+ FROM t JOIN n ON contains(joined, ' ' || gram || ' ')""",
 )
 def gazetteer_entities(spark, sf):
     return extraction.gazetteer_entities(raw(spark, sf), known_names(spark, sf))
 
 
-RUNS_SQL = rf"""runs AS (SELECT doc_id, name, count(*) AS mention_count FROM (
- SELECT doc_id, unnest(regexp_extract_all({_ASCII}, '\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b')) AS name FROM documents) q WHERE length(name) BETWEEN 3 AND 99 GROUP BY 1, 2)"""
+# Words and what lies between them alternate; a name is a chain of capitalised words with one blank between.
+RUNS_SQL = r"""tokens AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM
+  (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS t FROM documents) q),
+ caps AS (SELECT *, regexp_full_match(token, '\p{Lu}\p{Ll}+') AS cap, lag(token) OVER w AS gap, lag(token, 2) OVER w AS before FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ chains AS (SELECT doc_id, i, token, sum(CASE WHEN gap = ' ' AND regexp_full_match(before, '\p{Lu}\p{Ll}+') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS chain FROM caps WHERE cap),
+ runs AS (SELECT doc_id, name, count(*) AS mention_count FROM (SELECT doc_id, string_agg(token, ' ' ORDER BY i) AS name FROM chains GROUP BY doc_id, chain) q
+  WHERE length(name) BETWEEN 3 AND 99 GROUP BY 1, 2)"""
 
 
-@query("capitalized_runs", f"WITH {RUNS_SQL} SELECT doc_id, name, mention_count FROM runs")
+@query("capitalized_runs", "WITH " + RUNS_SQL + " SELECT doc_id, name, mention_count FROM runs")
 def capitalized_runs(spark, sf):
     return extraction.capitalized_runs(raw(spark, sf))
 
@@ -340,7 +348,7 @@ TITLED = "concat(CASE s_suppkey % 5 WHEN 0 THEN 'Dr. ' WHEN 1 THEN 'the  ' WHEN
 @query(
     "normalize_name",
     rf"""SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(lower({TRIM.format(TITLED)}),
- '^(mr\.?|mrs\.?|ms\.?|miss\.?|dr\.?|prof\.?|sir|lady|lord|hon\.?|rev\.?|the)\s+', ''), '[^\p{{L}}\p{{N}}_\s\-'']', '', 'g'), '\s+', ' ', 'g')) AS normalized FROM supplier""",
+ '{names.TITLE_PATTERN}', ''), '[^\p{{L}}\p{{N}}_\s\-'']', '', 'g'), '\s+', ' ', 'g')) AS normalized FROM supplier""",
 )
 def normalize_name(spark, sf):
     titled = F.expr(TITLED.replace("'-O''Neil '", '"-O\'Neil "'))
