@@ -101,9 +101,10 @@ def preview(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
-def effective_text(text: Column, extracted: Column, display_cap: int = 50_000) -> Column:
-    """The primary text, else the extracted one; blanks count as missing."""
-    return F.substring(F.coalesce(F.nullif(text, F.lit("")), F.nullif(extracted, F.lit(""))), 1, display_cap)
+def effective_text(text: Column, extracted: Column, display_cap: int | None = None) -> Column:
+    """The primary text, else the extracted one; blanks count as missing.  Whole unless a cap is given."""
+    body = F.coalesce(F.nullif(text, F.lit("")), F.nullif(extracted, F.lit("")))
+    return body if display_cap is None else F.substring(body, 1, display_cap)
 
 
 def is_refusal(text: Column) -> Column:
@@ -149,12 +150,13 @@ def match_count(text: Column, term: str) -> Column:
     return ((F.length(low) - F.length(cut)) / len(term)).cast("bigint")
 
 
-def text_stats(text: Column, store_cap: int = 500_000, index_cap: int = 100_000) -> Column:
-    """Stored text, its true length, and the part that feeds the search index."""
+def text_stats(text: Column, store_cap: int | None = None, index_cap: int | None = None) -> Column:
+    """Stored text, its true length, and the text for the search index; whole unless caps are given."""
+    part = lambda cap: text if cap is None else F.substring(text, 1, cap)
     return F.struct(
-        F.substring(text, 1, store_cap).alias("stored_text"),
+        part(store_cap).alias("stored_text"),
         F.length(text).cast("bigint").alias("text_length"),
-        F.substring(text, 1, index_cap).alias("index_text"),
+        part(index_cap).alias("index_text"),
     )
 
 

@@ -288,10 +288,10 @@ def expand_subgraph(shown: DataFrame, found: DataFrame) -> DataFrame:
     return merged.groupBy("id").agg(F.min_by(F.struct(*rest), "_new").alias("r")).select("id", "r.*")
 
 
-def timeline(links: DataFrame, events: DataFrame, entity=None, limit: int = 50) -> DataFrame:
+def timeline(links: DataFrame, events: DataFrame, entity=None, limit: int | None = 50) -> DataFrame:
     """Events linked to an entity by participation, place or relation, by date.
 
-    Without ``entity`` every entity gets its first ``limit`` events.
+    Without ``entity`` every entity gets its first ``limit`` events, or all if None.
     """
     kept = links.where(F.col("type").isin("PARTICIPATED_IN", "OCCURRED_AT", "RELATED_TO"))
     if entity is not None:
@@ -299,6 +299,8 @@ def timeline(links: DataFrame, events: DataFrame, entity=None, limit: int = 50)
     rows = kept.select(F.col("src").alias("entity"), F.col("dst").alias("id")).distinct().join(events, "id")
     if entity is not None:
         return rows.orderBy("date", "id").limit(limit)
+    if limit is None:
+        return rows
     order = Window.partitionBy("entity").orderBy("date", "id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("rank")
 
@@ -322,8 +324,8 @@ def score_scale(metrics: DataFrame) -> DataFrame:
 
 
 def entity_profile(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, notes: DataFrame, links: DataFrame, events: DataFrame,
-                   docs: int = 50, partners: int = 20, dates: int = 50) -> DataFrame:
-    """One row per wanted entity: counts and bounded lists of documents, partners, notes and events.
+                   docs: int = 50, partners: int = 20) -> DataFrame:
+    """One row per wanted entity: counts and dates over all its rows, and bounded lists of documents and partners.
 
     ``wanted`` is (id); ``notes`` is (id, entity_id, content, created_at).
     """
@@ -344,7 +346,7 @@ def entity_profile(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, notes:
     partner_list = top_names(together, "id", [F.desc("shared"), F.col("partner").asc()], "partner", partners).withColumnRenamed("shown", "partner_ids")
     own_notes = notes.join(who.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi")
     note_counts = own_notes.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("notes"))
-    dated = timeline(links.join(who.withColumnRenamed("id", "src"), "src", "left_semi"), events, None, dates)
+    dated = timeline(links.join(who.withColumnRenamed("id", "src"), "src", "left_semi"), events, None, None)
     event_counts = dated.groupBy(F.col("entity").alias("id")).agg(
         F.count("*").alias("events"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
     )

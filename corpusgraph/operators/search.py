@@ -101,7 +101,7 @@ def rank_documents(found: DataFrame, terms: list[str], total: Column) -> DataFra
     return (
         found.join(F.broadcast(df), "token")
         .groupBy("doc_id")
-        .agg(F.count("*").alias("matched"), F.round(F.sum(weight), 6).alias("score"))
+        .agg(F.count("*").alias("matched"), F.round(F.sum(weight), 12).alias("score"))
         .where(F.col("matched") == len(terms))
         .drop("matched")
     )
@@ -110,7 +110,8 @@ def rank_documents(found: DataFrame, terms: list[str], total: Column) -> DataFra
 def snippet(text: Column, terms: list[str], width: int = 50, lead: int = 20) -> Column:
     """A window of ``width`` words around the first hit with the hits marked."""
     def is_hit(word: Column) -> Column:
-        return F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}]+", "").isin(terms)
+        # The tokeniser's rule: a hyphenated word holds several tokens.
+        return F.exists(F.split(F.lower(word), r"[^\p{L}\p{N}]+"), lambda t: t.isin(terms))
 
     def window(words: Column) -> Column:
         first = F.array_position(F.transform(words, is_hit), F.lit(True))
@@ -260,4 +261,4 @@ def year_range(docs: DataFrame, first: int, last: int, query: str | None = None,
     rows = docs.where(mentions_year(F.col("text"), first, last))
     if query:
         rows = matching(rows, query)
-    return rows.select("doc_id", "filename", "source").orderBy("doc_id").limit(min(limit, 100))
+    return rows.select("doc_id", "filename", "source").orderBy("doc_id").limit(limit)

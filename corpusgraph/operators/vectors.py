@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions.similarity import cosine_to
 
+# Scores are compared to so many places: beyond them the order of a sum shows.
+PLACES = 12
+
+
+def filtered(points: DataFrame, people_count: int | None = None, **equals) -> DataFrame:
+    """The points with the given payload values, and at least so many people."""
+    for column, value in equals.items():
+        points = points.where(F.col(column).isin(value) if isinstance(value, (list, tuple)) else F.col(column) == value)
+    return points if people_count is None else points.where(F.col("people_count") >= people_count)
+
 
 def knn(points: DataFrame, vector: list[float], k: int = 10, threshold: float | None = None,
         people_count: int | None = None, **equals) -> DataFrame:
@@ -19,11 +29,8 @@ def knn(points: DataFrame, vector: list[float], k: int = 10, threshold: float |
     ``equals`` are exact-match payload filters; each task keeps only its own
     best ``k`` rows, so nothing but those is shuffled.
     """
-    for column, value in equals.items():
-        points = points.where(F.col(column).isin(value) if isinstance(value, (list, tuple)) else F.col(column) == value)
-    if people_count is not None:
-        points = points.where(F.col("people_count") >= people_count)
-    scored = points.withColumn("score", F.round(cosine_to(vector, F.col("embedding")), 6)).where("score IS NOT NULL")
+    points = filtered(points, people_count, **equals)
+    scored = points.withColumn("score", F.round(cosine_to(vector, F.col("embedding")), PLACES)).where("score IS NOT NULL")
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     return scored.drop("embedding").orderBy(F.desc("score"), "point_id").limit(k)
@@ -82,7 +89,7 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int = 10, exclude_self:
         targets, asked = unit(pts["embedding"]), qs["query_id"].to_numpy()
         out = []
         for lo in range(0, len(qs), 256):
-            scores = np.round(unit(qs["embedding"].iloc[lo : lo + 256]) @ targets.T, 6)
+            scores = np.round(unit(qs["embedding"].iloc[lo : lo + 256]) @ targets.T, PLACES)
             if exclude_self:
                 scores[asked[lo : lo + 256, None] == ids[None, :]] = np.nan
             order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
@@ -104,7 +111,8 @@ def search_collections(collections: dict[str, DataFrame], vector: list[float], k
     """Search several collections, keep each document's best hit, return the overall best ``k``."""
     hits = None
     for name, points in collections.items():
-        found = knn(points, vector, k, **filters).select("document_id", "point_id", "score", F.lit(name).alias("collection"))
+        # Documents, not points, are cut to k, so near chunks of one document crowd out no other.
+        found = best_chunks(filtered(points, **filters), vector, k).withColumn("collection", F.lit(name))
         hits = found if hits is None else hits.unionByName(found)
     # At most k rows per collection remain here.
     best = hits.groupBy("document_id").agg(
@@ -115,7 +123,7 @@ def search_collections(collections: dict[str, DataFrame], vector: list[float], k
 
 def best_chunks(points: DataFrame, vector: list[float], k: int, threshold: float | None = None) -> DataFrame:
     """The ``k`` best documents, each scored by its best chunk: (document_id, point_id, score)."""
-    scored = points.withColumn("score", F.round(cosine_to(vector, F.col("embedding")), 6)).where("score IS NOT NULL")
+    scored = points.withColumn("score", F.round(cosine_to(vector, F.col("embedding")), PLACES)).where("score IS NOT NULL")
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     top = scored.groupBy("document_id").agg(F.max_by(F.struct("score", "point_id"), F.struct("score", -F.col("point_id"))).alias("b"))
@@ -151,19 +159,6 @@ def embed_status_rollup(chunks: DataFrame) -> DataFrame:
     )
 
 
-def hashed_embedding(docs: DataFrame, dim: int = 64) -> DataFrame:
-    """Deterministic unit vectors from hashed term counts, standing in for a remote model."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    from corpusgraph.operators.search import tokenize
-
-    words = docs.select("doc_id", tokenize(F.col("text")).alias("words"))
-    counted = HashingTF(numFeatures=dim, inputCol="words", outputCol="tf").transform(words)
-    unit = Normalizer(p=2.0, inputCol="tf", outputCol="unit").transform(counted)
-    return unit.select("doc_id", vector_to_array("unit", "float32").alias("embedding"))
-
-
 def cost_estimate(points: DataFrame, tokens_each: int = 500, dollars_per_million: float = 0.02) -> DataFrame:
     """Vectors, tokens and price of embedding them once."""
     n = F.count("*")

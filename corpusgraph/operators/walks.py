@@ -15,7 +15,7 @@ from corpusgraph.session import broadcast_if_small, cut_lineage, spread
 
 
 def clamp_depth(depth, most: int = 4) -> int:
-    """Depth as an integer between 1 and ``most``."""
+    """A service's default: depth as an integer between 1 and ``most``.  The operators take any depth."""
     return min(max(int(depth), 1), most)
 
 
@@ -44,13 +44,13 @@ def hop_levels(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 
 def traverse(nodes: DataFrame, edges: DataFrame, start: str, types: list[str] | None = None, depth: int = 2, limit: int = 50) -> DataFrame:
-    """Nodes within ``depth`` (at most 4) hops of the named node with their least distance."""
+    """Nodes within ``depth`` hops of the named node with their least distance."""
     kept = restrict_types(edges, types) if types else edges
     starts = nodes.where(F.col("name") == start).select("id")
-    levels = hop_levels(kept, starts, clamp_depth(depth)).where("distance > 0")
+    levels = hop_levels(kept, starts, depth).where("distance > 0")
     return (
         nodes.select("id", "name", "label").join(levels.select("id", "distance"), "id")
-        .orderBy("distance", "name", "id").limit(min(limit, 100))
+        .orderBy("distance", "name", "id").limit(limit)
     )
 
 
@@ -106,7 +106,6 @@ def paths(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, rel_ty
     expanded while fewer than ``limit`` chains were found, so what is expanded
     stays below ``limit`` chains.
     """
-    depth, limit = clamp_depth(depth, 3), min(max(limit, 1), 50)
     kept = edges.where(F.col("type") == rel_type) if rel_type else edges
     edge = F.struct(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "type")
     ways = both_ways(kept).select("node", "other", "type", edge.alias("edge"))

@@ -195,9 +195,3 @@ def test_knn_batch(spark, point_block, query_block):
         rows = got.where(F.col("query_id") == q).orderBy("rank").collect() if q % 13 == 0 else None
         if rows is not None:
             assert [r.point_id for r in rows] == order
-
-
-def test_hashed_embedding(spark):
-    docs = spark.createDataFrame([(1, "red green"), (2, "green red"), (3, "blue sky")], "doc_id bigint, text string")
-    got = {r.doc_id: np.array(r.embedding) for r in vectors.hashed_embedding(docs, 32).collect()}
-    assert np.allclose(got[1], got[2]) and not np.allclose(got[1], got[3]) and abs(np.linalg.norm(got[3]) - 1) < 1e-6

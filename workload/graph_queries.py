@@ -257,8 +257,8 @@ NOTES_SQL = "SELECT o_orderkey AS id, (o_custkey % (SELECT count(*) FROM supplie
  SELECT n.id, label, name, (SELECT count(*) FROM ways WHERE node = n.id) AS connections, (SELECT count(*) FROM m WHERE m.id = n.id) AS documents,
   (SELECT string_agg(doc, ',' ORDER BY rn) FROM mr WHERE mr.id = n.id AND rn <= 50) AS document_ids,
   (SELECT string_agg(partner, ',' ORDER BY rn) FROM pr WHERE pr.id = n.id AND rn <= 20) AS partner_ids,
-  (SELECT count(*) FROM notes WHERE entity_id = n.id) AS notes, (SELECT count(*) FROM tl WHERE entity = n.id AND rn <= 50) AS events,
-  (SELECT min(date) FROM tl WHERE entity = n.id AND rn <= 50) AS first_date, (SELECT max(date) FROM tl WHERE entity = n.id AND rn <= 50) AS last_date
+  (SELECT count(*) FROM notes WHERE entity_id = n.id) AS notes, (SELECT count(*) FROM tl WHERE entity = n.id) AS events,
+  (SELECT min(date) FROM tl WHERE entity = n.id) AS first_date, (SELECT max(date) FROM tl WHERE entity = n.id) AS last_date
  FROM nodes n WHERE n.id IN (SELECT id FROM who)""",
 )
 def entity_profile(spark, sf):
@@ -279,7 +279,7 @@ def entity_profile(spark, sf):
 @query(
     "traverse",
     f"""WITH RECURSIVE {GRAPH}, {WAYS}, b(id, d) AS (SELECT id, 0 FROM nodes WHERE name = '{ONE}' UNION SELECT other, d + 1 FROM b JOIN ways ON node = b.id WHERE d < 2)
- SELECT id, name, label, distance FROM (SELECT id, CAST(min(d) AS INT) AS distance FROM b GROUP BY 1) q JOIN nodes USING (id) WHERE distance > 0 ORDER BY distance, name, id LIMIT 100""",
+ SELECT id, name, label, distance FROM (SELECT id, CAST(min(d) AS INT) AS distance FROM b GROUP BY 1) q JOIN nodes USING (id) WHERE distance > 0 ORDER BY distance, name, id LIMIT 500""",
 )
 def traverse(spark, sf):
     return walks.traverse(nodes(spark, sf), edges(spark, sf), ONE, depth=2, limit=500)

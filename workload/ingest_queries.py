@@ -176,7 +176,7 @@ def cross_source_duplicates(spark, sf):
 
 @query(
     "clean_text",
-    r"""SELECT doc_id, substr(regexp_replace(regexp_replace(text, '[\x00\x{FEFF}]', '', 'g'), '[^\x00-\x7F]', '?', 'g'), 1, 50000) AS cleaned FROM documents""",
+    r"""SELECT doc_id, regexp_replace(regexp_replace(text, '[\x00\x{FEFF}]', '', 'g'), '[^\x00-\x7F]', '?', 'g') AS cleaned FROM documents""",
 )
 def clean_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("cleaned"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusgraph.sources.files import widen
 
@@ -26,6 +27,18 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def scored_query(name: str, sql: str):
+    """A query whose score is shown to six places; it was ranked on twelve."""
+    def wrap(fn):
+        def shown(spark: SparkSession, sf: str) -> DataFrame:
+            return fn(spark, sf).withColumn("score", F.round("score", 6))
+
+        query(name, f"SELECT * REPLACE (round(score, 6) AS score) FROM ({sql}) shown")(shown)
+        return fn
+
+    return wrap
+
+
 # Text is expensive per row; a small table in one split would be one task's work.
 TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import extraction, fusion, search, vectors
-from workload.registry import query, table
+from workload.registry import query, scored_query, table
 from workload.standins import DOCS, docs
 from workload.text_queries import RUNS_SQL
 
@@ -21,12 +21,12 @@ def ranked_sql(terms, source="documents", where="true"):
     return rf"""tok AS (SELECT doc_id, unnest({TOKENS}) AS token FROM {source} WHERE {where}),
  tf AS (SELECT doc_id, token, count(*) AS tf FROM tok WHERE token IN ({listed}) GROUP BY 1, 2),
  df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
- ranked AS (SELECT doc_id, round(sum((1 + ln(tf)) * ln(1 + (SELECT count(*) FROM {source} WHERE {where}) / df)), 6) AS score
+ ranked AS (SELECT doc_id, round(sum((1 + ln(tf)) * ln(1 + (SELECT count(*) FROM {source} WHERE {where}) / df)), 12) AS score
   FROM tf JOIN df USING (token) GROUP BY 1 HAVING count(*) = {len(terms)})"""
 
 
-SNIPPET = r"""array_to_string(list_transform(list_slice(w, st, st + 49), lambda x: CASE WHEN regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g') IN ('er', 'ha') THEN '<mark>' || x || '</mark>' ELSE x END), ' ')"""
-FIRST = r"""greatest(list_position(list_transform(w, lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g') IN ('er', 'ha')), true) - 20, 1)"""
+SNIPPET = r"""array_to_string(list_transform(list_slice(w, st, st + 49), lambda x: CASE WHEN list_has_any(string_split_regex(lower(x), '[^\p{L}\p{N}]+'), ['er', 'ha']) THEN '<mark>' || x || '</mark>' ELSE x END), ' ')"""
+FIRST = r"""greatest(list_position(list_transform(w, lambda x: list_has_any(string_split_regex(lower(x), '[^\p{L}\p{N}]+'), ['er', 'ha'])), true) - 20, 1)"""
 
 
 def corpus(spark, sf):
@@ -46,7 +46,7 @@ def token_index(spark, sf):
     return search.token_index(corpus(spark, sf)).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
-@query(
+@scored_query(
     "fulltext",
     rf"""WITH {ranked_sql(TERMS)}, top AS (SELECT * FROM ranked ORDER BY score DESC, doc_id LIMIT 25),
  p AS (SELECT doc_id, source, lang AS doc_type, score, string_split_regex(text, '\s+') AS w FROM documents JOIN top USING (doc_id))
@@ -56,7 +56,7 @@ def fulltext(spark, sf):
     return search.fulltext(corpus(spark, sf), WORDS)
 
 
-@query(
+@scored_query(
     "fulltext_filtered",
     rf"""WITH {ranked_sql(['tion'], 'documents', "source IN ('src1', 'src5', 'src9') AND lang = 'en'")}
  SELECT doc_id, score FROM ranked ORDER BY score DESC, doc_id LIMIT 10 OFFSET 10""",
@@ -66,7 +66,7 @@ def fulltext_filtered(spark, sf):
     return search.fulltext(kept, "tion", limit=10, offset=10).select("doc_id", "score")
 
 
-@query(
+@scored_query(
     "fulltext_ranking",
     f"WITH {ranked_sql(TERMS)} SELECT doc_id, score FROM ranked",
 )
@@ -140,7 +140,7 @@ def substring_count(spark, sf):
 POINTS = """points AS (SELECT vec_id AS point_id, CAST(floor(vec_id / 2) AS BIGINT) AS document_id, concat('src', label) AS source,
  CASE vec_id % 3 WHEN 0 THEN 'v2' WHEN 1 THEN 'vlm' ELSE 'v1' END AS embedding_type, vec_id % 4 AS people_count, embedding FROM embeddings)"""
 Q0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
-COS = f"round(list_cosine_similarity(embedding::DOUBLE[], {Q0}), 6)"
+COS = f"round(list_cosine_similarity(embedding::DOUBLE[], {Q0}), 12)"
 
 
 def points(spark, sf):
@@ -154,7 +154,7 @@ def first_vector(spark, sf):
     return vectors.vector_of(points(spark, sf), 0)
 
 
-@query(
+@scored_query(
     "knn",
     f"WITH {POINTS} SELECT point_id, document_id, source, embedding_type, people_count, {COS} AS score FROM points ORDER BY score DESC, point_id LIMIT 20",
 )
@@ -162,7 +162,7 @@ def knn(spark, sf):
     return vectors.knn(points(spark, sf), first_vector(spark, sf), 20)
 
 
-@query(
+@scored_query(
     "knn_filtered",
     f"""WITH {POINTS} SELECT point_id, {COS} AS score FROM points WHERE source IN ('src1', 'src2', 'src3') AND embedding_type = 'v2' AND people_count >= 1
  AND {COS} >= -0.5 ORDER BY score DESC, point_id LIMIT 10""",
@@ -173,10 +173,10 @@ def knn_filtered(spark, sf):
     return found.select("point_id", "score")
 
 
-@query(
+@scored_query(
     "knn_batch",
     """SELECT query_id, point_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM (
- SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score
+ SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 12) AS score
  FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id) a) b WHERE rank <= 5""",
 )
 def knn_batch(spark, sf):
@@ -184,7 +184,7 @@ def knn_batch(spark, sf):
     return vectors.knn_batch(p, p.withColumnRenamed("point_id", "query_id"), 5, exclude_self=True)
 
 
-@query(
+@scored_query(
     "similar_to",
     f"WITH {POINTS} SELECT point_id, document_id, {COS} AS score FROM points WHERE document_id <> 0 AND embedding_type = 'v2' ORDER BY score DESC, point_id LIMIT 10",
 )
@@ -192,11 +192,10 @@ def similar_to(spark, sf):
     return vectors.similar_to(points(spark, sf), 0, 10, embedding_type="v2").select("point_id", "document_id", "score")
 
 
-@query(
+@scored_query(
     "search_collections",
     f"""WITH {POINTS}, s AS (SELECT *, {COS} AS score FROM points),
- c AS (SELECT *, row_number() OVER (PARTITION BY embedding_type ORDER BY score DESC, point_id) AS rn FROM s),
- d AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, point_id) AS best FROM c WHERE rn <= 15)
+ d AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, embedding_type DESC, point_id) AS best FROM s)
  SELECT document_id, score, embedding_type AS collection, point_id FROM d WHERE best = 1 ORDER BY score DESC, document_id LIMIT 15""",
 )
 def search_collections(spark, sf):
@@ -209,7 +208,7 @@ BEST = f"""best AS (SELECT document_id AS doc_id, score, point_id FROM (SELECT *
  FROM (SELECT *, {COS} AS score FROM points) a) b WHERE rn = 1)"""
 
 
-@query(
+@scored_query(
     "semantic",
     f"""WITH {POINTS}, {BEST} SELECT d.doc_id, 'doc_' || d.doc_id || '.pdf' AS filename, source, lang AS doc_type, score,
  CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS snippet
@@ -236,7 +235,7 @@ def hybrid(spark, sf):
     return fusion.hybrid(corpus(spark, sf), points(spark, sf), WORDS, first_vector(spark, sf), limit=20)
 
 
-@query(
+@scored_query(
     "unified_search",
     f"""WITH {ranked_sql(TERMS)}, {POINTS}, s AS (SELECT document_id AS doc_id, embedding_type, max({COS}) AS score FROM points GROUP BY 1, 2),
  u AS (SELECT doc_id, score, 'semantic_v2' AS search_type, 0 AS priority FROM (SELECT * FROM s WHERE embedding_type = 'v2' ORDER BY score DESC, doc_id LIMIT 15) a
@@ -255,7 +254,7 @@ def unified_search(spark, sf):
     return fusion.first_seen([("semantic_v2", by_type("v2")), ("vlm", by_type("vlm")), ("fulltext", words)], 30)
 
 
-@query(
+@scored_query(
     "merge_step_results",
     f"""WITH {ranked_sql(TERMS)}, t AS (SELECT * FROM ranked ORDER BY score DESC, doc_id LIMIT 15),
  n AS (SELECT doc_id, source FROM documents WHERE text ILIKE '%er ha%' ORDER BY doc_id LIMIT 25)
@@ -367,11 +366,6 @@ def embed_status_rollup(spark, sf):
     return vectors.embed_status_rollup(chunks)
 
 
-@query("hashed_embedding")
-def hashed_embedding(spark, sf):
-    return vectors.hashed_embedding(corpus(spark, sf))
-
-
 @query(
     "cost_estimate",
     "SELECT count(*) AS vectors, count(*) * 500 AS tokens, round(count(*) * 500 * 0.02::DOUBLE / 1000000, 6) AS cost_usd FROM embeddings",

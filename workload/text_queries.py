@@ -57,7 +57,7 @@ def image_summary(spark, sf):
 
 @query(
     "text_stats",
-    """SELECT doc_id, substr(text, 1, 500000) AS stored_text, length(text) AS text_length, substr(text, 1, 100000) AS index_text FROM documents""",
+    """SELECT doc_id, text AS stored_text, length(text) AS text_length, text AS index_text FROM documents""",
 )
 def text_stats(spark, sf):
     return raw(spark, sf).select("doc_id", tx.text_stats(F.col("text")).alias("s")).select("doc_id", "s.*")
@@ -400,7 +400,7 @@ def parse_findings_naive(spark, sf):
 
 @query(
     "effective_text",
-    f"WITH {DOCS} SELECT doc_id, substr(coalesce(nullif(text, ''), nullif(extracted_text, '')), 1, 50000) AS body FROM docs",
+    f"WITH {DOCS} SELECT doc_id, coalesce(nullif(text, ''), nullif(extracted_text, '')) AS body FROM docs",
 )
 def effective_text(spark, sf):
     return docs(spark, sf).select("doc_id", tx.effective_text(F.col("text"), F.col("extracted_text")).alias("body"))
