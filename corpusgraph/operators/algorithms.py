@@ -96,6 +96,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most: int = 60) ->
         before, mark = mark, _signature(pairs)
         if before == mark:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {most} rounds")
     roots = pairs.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
     return nodes.select("id").join(roots, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
@@ -222,6 +224,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, samples: int = 1000, seed: i
             break
         levels.append(frontier)
         seen = seen.unionByName(frontier.select("source", "id"))
+    else:
+        raise RuntimeError(f"shortest paths longer than {most} hops: raise ``most``")
     below = levels[-1].withColumn("delta", F.lit(0.0))
     collected = None
     for level in reversed(levels[:-1]):

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from corpusgraph.functions.markup import strip_tags
 from corpusgraph.session import scratch_path
 
-# Rows an export may hold per search mode.
+# Rows a service's export holds per search mode.
 EXPORT_LIMITS = {"fulltext": 5000, "hybrid": 5000, "semantic": 1000}
 BOM = "﻿"
 
 
-def export_rows(results: DataFrame, mode: str = "fulltext") -> DataFrame:
-    """Search results as flat export rows, best first, within the mode's limit.
+def export_rows(results: DataFrame, limit: int | None = None) -> DataFrame:
+    """Search results as flat export rows, best first; the first ``limit`` if given.
 
     ``results`` has filename, source, doc_type, date, score, snippet and an
     ``entities`` array of structs with a name.
     """
-    top = results.orderBy(F.desc("score"), "filename").limit(EXPORT_LIMITS[mode])
+    top = results.orderBy(F.desc("score"), "filename")
+    top = top if limit is None else top.limit(limit)
     return top.select(
         "filename", "source", F.coalesce("doc_type", F.lit("")).alias("doc_type"),
         F.coalesce(F.col("date").cast("string"), F.lit("")).alias("date"), "score",
@@ -28,23 +29,13 @@ def export_rows(results: DataFrame, mode: str = "fulltext") -> DataFrame:
     )
 
 
-def csv_lines(rows: DataFrame) -> DataFrame:
-    """RFC-4180 lines of the rows: a field is quoted only when it must be."""
-
-    def field(name: str):
-        text = F.coalesce(F.col(name).cast("string"), F.lit(""))
-        doubled = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
-        return F.when(text.rlike('[,"\n\r]'), doubled).otherwise(text)
-
-    return rows.select(F.concat_ws(",", *[field(c) for c in rows.columns]).alias("line"))
-
-
-def export_csv(results: DataFrame, path: str, mode: str = "fulltext") -> None:
-    """Write the export as CSV with header; bounded by the mode's limit."""
-    rows = export_rows(results, mode)
+def export_csv(results: DataFrame, path: str, limit: int | None = None) -> None:
+    """Write the export as CSV with header: one file for a limited page, else a file per task."""
+    rows = export_rows(results, limit)
     first, *rest = rows.columns
     # The byte-order mark in front of the first header name makes spreadsheets read UTF-8.
-    rows.withColumnRenamed(first, BOM + first).coalesce(1).write.mode("overwrite").csv(
+    named = rows.withColumnRenamed(first, BOM + first)
+    (named if limit is None else named.coalesce(1)).write.mode("overwrite").csv(
         path, header=True, quote='"', escape='"', lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
 
@@ -54,11 +45,6 @@ def export_json(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
 
 
-def json_rows(results: DataFrame) -> DataFrame:
-    """Each row as one JSON document."""
-    return results.select(F.to_json(F.struct(*results.columns)).alias("json"))
-
-
 def merge_points(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert on ``point_id``: incoming rows replace stored ones, the latest ``indexed_at`` wins."""
     old = existing.withColumn("_incoming", F.lit(0))

@@ -282,51 +282,6 @@ def entity_network(spark, sf):
 
 
 # Sources and sinks.
-@query("list_objects")
-def list_objects(spark, sf):
-    return files.list_objects(spark, sf)
-
-
-@query("scan_files")
-def scan_files(spark, sf):
-    return files.scan_files(spark, sf, [".parquet"])
-
-
-def archives(spark, sf):
-    """One ZIP per hundred documents, built by Spark from the document texts."""
-    import io
-    import zipfile
-
-    def pack(key, pdf):
-        import pandas as pd
-
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-            for doc_id, text in sorted(zip(pdf["doc_id"], pdf["text"])):
-                z.writestr(f"texts/{doc_id}.txt", text)
-        return pd.DataFrame({"path": [f"batch_{key[0]}.zip"], "content": [buffer.getvalue()]})
-
-    d = table(spark, sf, "documents").select((F.col("doc_id") / 100).cast("bigint").alias("batch"), "doc_id", "text")
-    return d.groupBy("batch").applyInPandas(pack, "path string, content binary")
-
-
-@query(
-    "scan_archives",
-    """SELECT 'batch_' || CAST(floor(doc_id / 100) AS BIGINT) || '.zip' AS path, 'texts/' || doc_id || '.txt' AS entry, octet_length(encode(text)) AS size,
- md5(text) AS digest FROM documents""",
-)
-def scan_archives(spark, sf):
-    return files.scan_archives(archives(spark, sf)).select("path", "entry", "size", F.md5("body").alias("digest"))
-
-
-@query(
-    "archive_report",
-    """SELECT 'batch_' || CAST(floor(doc_id / 100) AS BIGINT) || '.zip' AS path, count(*) AS ok, 0::BIGINT AS errors, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY 1""",
-)
-def archive_report(spark, sf):
-    return files.archive_report(files.scan_archives(archives(spark, sf)))
-
-
 @query(
     "join_sidecar_text",
     f"""WITH {DOCS} SELECT doc_id, filename, t.quality || '/' || t.toxic AS text, regexp_replace(filename, '[.][^.]*$', '') AS stem FROM docs LEFT JOIN labels t USING (doc_id)""",
@@ -354,8 +309,8 @@ def read_table(spark, sf):
 
 EXPORTED = f"""{RUNS_SQL}, e AS (SELECT doc_id, string_agg(name, '; ' ORDER BY name) AS entities FROM runs GROUP BY 1),
  x AS (SELECT 'doc_' || doc_id || '.pdf' AS filename, source, lang AS doc_type, '' AS date, CAST(n_chars AS DOUBLE) AS score,
-  regexp_replace('<mark>' || substr(text, 1, 80) || '</mark>', '<[^>]*>', '', 'g') AS snippet, coalesce(entities, '') AS entities
-  FROM documents LEFT JOIN e USING (doc_id) ORDER BY score DESC, filename LIMIT 1000)"""
+  regexp_replace('<mark>' || text || '</mark>', '<[^>]*>', '', 'g') AS snippet, coalesce(entities, '') AS entities
+  FROM documents LEFT JOIN e USING (doc_id))"""
 
 
 def export_rows(spark, sf):
@@ -363,10 +318,10 @@ def export_rows(spark, sf):
     results = table(spark, sf, "documents").join(names, "doc_id", "left").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), "source", F.col("lang").alias("doc_type"),
         F.lit(None).cast("timestamp").alias("date"), F.col("n_chars").cast("double").alias("score"),
-        F.concat(F.lit("<mark>"), F.substring("text", 1, 80), F.lit("</mark>")).alias("snippet"),
+        F.concat(F.lit("<mark>"), F.col("text"), F.lit("</mark>")).alias("snippet"),
         F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"))).alias("entities"),
     )
-    return sinks.export_rows(results, "semantic")
+    return sinks.export_rows(results)
 
 
 @query("export_rows", f"WITH {EXPORTED} SELECT filename, source, doc_type, date, score, snippet, entities FROM x")
@@ -374,18 +329,7 @@ def exported(spark, sf):
     return export_rows(spark, sf)
 
 
-_FIELD = """CASE WHEN regexp_matches({0}, '[,"\\n\\r]') THEN '"' || replace({0}, '"', '""') || '"' ELSE {0} END"""
-
-
-@query(
-    "csv_lines",
-    "SELECT " + " || ',' || ".join(_FIELD.format(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "text")) + " AS line FROM documents",
-)
-def csv_lines(spark, sf):
-    return sinks.csv_lines(table(spark, sf, "documents").select("doc_id", "source", "text"))
-
-
-@query("export_csv", "SELECT o_orderkey AS filename, o_orderstatus AS source FROM orders ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR) LIMIT 5000")
+@query("export_csv", "SELECT o_orderkey AS filename, o_orderstatus AS source FROM orders")
 def export_csv(spark, sf):
     """Writes the export and reads it back."""
     from corpusgraph.session import scratch_path

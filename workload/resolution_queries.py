@@ -184,14 +184,14 @@ def entity_edges(spark, sf):
     return members(spark, sf).unionByName(graph.co_mentions(nodes(spark, sf), mentions(spark, sf)))
 
 
-@query(
-    "pagerank",
-    f"""WITH RECURSIVE {ENTITY_EDGES}, w AS MATERIALIZED (SELECT src AS a, dst AS b FROM ee UNION SELECT dst, src FROM ee),
+RANKED = f"""{ENTITY_EDGES}, w AS MATERIALIZED (SELECT src AS a, dst AS b FROM ee UNION SELECT dst, src FROM ee),
  o AS MATERIALIZED (SELECT a, count(*) AS out FROM w GROUP BY 1), v AS (SELECT id FROM nodes WHERE label <> 'Document'),
  pr(it, id, rank) AS (SELECT 0, id, 0.15::DOUBLE FROM v UNION ALL
-  SELECT it + 1, b, 0.15::DOUBLE + 0.85::DOUBLE * sum(rank / out) FROM pr JOIN w ON w.a = pr.id JOIN o ON o.a = pr.id WHERE it < 20 GROUP BY it, b)
- SELECT v.id, round(coalesce(rank, 0.15), 6) AS pagerank FROM v LEFT JOIN (SELECT * FROM pr WHERE it = 20) p ON v.id = p.id""",
-)
+  SELECT it + 1, b, 0.15::DOUBLE + 0.85::DOUBLE * sum(rank / out) FROM pr JOIN w ON w.a = pr.id JOIN o ON o.a = pr.id WHERE it < 20 GROUP BY it, b),
+ metrics AS (SELECT v.id, round(coalesce(rank, 0.15), 6) AS pagerank FROM v LEFT JOIN (SELECT * FROM pr WHERE it = 20) p ON v.id = p.id)"""
+
+
+@query("pagerank", f"WITH RECURSIVE {RANKED} SELECT id, pagerank FROM metrics")
 def pagerank(spark, sf):
     return algorithms.pagerank(entity_nodes(spark, sf), entity_edges(spark, sf)).withColumn("pagerank", F.round("pagerank", 6))
 
@@ -206,13 +206,13 @@ def betweenness(spark, sf):
     return algorithms.betweenness(entity_nodes(spark, sf), members(spark, sf), samples=8).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query(
-    "connected_components",
-    """WITH RECURSIVE v AS (SELECT doc_id * 2 AS id, md5(text) AS h, source FROM documents),
+COMPONENTS = """v AS (SELECT doc_id * 2 AS id, md5(text) AS h, source FROM documents),
  e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.h = b.h AND a.id <> b.id),
- r(id, root) AS (SELECT id, id FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b)
- SELECT id, min(root) AS component FROM r GROUP BY 1""",
-)
+ r(id, root) AS (SELECT id, id FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b),
+ comp AS (SELECT id, min(root) AS component FROM r GROUP BY 1)"""
+
+
+@query("connected_components", f"WITH RECURSIVE {COMPONENTS} SELECT id, component FROM comp")
 def connected_components(spark, sf):
     d = table(spark, sf, "documents").select((F.col("doc_id") * 2).alias("id"), F.md5("text").alias("h"))
     first = d.groupBy("h").agg(F.min("id").alias("dst"))
@@ -220,27 +220,20 @@ def connected_components(spark, sf):
     return algorithms.connected_components(d, links)
 
 
-RANKED = f"""{ENTITY_EDGES}, deg AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM ee UNION ALL SELECT dst FROM ee) q GROUP BY 1),
- metrics AS (SELECT n.id, d / 10.0::DOUBLE AS pagerank, n.id % 7 AS community FROM nodes n LEFT JOIN deg USING (id) WHERE label <> 'Document')"""
-
-
-def _metrics(spark, sf):
-    deg = graph.degree(entity_nodes(spark, sf), entity_edges(spark, sf))
-    ranks = deg.select("id", F.when(F.col("connections") > 0, F.col("connections") / 10.0).alias("pagerank"))
-    groups = deg.select("id", (F.col("id") % 7).alias("community"))
-    return algorithms.node_metrics(deg.select("id"), ranks, groups, deg.select("id", F.lit(None).cast("double").alias("betweenness")))
+def _ranks(spark, sf):
+    return entity_nodes(spark, sf).select("id").join(pagerank(spark, sf), "id", "left")
 
 
-@query("rank_by", f"WITH {RANKED} SELECT id, pagerank, community FROM metrics WHERE pagerank IS NOT NULL ORDER BY pagerank DESC, id LIMIT 25")
+@query("rank_by", f"WITH RECURSIVE {RANKED} SELECT id, pagerank FROM metrics ORDER BY pagerank DESC, id LIMIT 25")
 def rank_by(spark, sf):
-    return algorithms.rank_by(_metrics(spark, sf), "pagerank").select("id", "pagerank", "community")
+    return algorithms.rank_by(_ranks(spark, sf), "pagerank").select("id", "pagerank")
 
 
-@query("community_sizes", f"WITH {RANKED} SELECT community, count(*) AS size FROM metrics GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+@query("community_sizes", f"WITH RECURSIVE {COMPONENTS} SELECT component AS community, count(*) AS size FROM comp GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
 def community_sizes(spark, sf):
-    return algorithms.community_sizes(_metrics(spark, sf))
+    return algorithms.community_sizes(connected_components(spark, sf).withColumnRenamed("component", "community"))
 
 
-@query("algorithm_status", f"WITH {RANKED} SELECT count(pagerank) AS node_count, timestamp '2024-02-01 00:00:00' AS last_computed FROM metrics")
+@query("algorithm_status", f"WITH RECURSIVE {RANKED} SELECT count(pagerank) AS node_count, timestamp '2024-02-01 00:00:00' AS last_computed FROM metrics")
 def algorithm_status(spark, sf):
-    return algorithms.algorithm_status(_metrics(spark, sf), F.expr("timestamp '2024-02-01 00:00:00'"))
+    return algorithms.algorithm_status(_ranks(spark, sf), F.expr("timestamp '2024-02-01 00:00:00'"))
