@@ -26,12 +26,12 @@ from corpusgraph.llm.common import WordHashes, components, mix, rows_of, shingle
 from corpusgraph.session import broadcast_if_small
 
 #: Bits per shingle of the sketch that bounds a pair's symmetric difference from
-#: below, its least size, and the most that buckets carry of it.
+#: below, its least size, and the least and most that buckets carry of it.
 BITS_PER_SHINGLE = 3
 LEAST_BITS = 1024
-MINI_BITS = 4096
+LEAST_MINI, MINI_BITS = 512, 4096
 #: Bucket keys that a member carries, so that a pair is told in few buckets.
-LEAD = 16
+LEAD = 8
 #: Upper end over lower end of a size band.
 BAND = 1.3
 #: Rows of a bucket that one comparison cell takes at a time.
@@ -96,8 +96,8 @@ def parity_bits(found: np.ndarray) -> bytes:
 
 
 def small_sketch(bits: bytes, n: int) -> bytes:
-    """About a bit per shingle of the sketch, enough to tell near from far."""
-    return folded(bits, min(len(bits), MINI_BITS // 8, max(LEAST_BITS, 1 << (n - 1).bit_length()) // 8)).tobytes()
+    """About half a bit per shingle of the sketch, enough to tell near from far."""
+    return folded(bits, min(MINI_BITS, max(LEAST_MINI, 1 << (n // 2).bit_length())) // 8).tobytes()
 
 
 def folded(bits: bytes, size: int) -> np.ndarray:
@@ -105,43 +105,78 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
 
 
-def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, node, twin, bits, mini, keys`` per row; ``node`` names the shingle set.
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, n_shingles, node, twin, bits, mini`` per row; ``node`` names the shingle set.
 
-    Copies met again in the same task carry no keys: their set has offered its pieces.
+    Copies met again in the same task carry no sketch: their set has given it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, done = WordHashes(), set()
         for whole in batches:
             for batch in rows_of(whole):
-                size, node, twin, bits, mini, keys = [], [], [], [], [], []
+                size, node, twin, bits, mini = [], [], [], [], []
                 for text in batch.column("text").to_pylist():
                     found = shingles(text, words, seen)
                     size.append(len(found))
-                    if not len(found):
-                        node.append(None), twin.append(None), bits.append(None), mini.append(None), keys.append(None)
-                        continue
-                    with np.errstate(over="ignore"):
-                        name = int(mix(found).sum(dtype=np.uint64).astype(np.int64))
-                        other = int(mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64))
+                    name, other = names_of(found)
                     node.append(name), twin.append(other)
-                    if name in done:
-                        bits.append(None), mini.append(None), keys.append(None)
+                    if name is None or name in done:
+                        bits.append(None), mini.append(None)
                         continue
-                    if len(done) >= 1_000_000:
-                        done.clear()
-                    done.add(name)
-                    bits.append(parity_bits(found)), mini.append(small_sketch(bits[-1], len(found))), keys.append(piece_keys(found, percent).view(np.int64))
+                    remember(done, name)
+                    bits.append(parity_bits(found)), mini.append(small_sketch(bits[-1], len(found)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(bits, pa.binary()), pa.array(mini, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "node", "twin", "bits", "mini", "keys"],
+                    [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(bits, pa.binary()), pa.array(mini, pa.binary())],
+                    names=["doc_id", "n_shingles", "node", "twin", "bits", "mini"],
                 )
 
-    schema = "doc_id long, n_shingles long, node long, twin long, bits binary, mini binary, keys array<long>"
+    schema = "doc_id long, n_shingles long, node long, twin long, bits binary, mini binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def offers(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``node, key``: the pieces that each shingle set offers.
+
+    Straight into the shuffle: pieces are many times the sketches, and reading
+    the texts twice costs less than keeping them. Copies met again in the same
+    task offer nothing new.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, done = WordHashes(), set()
+        for whole in batches:
+            for batch in rows_of(whole):
+                node, keys = [], []
+                for text in batch.column("text").to_pylist():
+                    found = shingles(text, words, seen)
+                    name, _ = names_of(found)
+                    if name is None or name in done:
+                        continue
+                    remember(done, name)
+                    keys.append(piece_keys(found, percent).view(np.int64))
+                    node.append(np.full(len(keys[-1]), name, np.int64))
+                if node:
+                    yield pa.RecordBatch.from_pydict({"node": np.concatenate(node), "key": np.concatenate(keys)})
+
+    return docs.select("text").mapInArrow(run, "node long, key long")
+
+
+def names_of(found: np.ndarray) -> tuple[int | None, int | None]:
+    """Two 64-bit names of a shingle set; the second shows if two sets share the first."""
+    if not len(found):
+        return None, None
+    with np.errstate(over="ignore"):
+        first, second = mix(found).sum(dtype=np.uint64), mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+    return int(first.astype(np.int64)), int(second.astype(np.int64))
+
+
+def remember(done: set, name: int, most: int = 1_000_000) -> None:
+    if len(done) >= most:
+        done.clear()
+    done.add(name)
+
+
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hamming distances of sketch rows."""
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
@@ -278,7 +313,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     Extra columns of ``docs`` are ignored. A row without doc_id keeps a null
     component unless its set is shared. An empty table gives an empty result.
     """
-    feats = stored(sketches(docs, words, percent), "sketches")
+    feats = stored(sketches(docs, words), "sketches")
     nodes = stored(
         feats.filter("bits IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("mini").alias("mini"), F.min("twin").alias("t0"), F.max("twin").alias("t1")),
         "nodes",
@@ -287,8 +322,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         raise RuntimeError("two shingle sets share a 64-bit name")
     # A bucket's rows are chained to its smallest node: no pairs within a bucket.
     bucket = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offers = feats.filter("keys IS NOT NULL").select("node", F.explode("keys").alias("key"))
-    stars = stored(offers.withColumn("head", F.first("node").over(bucket)).filter("head <> node"), "stars")
+    stars = stored(offers(docs, words, percent).withColumn("head", F.first("node").over(bucket)).filter("head <> node"), "stars")
 
     # First the links to bucket heads; most copies settle here.
     first = stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
