@@ -160,11 +160,6 @@ def score_forms(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("similarity", jaro_winkler("a", "b"))
 
 
-def block_pairs(keyed: DataFrame, threshold: float = AMBIGUOUS) -> DataFrame:
-    """Candidate entity pairs (label, id_a, id_b, normalized_a, normalized_b), id_a < id_b."""
-    return score_pairs(keyed, threshold, floor=None).drop("similarity")
-
-
 def score_pairs(keyed: DataFrame, threshold: float = AMBIGUOUS, floor: float | None = AMBIGUOUS) -> DataFrame:
     """All entity pairs of a block with similarity of at least ``threshold``, scored.
 

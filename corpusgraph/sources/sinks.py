@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from corpusgraph.functions.markup import strip_tags
 from corpusgraph.session import scratch_path
 
-# Rows a service's export holds per search mode.
-EXPORT_LIMITS = {"fulltext": 5000, "hybrid": 5000, "semantic": 1000}
 BOM = "﻿"
 
 
@@ -58,8 +56,9 @@ def merge_points(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def write_points(spark: SparkSession, incoming: DataFrame, path: str) -> None:
     """Upsert points into a Parquet table; running it twice changes nothing.
 
-    The merged table is first written to the shared folder, so a failure in
-    between leaves the stored one as it was.
+    The merged table is first written whole to the shared folder.  The swap is
+    not atomic: a failure during it leaves the merged rows there, below
+    ``points-``, from where they can be copied back.
     """
     if not _exists(spark, path):
         incoming.write.parquet(path)

@@ -104,8 +104,8 @@ def rate_limit_exact(stream: DataFrame, user: str, ts: str, event: str, limit: i
     """(user, event, ts, accepted): at most ``limit`` hits per key that expires
     ``ttl_seconds`` after the last accepted hit; rejected hits do not renew it.
 
-    The state per user is two numbers.  Rows of one batch are taken in time
-    order; the state is dropped when a key has expired for an hour.
+    The state per user is two numbers and is kept; rows of one batch are taken
+    in time order, and batches in the order they arrive.
     """
 
     def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

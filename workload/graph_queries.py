@@ -201,6 +201,11 @@ def restrict_types(spark, sf):
     return graph.restrict_types(edges(spark, sf), ["MEMBER_OF", "DROP TABLE"])
 
 
+@query("restrict_labels", f"WITH {GRAPH} SELECT id, label, name FROM nodes WHERE label IN ('Person', 'Location')")
+def restrict_labels(spark, sf):
+    return graph.restrict_labels(nodes(spark, sf), ["Person", "Location", "Secret"]).select("id", "label", "name")
+
+
 @query(
     "expand_subgraph",
     f"""WITH {GRAPH}, {WAYS} SELECT DISTINCT id, label, name FROM nodes WHERE id IN (SELECT other FROM ways WHERE node IN (5, 9))""",
