@@ -27,7 +27,7 @@ from corpusgraph.session import broadcast_if_small
 
 #: Bits per shingle of the sketch that bounds a pair's symmetric difference from
 #: below, its least size, and the least and most that buckets carry of it.
-BITS_PER_SHINGLE = 3
+BITS_PER_SHINGLE = 2
 LEAST_BITS = 1024
 LEAST_MINI, MINI_BITS = 512, 4096
 #: Bucket keys that a member carries, so that a pair is told in few buckets.
@@ -333,7 +333,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     named = nodes.join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "mini")
     leads = members.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAD).alias("lead"))
     more = verified(near_pairs(cross_pairs(members.join(named, "node").join(leads, "node"), percent), nodes, percent), nodes, docs, words, percent)
-    comps = components(edges.union(more))
+    # Links between components of the first step count once, however many copies they join.
+    side = lambda c: named.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    joined = more.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    comps = components(edges.union(joined))
 
     # Names to smallest doc_id, over the nodes and then over the rows.
     least = feats.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
