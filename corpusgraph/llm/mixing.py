@@ -1,12 +1,13 @@
 """Mixing sources to target weights by soft membership.
 
 A classifier fitted on a labelled table gives every document a probability for
-each domain. Projected gradient then solves the least-squares problem of
-nonnegative document rates whose expected tokens per domain meet the targets.
+each domain. Newton steps on one multiplier per domain then find nonnegative
+document rates, near 1, whose expected tokens per domain meet the targets.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,13 @@ from corpusgraph.llm.quality import bounded
 #: Most labelled rows that the classifier is fitted on, and its hashed features.
 SAMPLE = 10_000
 FEATURES = 1 << 16
-#: Rounds at most, weight of the pull to rate 1 against the misfit, and misfit that ends the search.
+#: Rounds a problem may take before it is an error, weight of the pull to rate 1 against the misfit, and misfit that ends the search.
 ROUNDS = 60
 PULL = 1e-3
 CLOSE = 1e-4
+#: Step lengths tried in one pass, and powers of ten by which the pull may fall for the targets' sake.
+STEPS = 8
+WEAKER = 6
 
 
 def domains(labels: DataFrame) -> DataFrame:
@@ -71,80 +75,100 @@ def posteriors(docs: DataFrame, labelled: DataFrame, names: list[str], sample: i
     return out.select("doc_id", "tokens", F.array(*(F.get(p, F.lit(k)) if k in seen else F.lit(0.0) for k in range(len(names)))).alias("p"))
 
 
-def _rates(a: np.ndarray, steps: list[np.ndarray], size: float, pull: float, low: float, high: float) -> np.ndarray:
-    """Rates after the given gradient steps: each round's descent depends on a row's own shares alone."""
-    r = np.ones(len(a))
-    for g in steps:
-        r = np.clip(r - size * (a @ g + pull * (r - 1)), low, high)
-    return r
+def _rates(p: np.ndarray, tokens: np.ndarray, dual: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Rates at the given multipliers: a row's own shares decide, not its length. No tokens, no change."""
+    return np.where(tokens > 0, np.clip(1 - p @ dual, low, high), 1.0)
 
 
-def _shares(batch: pa.RecordBatch, k: int, unit: float) -> np.ndarray:
+def _columns(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-    return p * (batch.column("tokens").to_numpy(zero_copy_only=False) / unit)[:, None]
+    return p, batch.column("tokens").to_numpy(zero_copy_only=False).astype(float)
 
 
-def fit_rates(rated: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, pull: float = PULL, low: float = 0.0, high: float = 10.0) -> tuple[DataFrame, np.ndarray]:
+def fit_rates(rated: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, pull: float = PULL, low: float = 0.0, high: float = np.inf) -> tuple[DataFrame, np.ndarray]:
     """``rated`` with ``rate``, and the expected tokens per domain that the rates give.
 
-    Minimises |sum_i rate_i tokens_i p_i - targets|^2, scaled to the mean row,
-    plus ``pull`` times the squared distance of rates from 1, over rates in
-    [low, high]. One round is one pass over the stored posteriors that adds up
-    K numbers; rows keep no state, since a rate follows from the list of
-    gradients so far. Extra rows cost time in proportion and no memory.
+    Of the rates in [low, high] whose expected tokens per domain are within
+    ``CLOSE`` of ``targets``, those near 1 in squares weighted by tokens. If no
+    rates meet the targets, those that minimise the squared misfit plus
+    ``pull`` times these squares, as shares of all tokens; the misfit shows in
+    the second result. Either is a convex problem in K multipliers, solved by
+    Newton steps. One step is one pass over the stored posteriors that adds up
+    the gradient and the K x K curvature for a few step lengths; rows keep no
+    state. Raises if ``rounds`` steps do not settle a problem.
     """
     k = len(targets)
     spark = rated.sparkSession
-    n, squares = rated.agg(F.count("*"), F.sum(F.pow(F.col("tokens").cast("double"), 2))).first()
-    if not n or not squares:
+    total = rated.agg(F.sum("tokens")).first()[0]
+    if not total:
         return rated.withColumn("rate", F.lit(1.0)), np.zeros(k)
-    # In units of the root mean square of tokens the Hessian's norm is at most 1 + pull.
-    unit = float(np.sqrt(squares / n))
-    goal = targets / unit / n
-    size = 1 / (1 + pull)
-    steps: list[np.ndarray] = []
+    goal = targets / total
+    close = CLOSE * max(np.abs(goal).max(), 1e-12)
+    width = 1 + k + k * k
+
+    def sums(duals: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Per candidate: value of the dual without its penalty, tokens per domain, curvature."""
 
-    def totals(steps: list[np.ndarray]) -> np.ndarray:
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k)
+            out = np.zeros((len(duals), width))
             for b in batches:
-                a = _shares(b, k, unit)
-                total += _rates(a, steps, size, pull, low, high) @ a
-            yield pa.RecordBatch.from_pydict({"at": pa.array(range(k), pa.int64()), "total": total})
-
-        sums = rated.select("tokens", "p").mapInArrow(part, "at long, total double").groupBy("at").agg(F.sum("total").alias("total")).collect()
-        return np.array([x.total for x in sorted(sums)]) / n
-
-    have = totals(steps)
-    # Momentum on the K sums: the gradient is taken ahead of the last change.
-    velocity = np.zeros(k)
-    for _ in range(rounds):
-        gap = have - goal
-        if np.abs(gap).max() <= CLOSE * max(np.abs(goal).max(), 1e-12):
+                p, tokens = _columns(b, k)
+                for i, dual in enumerate(duals):
+                    r, s = _rates(p, tokens, dual, low, high), p @ dual
+                    free = tokens * ((1 - s > low) & (1 - s < high))
+                    out[i, 0] += tokens @ (-((r - 1) ** 2) / 2 - r * s)
+                    out[i, 1 : 1 + k] += (r * tokens) @ p
+                    out[i, 1 + k :] += ((p * free[:, None]).T @ p).ravel()
+            yield pa.RecordBatch.from_pydict({"sums": [out.tobytes()]})
+
+        # One row per part, of a few K x K numbers.
+        rows = rated.select("tokens", "p").mapInArrow(part, "sums binary").collect()
+        added = sum(np.frombuffer(x.sums).reshape(len(duals), width) for x in rows) / total
+        return [(x[0] + goal @ d, x[1 : 1 + k], x[1 + k :].reshape(k, k)) for x, d in zip(added, duals)]
+
+    def settle(dual: np.ndarray, at: tuple, penalty: float) -> tuple[np.ndarray, tuple]:
+        """The optimum for a penalty on the multipliers, or the first point on the way that meets the targets."""
+        for _ in range(rounds):
+            value, have, curve = at
+            slope = have - goal - penalty * dual
+            if np.abs(have - goal).max() <= close or np.abs(slope).max() <= close / 10:
+                return dual, at
+            step = np.linalg.solve(curve + penalty * np.eye(k), slope)
+            tries = [dual + step / 4**j for j in range(STEPS)]
+            found = sums(tries)
+            best = min(range(STEPS), key=lambda i: found[i][0] + penalty / 2 * tries[i] @ tries[i])
+            dual, at = tries[best], found[best]
+        raise RuntimeError(f"rates did not settle in {rounds} rounds; misfit {np.abs(at[1] - goal).max():.2e} of all tokens")
+
+    dual = np.zeros(k)
+    first = last = settle(dual, sums([dual])[0], pull)
+    # A smaller penalty lets the multipliers grow until the targets are met, if rates can meet them at all.
+    for penalty in (pull / 10**j for j in range(1, WEAKER + 1)):
+        if np.abs(last[1][1] - goal).max() <= close:
             break
-        velocity = 0.8 * velocity + gap
-        steps.append(velocity.copy())
-        have = totals(steps)
-    held = spark.sparkContext.broadcast(steps)
+        last = settle(*last, penalty)
+    dual, (_, have, _) = last if np.abs(last[1][1] - goal).max() <= close else first
+    held = spark.sparkContext.broadcast(dual)
 
     @F.pandas_udf("double")
     def rate(tokens: pd.Series, p: pd.Series) -> pd.Series:
-        a = np.stack(p.to_numpy()) * (tokens.to_numpy() / unit)[:, None]
-        return pd.Series(_rates(a, held.value, size, pull, low, high))
+        return pd.Series(_rates(np.stack(p.to_numpy()), tokens.to_numpy(), held.value, low, high))
 
-    return rated.withColumn("rate", rate("tokens", "p")), have * n * unit
+    return rated.withColumn("rate", rate("tokens", "p")), have * total
 
 
 def mix_rates(
     docs: DataFrame, labelled: DataFrame, weights: dict[str, float], growth: float = 1.0,
-    sample: int = SAMPLE, low: float = 0.0, high: float = 10.0, seed: int = 17, rounding: str = "sampled",
+    sample: int = SAMPLE, low: float = 0.0, high: float = np.inf, seed: int = 17, rounding: str = "sampled",
 ) -> DataFrame:
     """``doc_id, tokens, p, rate, copies`` per row of ``docs``.
 
     ``weights`` are the domains' shares of ``growth`` times the tokens of
     ``docs``. ``rate`` is the expected number of copies; ``copies`` is
     an integer, drawn by a hash of doc_id and ``seed`` so that its mean is the
-    rate (``rounding="nearest"`` takes the nearest integer instead). Null and
+    rate (``rounding="nearest"`` takes the nearest integer instead). The
+    metadata of ``rate`` name the tokens wanted and reached per domain; a miss,
+    when no rates in [low, high] meet the targets, is logged too. Null and
     empty texts have no tokens and keep rate 1. A null doc_id is drawn like any
     other; rows of one doc_id with one text share their draw. Extra columns are
     ignored, an empty table gives an empty result.
@@ -154,7 +178,10 @@ def mix_rates(
     there = rated.agg(F.sum("tokens")).first()[0] or 0
     goal = np.array([weights[d] for d in names], float)
     goal = goal / goal.sum() * there * growth
-    rates, _ = fit_rates(rated, goal, low=low, high=high)
+    rates, have = fit_rates(rated, goal, low=low, high=high)
+    if np.abs(have - goal).max(initial=0) > CLOSE * goal.max(initial=0):
+        logging.getLogger(__name__).warning("no rates in bounds meet the targets: tokens wanted %s, reached %s", dict(zip(names, goal.tolist())), dict(zip(names, have.tolist())))
+    rates = rates.withMetadata("rate", {"domains": names, "targets": goal.tolist(), "reached": have.tolist()})
     if rounding == "nearest":
         copies = F.floor(F.col("rate") + 0.5)
     else:

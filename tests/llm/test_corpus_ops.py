@@ -173,6 +173,33 @@ def test_rates_meet_targets(spark):
     assert np.abs(rate @ a / len(a) - g).max() < 0.002 * g.max()
 
 
+@pytest.mark.parametrize("rare,long", [(0.08, 20), (0.01, 0), (0.01, 20)])
+def test_rates_meet_targets_with_long_texts_and_rare_domains(spark, rare, long):
+    rnd = np.random.default_rng(8)
+    kinds = rnd.choice(3, 3000, p=[1 - 2 * rare, rare, rare])
+    p = np.full((3000, 3), 0.03) + 0.91 * np.eye(3)[kinds]
+    p = np.concatenate([p, [[0.98, 0.01, 0.01]] * long]) if long else p
+    tokens = np.concatenate([rnd.integers(20, 400, 3000), np.full(long, 200_000)]).astype(int)
+    rated = spark.createDataFrame([(i, int(t), [float(x) for x in q]) for i, (t, q) in enumerate(zip(tokens, p))], "doc_id long, tokens long, p array<double>")
+    goal = np.array([0.8, 0.1, 0.1]) * tokens.sum()
+    out, have = mixing.fit_rates(rated, goal)
+    rate = np.array([r.rate for r in out.orderBy("doc_id").collect()])
+    assert (rate >= 0).all() and np.allclose(rate @ (p * tokens[:, None]), have)
+    assert np.abs(have - goal).max() <= 1e-4 * goal.max()
+    # Out of reach within a caller's bound: the miss is told, the bound is kept.
+    out, have = mixing.fit_rates(rated, goal, low=1.0, high=1.1)
+    assert np.abs(have - goal).max() > 1e-4 * goal.max()
+    assert out.filter("rate < 1 OR rate > 1.1").count() == 0
+
+
+def test_mixing_tells_what_it_reached(spark):
+    rows = [(i, "good plain words here" if i % 3 else "bad bad stuff !!!") for i in range(90)]
+    labels = spark.createDataFrame([(i, "clean" if i % 3 else "junk") for i in range(60)], "doc_id long, domain string")
+    told = mixing.mix_rates(docs(spark, rows), labels, {"clean": 0.5, "junk": 0.1, "toxic": 0.4}).schema["rate"].metadata
+    assert told["domains"] == ["clean", "junk", "toxic"] and told["reached"][2] == 0 < told["targets"][2]
+    assert mixing.mix_rates(docs(spark, []), labels, {"clean": 1.0}).schema["rate"].metadata["reached"] == [0.0]
+
+
 def test_mixing_edges(spark):
     rows = [(i, "good plain words here" if i % 3 else "bad bad stuff !!!") for i in range(90)] + [(200, None), (201, ""), (None, "good words"), (1, "good plain words here")]
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)] + [(61, None, 0), (62, 1, None), (None, 1, 1), (63, 0, 0), (63, 1, 0)], "doc_id long, quality int, toxic int")
