@@ -122,39 +122,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
 
 
-def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, codes: Codes | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for each query, by cosine.
-
-    ``queries`` and ``rows`` share ``key``; a query is no candidate of its own,
-    by its key. Scores are cosines of the original vectors in double precision,
-    ties go to the smaller key. Null and zero vectors, vectors with a null, NaN
-    or infinite component or of another length than most, and null keys take no
-    part. Rows that repeat a key count once each. Extra columns are ignored.
-    Codes are learned on at most ``sample`` rows, every row is indexed, and
-    queries are taken in blocks, one pass over the index each.
-    """
-    spark = rows.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    pick = lambda df: df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sizes = pick(rows).groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    dims = sizes.dims
-    base = pick(rows).filter(F.size("v") == dims)
-    if codes is None:
-        some = bounded(base, sample, "vec_id").limit(2 * sample).toPandas()
-        codes = learn(np.stack(some["v"].to_numpy()).astype(np.float64), k=k)
-    learned = spark.sparkContext.broadcast(codes)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                code = learned.value.encode(units(_matrix(b.column("v"), dims)))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([c.tobytes() for c in code], pa.binary()), b.column("v")], names=["vec_id", "code", "v"])
-
-    kind = dict(base.dtypes)["v"]
-    index = stored(base.mapInArrow(encode, f"vec_id long, code binary, v {kind}"), "code-index")
-    asked = stored(pick(queries).filter(F.size("v") == dims), "queries")
+def _probed(index: DataFrame, asked: DataFrame, codes: Codes, radius: int, k: int, dims: int, query_block: int) -> DataFrame | None:
+    """``query_id, vec_id, score``: at least the ``k`` nearest rows within ``radius`` of each query; None without queries."""
+    spark = index.sparkSession
     blocks = max(1, -(-asked.count() // query_block))
     found = None
     for block in range(blocks):
@@ -162,7 +132,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
         if mine.empty:
             continue
         q = np.stack(mine["v"].to_numpy()).astype(np.float64)
-        held = spark.sparkContext.broadcast((mine["vec_id"].to_numpy(np.int64), q, codes.encode(units(q)), codes.radius))
+        held = spark.sparkContext.broadcast((mine["vec_id"].to_numpy(np.int64), q, codes.encode(units(q)), radius))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, q, qcodes, radius = held.value
@@ -201,6 +171,61 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
 
         part = index.mapInArrow(search, "query_id long, vec_id long, score double")
         found = part if found is None else found.union(part)
+    return found
+
+
+def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, codes: Codes | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for each query, by cosine.
+
+    ``queries`` and ``rows`` share ``key``; a query is no candidate of its own,
+    by its key. Scores are cosines of the original vectors in double precision,
+    ties go to the smaller key. Null and zero vectors, vectors with a null, NaN
+    or infinite component or of another length than most, and null keys take no
+    part. Rows that repeat a key count once each. Extra columns are ignored.
+    Codes are learned on at most ``sample`` rows, every row is indexed, and
+    queries are taken in blocks, one pass over the index each. Queries with
+    fewer than ``k`` rows within the learned radius are asked again with twice
+    the radius, up to all bits, so each gets ``k`` rows, or all candidates if
+    there are fewer.
+    """
+    spark = rows.sparkSession
+    schema = "query_id long, rank int, vec_id long, score double"
+    pick = lambda df: df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    sizes = pick(rows).groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
+    if sizes is None:
+        return spark.createDataFrame([], schema)
+    dims = sizes.dims
+    base = pick(rows).filter(F.size("v") == dims)
+    if codes is None:
+        some = bounded(base, sample, "vec_id").limit(2 * sample).toPandas()
+        codes = learn(np.stack(some["v"].to_numpy()).astype(np.float64), k=k)
+    learned = spark.sparkContext.broadcast(codes)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                code = learned.value.encode(units(_matrix(b.column("v"), dims)))
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([c.tobytes() for c in code], pa.binary()), b.column("v")], names=["vec_id", "code", "v"])
+
+    kind = dict(base.dtypes)["v"]
+    index = stored(base.mapInArrow(encode, f"vec_id long, code binary, v {kind}"), "code-index")
+    asked = stored(pick(queries).filter(F.size("v") == dims), "queries")
+    bits, radius, found = codes.turns.shape[1], codes.radius, None
+    while True:
+        near = _probed(index, asked, codes, min(radius, bits), k, dims, query_block)
+        if near is None:
+            break
+        near = stored(near, "near")
+        if radius >= bits:
+            found = near if found is None else found.union(near)
+            break
+        got = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("got"))
+        want = asked.groupBy("vec_id").agg((F.count("*") * k).alias("want"))
+        short = stored(want.join(got, "vec_id", "left").filter("got IS NULL OR got < want").select("vec_id"), "short")
+        near = near.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+        found = near if found is None else found.union(near)
+        asked = stored(asked.join(short, "vec_id", "left_semi"), "queries")
+        radius = max(1, 2 * radius)
     if found is None:
         return spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -302,6 +302,25 @@ def test_neighbours_recall_and_edges(spark):
     assert ann.neighbours(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_neighbours_of_isolated_vectors_among_near_copies(spark):
+    rnd = np.random.default_rng(6)
+    x = np.repeat(rnd.normal(size=(20, 16)), 60, axis=0) + rnd.normal(size=(1200, 16)) * 1e-6
+    x = np.concatenate([x, rnd.normal(size=(30, 16))])
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    codes = ann.learn(x)
+    assert codes.radius <= 1
+    unit = ann.units(x)
+    asked = table.filter("vec_id >= 1200 OR vec_id % 100 = 0")
+    for block in (4096, 9):
+        got = ann.neighbours(table, asked, codes=codes, query_block=block).toPandas()
+        assert len(got) == 42 * 5 and not (got["query_id"] == got.vec_id).any() and not got.duplicated(["query_id", "vec_id"]).any()
+        assert np.allclose([unit[a] @ unit[b] for a, b in zip(got["query_id"], got.vec_id)], got.score)
+        assert all(sorted(part["rank"]) == [1, 2, 3, 4, 5] for _, part in got.groupby("query_id"))
+    # No more rows than there are, and all of them.
+    few = table.filter("vec_id IN (0, 1200, 1201)")
+    assert ann.neighbours(few, few, codes=codes).count() == 6
+
+
 # pipeline
 
 def test_pipeline_stages(spark, sf):
