@@ -222,6 +222,19 @@ def test_main_text(spark):
     assert (by[51], by[52], by[53], by[54]) == ("", "", "just text & no tags", "")
 
 
+def test_template_branch_with_one_varying_leaf(spark):
+    page = (
+        "<body><div id=wrap><div class=top><p>Our house</p><dl><dt>Open daily</dt></dl><h4>Call us</h4><h5>Since 1950</h5><h6>Visitor {i}</h6></div>"
+        "<div class=story><h2>Story {i}</h2><p>First text {i}</p><p>Second text {i}</p></div></div></body>"
+    )
+    rows = [(i, f"http://host.example/{i}", page.format(i=i)) for i in range(12)]
+    out = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    bare = [(i, "http://bare.example/", f"All rights reserved<p>Story {i}</p>") for i in range(12)]
+    assert {r.text for r in html.extract_text(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()} == {f"Story {i}" for i in range(12)}
+    # The whole branch goes, with the counter; the wrapper, mostly constant too, stays for its story.
+    assert out == {i: f"Story {i}\nFirst text {i}\nSecond text {i}" for i in range(12)}
+
+
 def test_copies_do_not_make_an_article_a_template(spark):
     page = "<body><article><h1>Same</h1><p>Copied article text.</p></article></body>"
     rows = [(i, "http://copies.example/a", page) for i in range(40)]
