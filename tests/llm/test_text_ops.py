@@ -243,6 +243,14 @@ def test_copies_do_not_make_an_article_a_template(spark):
     assert html.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_near_copies_keep_their_articles(spark):
+    quoted = "<body><article><h1>Same</h1><p>Edited {i}</p><blockquote>A rare quotation.</blockquote><ul><li>A list</ul></article></body>"
+    titled = "<body><main><h1>Title {i}</h1><p>One text for all.</p></main></body>"
+    rows = [(i, "http://quoted.example/", quoted.format(i=i)) for i in range(10)] + [(10 + i, "http://titled.example/", titled.format(i=i)) for i in range(10)]
+    out = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"Same\nEdited {i}\nA rare quotation.\nA list" if i < 10 else f"Title {i - 10}\nOne text for all." for i in range(20)}
+
+
 def test_very_long_and_broken_pages(spark):
     long = "<div>" * 3000 + "<p>x</p>" * 20_000 + "<b" + "</div>" * 10
     rows = [(1, "http://a.example", long), (2, "http://a.example", "<p>a<!-- c --><p>b<![CDATA[x]]></p></p><table><tr><td>1<td>2</table>")]
