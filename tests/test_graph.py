@@ -78,6 +78,17 @@ def test_pagerank_with_hot_node(spark):
         assert got[i] == pytest.approx(rank[i], abs=1e-9)
 
 
+def test_registered_metrics_take_the_whole_projection(spark, sf, monkeypatch):
+    from workload import resolution_queries as queries
+
+    edges = queries.entity_edges(spark, sf).count()
+    for name in ("communities", "betweenness"):
+        given = {}
+        monkeypatch.setattr(algorithms, name, lambda nodes, edges, given=given, **options: given.update(edges=edges.count(), options=set(options)) or nodes.withColumn("betweenness", F.lit(0.0)))
+        getattr(queries, name)(spark, sf)
+        assert given["edges"] == edges and given["options"] <= {"weight"}
+
+
 def test_communities_of_two_cliques(spark):
     edges = edge_table(spark, CLIQUES)
     rows = algorithms.communities(node_table(spark, [0, 1, 2, 3, 4, 10, 11, 12, 13, 14, 50]), edges).collect()

@@ -200,12 +200,12 @@ def pagerank(spark, sf):
 
 @query("communities")
 def communities(spark, sf):
-    return algorithms.communities(entity_nodes(spark, sf), members(spark, sf), weight=F.col("count"), rounds=3, levels=2)
+    return algorithms.communities(entity_nodes(spark, sf), entity_edges(spark, sf), weight=F.col("count"))
 
 
 @query("betweenness")
 def betweenness(spark, sf):
-    return algorithms.betweenness(entity_nodes(spark, sf), members(spark, sf), samples=8).withColumn("betweenness", F.round("betweenness", 6))
+    return algorithms.betweenness(entity_nodes(spark, sf), entity_edges(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
 
 
 COMPONENTS = """v AS (SELECT doc_id * 2 AS id, md5(text) AS h, source FROM documents),
