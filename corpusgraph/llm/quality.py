@@ -29,6 +29,8 @@ LEAST_DOCS = 8
 LEAST_Z = 6.0
 #: Least probability of the top grade for a document to be accepted.
 LEAST_TAIL = 0.5
+#: Grades of a document: harmful, poor, good.
+GRADES = 3
 #: Letters of a longer word's stem, a feature of its own.
 STEM = 5
 ROUNDS = 40
@@ -162,13 +164,14 @@ def telling(found: DataFrame, counts: dict[int, int], least_docs: int, least_z:
     return seen.filter((F.col("n") >= least_docs) & far).select("f", "n")
 
 
-def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, ridge: float = 2e-4, least_docs: int = LEAST_DOCS) -> OrdinalModel:
+def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, ridge: float = 2e-4, least_docs: int = LEAST_DOCS, grades: int = GRADES) -> OrdinalModel:
     """A cumulative-link model of ``ratings`` (``doc_id, grade`` from 0 up) on the texts of ``docs``.
 
     Fitted on at most ``sample`` rated documents, by full-gradient steps whose
     sums Spark adds up over the parts of the stored sample; the model's size is
-    bounded by the sample. No rated document, or one grade only, gives a model
-    without weights whose thresholds follow the counts.
+    bounded by the sample. There are ``grades`` grades, or more if rated so. One
+    grade only gives a model without weights whose thresholds follow the counts;
+    with no rated document nothing speaks against a text, and all are accepted.
     """
     spark = docs.sparkSession
     rated = stored(bounded(ratings.filter("doc_id IS NOT NULL AND grade IS NOT NULL").select("doc_id", F.col("grade").cast("int").alias("grade")), sample), "ratings")
@@ -176,11 +179,13 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, rounds: int =
     texts = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id")
     found = stored(featurised(texts, ["doc_id", "grade"]), "rated-features")
     counts = {r.grade: r.n for r in found.groupBy("grade").agg(F.count("*").alias("n")).collect()}
-    top = max([1, *counts])
+    top = max([grades - 1, *counts])
     total = sum(counts.values())
     below = np.cumsum([counts.get(g, 0) for g in range(top)])
     share = np.clip((below + 0.5) / (total + 1), 1e-4, 1 - 1e-4)
     cuts = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-6 * np.arange(top))
+    if not total:
+        cuts = 1e-6 * np.arange(-top, 0)
     kept = telling(found, counts, least_docs).orderBy("f").toPandas()
     index, seen_in = kept["f"].to_numpy(np.int64), kept["n"].to_numpy(float)
     if len(counts) < 2 or not len(index):

@@ -261,6 +261,14 @@ def test_quality_edges(spark):
     assert quality.rate(docs(spark, []), quality.fit(docs(spark, []), quality.graded(labels.limit(0)))).count() == 0
 
 
+def test_quality_without_labels_or_good_rows(spark):
+    table = docs(spark, [(i, "fine words") for i in range(20)] + [(50, None)])
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    for given, keeps in ((labels.limit(0), 21), (labels, 0)):
+        out = quality.rate(table, quality.fit(table, quality.graded(given))).withColumn("keep", quality.accepted(F.col("tails"))).collect()
+        assert all(len(r.tails) == 2 and r.tails[0] >= r.tails[1] for r in out) and sum(r.keep for r in out) == keeps
+
+
 # neighbours
 
 def test_index_returns_every_code_within_the_radius():
