@@ -149,14 +149,19 @@ def _script(word: str) -> str:
 
 
 def canonical(kind: str, entity: str, key: bytes, attempt: int) -> str:
-    """The surrogate of a normal form: same kind, length, character classes, gender and script."""
+    """The surrogate of a normal form: same kind, length, character classes, gender and script.
+
+    From the second attempt on addresses and names may change length, so that there are enough of them.
+    """
     draw = Stream(key, kind, entity, attempt)
     if kind == "email":
         local, domain = entity.split("@", 1)
         # The host keeps its shape and its last two labels' place under a reserved name.
         return "".join(_like(c, draw) for c in local) + "@" + "".join(_like(c, draw) for c in domain.split(".")[0]) + ".example.org"
     if kind == "ip":
-        # Octets keep their number of digits.
+        # Octets keep their number of digits, at the first attempt; short ones have too few surrogates.
+        if attempt:
+            return ".".join(str(1 + draw.below(255)) for _ in range(4))
         spans = {1: (1, 9), 2: (10, 90), 3: (100, 155)}
         return ".".join(str(low + draw.below(n)) for low, n in (spans[len(o)] for o in entity.split(".")))
     if kind == "card":

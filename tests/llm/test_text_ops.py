@@ -137,6 +137,14 @@ def test_surrogate_collisions_are_redrawn(spark):
     assert len({plain("person", f"John A{chr(97 + i // 26)}{chr(97 + i % 26)}", b"k", late.get(f"John A{chr(97 + i // 26)}{chr(97 + i % 26)}", 0)) for i in range(600)}) == 600
 
 
+def test_many_short_addresses_get_surrogates(spark):
+    real = [".".join(str(x) for x in (1 + i // 729, 1 + i // 81 % 9, 1 + i // 9 % 9, 1 + i % 9)) for i in range(4000)]
+    found = spark.createDataFrame([(i, "ip", e) for i, e in enumerate(real)], "doc_id long, kind string, entity string")
+    late = {r.entity: r.attempt for r in pii.exceptions(found, b"k").collect()}
+    fakes = {pii.canonical("ip", e, b"k", late.get(e, 0)) for e in real}
+    assert len(fakes) == 4000 and not fakes & set(real) and all(pii.detect(f) == [(0, len(f), "ip")] for f in fakes)
+
+
 def test_cards_keep_their_check(spark):
     fake = pii.canonical("card", "4111111111111111", b"k", 0)
     assert pii.luhn(fake) and fake[0] == "4" and fake != "4111111111111111"
