@@ -19,7 +19,7 @@ from corpusgraph.session import broadcast_if_small
 
 #: Edits allowed per character of a normalised item.
 RATE = 0.08
-#: Items shorter than this match exactly or not at all; shorter than the second, not at all.
+#: Items shorter than this match exactly or not at all; shorter than the second, at word boundaries only.
 SHORT = 40
 LEAST = 20
 #: Most characters of items that one automaton holds; more items take more passes.
@@ -77,6 +77,12 @@ def myers(pattern: str, peq: dict[str, int], text: str) -> tuple[int, int]:
     return best, end
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no word of ``text`` goes on over either end of the stretch."""
+    word = lambda a: 0 < a < len(text) and (text[a - 1].isalnum() or text[a - 1] == "_") and (text[a].isalnum() or text[a] == "_")
+    return not word(start) and not word(end)
+
+
 class Matcher:
     """All items of a block: finds each item's best match in a text."""
 
@@ -88,7 +94,7 @@ class Matcher:
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             text = normalised(text)
-            if len(text) < LEAST:
+            if not text:
                 continue
             at, k = len(self.items), budget(len(text), rate)
             self.items.append((item_id, text, k, masks(text)))
@@ -118,6 +124,10 @@ class Matcher:
                 got = best.get(at)
                 if got and got[0] == 0:
                     continue
+                if len(item) < LEAST:
+                    if whole_words(text, start, start + len(item)):
+                        best[at] = (0, start + len(item))
+                    continue
                 low, high = max(0, low - k), min(len(text), high + k)
                 tried[at] = (low, high)
                 distance, end = myers(item, peq, text[low:high])
@@ -126,13 +136,14 @@ class Matcher:
         return [(self.items[at][0], d, e) for at, (d, e) in sorted(best.items())]
 
 
-def item_blocks(items: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The items in lists of bounded size, each collected by itself."""
     usable = stored(items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text"), "items")
     total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     at = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-    return [[(r.item_id, r.text) for r in usable.filter(at == b).collect()] for b in range(blocks)] if total else []
+    for b in range(blocks if total else 0):
+        yield [(r.item_id, r.text) for r in usable.filter(at == b).collect()]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -140,10 +151,10 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, block_ch
 
     Matching ignores case and the kind of white space and reads whole texts;
     ``end_at`` is the match's end in the text so normalised. Items under
-    ``LEAST`` normalised characters, null ones too, match nothing; null or
-    empty documents hold none. Every item is sought in every document: items
+    ``LEAST`` normalised characters match exactly and as whole words; null and
+    empty ones match nothing, null or empty documents hold none. Every item is sought in every document: items
     are a stated query set, taken in blocks of at most about ``block_chars``
-    characters, one pass each. Copies of an item id are matched as one item
+    characters, one pass each, whose hits are stored before the next. Copies of an item id are matched as one item
     each; repeated documents give repeated rows. Extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -168,7 +179,8 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, block_ch
                             "distance": pa.array(distance, pa.int32()), "end_at": pa.array(end, pa.int64()),
                         })
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+        part = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "hits")
+        held.destroy()
         found = part if found is None else found.union(part)
     return spark.createDataFrame([], schema) if found is None else found
 

@@ -199,6 +199,14 @@ def test_contamination_equals_brute_force(spark, block_chars):
     assert left.columns == ["doc_id", "text", "source"]
 
 
+def test_short_items_match_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "Tiny  item"), (2, "c++"), (3, " "), (4, "x")], "item_id long, text string")
+    rows = [(1, "a tiny\nITEM, found"), (2, "a tiny items list"), (3, "spotiny item; tiny item"), (4, "in c++ or C"), (5, "xx x1 _x"), (6, "tiny item")]
+    for chars in (4_000_000, 3):
+        got = decontam.contaminated(docs(spark, rows), items, block_chars=chars).collect()
+        assert sorted(tuple(r) for r in got) == [(1, 1, 0, 11), (3, 1, 0, 23), (4, 2, 0, 6), (6, 1, 0, 9)]
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(docs(spark, [(1, "x")]), none).count() == 0
