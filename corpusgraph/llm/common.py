@@ -95,3 +95,24 @@ def components(edges: DataFrame, most: int = 200) -> DataFrame:
             return labels.select("id", "comp")
         labels = labels.select("id", "comp")
     raise RuntimeError(f"components did not settle in {most} rounds")
+
+
+def finite(vector: Column) -> Column:
+    """True for a vector that is not null or empty and holds neither null nor NaN nor infinity."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    return F.coalesce((F.size(vector) > 0) & ~bad, F.lit(False))
+
+
+def common_length(rows: DataFrame, vector: str) -> int | None:
+    """The length most vectors have, the smaller one at a tie; None without vectors."""
+    sizes = rows.groupBy(F.size(vector).alias("dims")).agg(F.count("*").alias("n"))
+    most = sizes.orderBy(F.desc("n"), "dims").first()
+    return None if most is None else most.dims
+
+
+def scaled(column: pa.Array, dims: int, scale: int, limit: int) -> np.ndarray:
+    """``floor(scale * x)`` of a batch of vectors, exact in double precision; raises beyond ``limit``."""
+    x = np.floor(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64) * scale)
+    if x.size and np.abs(x).max() > limit:
+        raise OverflowError(f"a component times {scale} exceeds {limit}: results would not fit a long")
+    return x.astype(np.int64)

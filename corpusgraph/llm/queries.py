@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusgraph.llm import ann, decontam, html, linededup, mixing, ngramjoin, pii, quality, secrets, sharding
+from corpusgraph.llm import ann, decontam, hardneg, html, linededup, mixing, ngramjoin, packing, pii, quality, secrets, sharding, veccodes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -129,3 +129,66 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     done = pii.pseudonymise(table(spark, sf, "documents").select("doc_id", "text"))
     return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_entities"), F.transform("pii", lambda x: x.kind).alias("kinds"))
+
+
+#: Usable vectors, as doubles: every integer here is far below 2^53.
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_PRODUCT = "list_dot_product(a.c, b.c)"
+
+
+def _codes_sql(rounds: int = 4, parts: int = 4) -> str:
+    """Exact k-means over the parts, one set of CTEs per round."""
+    steps = [f"""
+kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, * FROM (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {_FINITE})),
+cut AS MATERIALIZED (SELECT r, p, c, list_dot_product(c, c) AS norm FROM (
+  SELECT r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS c FROM kept, range({parts}) AS t(p))),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, c, norm FROM cut WHERE r <= 256)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+near{i} AS MATERIALIZED (SELECT a.r, a.p, min(CAST(a.norm + b.norm - 2 * {_PRODUCT} AS BIGINT) * 256 + b.e) AS best
+  FROM cut a JOIN book{i} b ON a.p = b.p GROUP BY a.r, a.p)""")
+        if i < rounds:
+            steps.append(f"""
+mean{i} AS (SELECT p, e, list(CAST(floor(s / n) AS DOUBLE) ORDER BY i) AS c FROM (
+  SELECT p, e, i, sum(x) AS s, count(*) AS n FROM (
+    SELECT c.p, n.best % 256 AS e, unnest(c.c) AS x, generate_subscripts(c.c, 1) AS i FROM cut c JOIN near{i} n ON c.r = n.r AND c.p = n.p) GROUP BY p, e, i) GROUP BY p, e),
+book{i + 1} AS MATERIALIZED (SELECT p, e, c, list_dot_product(c, c) AS norm FROM (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN mean{i} m ON b.p = m.p AND b.e = m.e))""")
+    return "WITH " + ",".join(steps) + f""",
+coded AS (SELECT k.vec_id, k.label, n.code, n.error FROM kept k JOIN (
+  SELECT r, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM near{rounds} GROUP BY r) n ON k.r = n.r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) FROM (
+    SELECT p, e, CAST(unnest(c) AS BIGINT) AS x, generate_subscripts(c, 1) AS i FROM book{rounds})) AS codebooks_sha256
+FROM coded"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return veccodes.compress(table(spark, sf, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+@query("op12_packing")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers  # where the box keeps vocabulary files; the operator takes any path
+
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=1)
+
+
+@query("op13_hard_negatives", f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+scored AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST({_PRODUCT} AS BIGINT) AS score
+  FROM kept a JOIN kept b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+near AS (SELECT anchor_id, vec_id, score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM near p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 3""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    label = F.col("label").cast("long")
+    mixed = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hardneg.mine(mixed, F.col("vec_id") % 50 == 0, positives=5, negatives=3, least=50, most=95, scale=256)
