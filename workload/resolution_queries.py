@@ -141,13 +141,13 @@ def known_entities(spark, sf):
 
 @query(
     "sync_entities",
-    f"""WITH {ENTS}, {KNOWN}, inc AS (SELECT id, lower(label) AS entity_type, name AS canonical_name, upper(name) AS aliases FROM ent WHERE length(name) < 9)
+    f"""WITH {ENTS}, {KNOWN}, inc AS (SELECT id, lower(label) AS entity_type, name AS canonical_name, concat(name, '*') AS aliases FROM ent WHERE length(name) < 9)
  SELECT coalesce(k.id, i.id) AS id, coalesce(k.entity_type, i.entity_type) AS entity_type, coalesce(k.canonical_name, i.canonical_name) AS canonical_name,
   coalesce(i.aliases, k.aliases) AS aliases, CASE WHEN k.id IS NULL THEN 'inserted' WHEN i.id IS NULL THEN 'kept' ELSE 'updated' END AS action
  FROM known k FULL OUTER JOIN inc i ON k.entity_type = i.entity_type AND k.canonical_name = i.canonical_name""",
 )
 def sync_entities(spark, sf):
-    incoming = entities(spark, sf).where(F.length("name") < 9).select("id", "label", "name", F.array(F.upper("name")).alias("aliases"))
+    incoming = entities(spark, sf).where(F.length("name") < 9).select("id", "label", "name", F.array(F.concat("name", F.lit("*"))).alias("aliases"))
     return resolution.sync_entities(known_entities(spark, sf), incoming).withColumn("aliases", F.array_join("aliases", "|"))
 
 
