@@ -8,10 +8,14 @@ reliable checkpoints.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.session import broadcast_if_small, cut_lineage, spread
+from corpusgraph.functions import louvain
+from corpusgraph.session import broadcast_if_small, cut_lineage, fits_broadcast, spread
 
 PART_ROWS = 100_000
 
@@ -122,81 +126,135 @@ def modularity(adjacency: DataFrame, membership: DataFrame) -> float:
     return float(q or 0.0)
 
 
-def communities(nodes: DataFrame, edges: DataFrame, weight: Column | None = None, rounds: int = 10, levels: int = 5,
-                tolerance: float = 1e-4, part_rows: int = PART_ROWS) -> DataFrame:
-    """Modularity communities as (id, community): local moves, then contraction, repeated.
+#: A level with at most this many adjacency rows (16 bytes each and a weight) is solved in one task.
+TASK_ROWS = 2_000_000
+
 
-    In each round only one half of the nodes (by a hash of id and round) may
-    move, which keeps two neighbours from swapping places; ties go to the
-    smallest community.  A level ends when a round no longer raises modularity.
+def communities(nodes: DataFrame, edges: DataFrame, weight: Column | None = None, rounds: int = 10, levels: int = 5,
+                tolerance: float = 1e-4, part_rows: int = PART_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Modularity communities as (id, community); every community is connected, its name its smallest member.
+
+    A level moves nodes between communities, splits communities into their
+    connected parts and contracts the parts; the next level starts from the
+    communities and moves parts.  A level of at most ``task_rows`` adjacency
+    rows is solved to the end in one task, larger ones take at most ``rounds``
+    rounds and there are at most ``levels`` of them.  In a round one half of
+    the nodes may move, by a hash of node and round, which keeps neighbours
+    from swapping places.  Nodes without edges are communities of their own.
     """
-    level_edges = cut_lineage(undirected(edges, weight))
-    mapping = cut_lineage(nodes.select("id", F.col("id").alias("community")))
-    for _ in range(levels):
-        moved, gained = _local_moves(level_edges, rounds, tolerance, part_rows)
+    adjacency = cut_lineage(undirected(edges, weight))
+    mapping = nodes.select("id", F.col("id").alias("part"))
+    start = None
+    for level in range(levels + 1):
+        if level == levels or fits_broadcast(adjacency, task_rows):
+            break
+        moved, gained = _local_moves(adjacency, start, rounds, tolerance, part_rows)
         if not gained:
             break
-        step = moved.select(F.col("id").alias("community"), F.col("community").alias("next"))
-        mapping = cut_lineage(
-            mapping.join(step, "community", "left").select("id", F.coalesce("next", "community").alias("community"))
-        )
-        cs = moved.select(F.col("id").alias("src"), F.col("community").alias("cs"))
-        cd = moved.select(F.col("id").alias("dst"), F.col("community").alias("cd"))
-        level_edges = cut_lineage(
-            level_edges.join(cs, "src").join(cd, "dst").groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("weight").alias("weight"))
-        )
-    # Name each community by its smallest member.
-    names = mapping.groupBy("community").agg(F.min("id").alias("name"))
-    return mapping.join(names, "community").select("id", F.col("name").alias("community"))
+        parts = _connected_parts(adjacency, moved)
+        mapping = cut_lineage(_renamed(mapping, parts.select("id", F.col("component").alias("to"))))
+        start = parts.groupBy(F.col("component").alias("id")).agg(F.min("community").alias("community"))
+        start = cut_lineage(start)
+        s, d = (parts.select(F.col("id").alias(c), F.col("component").alias(f"p{c}")) for c in ("src", "dst"))
+        adjacency = cut_lineage(adjacency.join(s, "src").join(d, "dst").groupBy(F.col("psrc").alias("src"), F.col("pdst").alias("dst")).agg(F.sum("weight").alias("weight")))
+    if fits_broadcast(adjacency, task_rows):
+        found = _solved_in_a_task(adjacency, start)
+    else:  # what the last level left, split once more
+        found = _connected_parts(adjacency, start if start is not None else _own(adjacency)).select("id", F.col("component").alias("to"))
+    mapping = cut_lineage(_renamed(mapping, found))
+    names = mapping.groupBy("part").agg(F.min("id").alias("community"))
+    return mapping.join(names, "part").select("id", "community")
+
+
+def _renamed(mapping: DataFrame, step: DataFrame) -> DataFrame:
+    """``mapping`` (id, part) with each part's name in ``step`` (id, to); parts that it lacks stay."""
+    step = step.select(F.col("id").alias("part"), "to")
+    return mapping.join(step, "part", "left").select("id", F.coalesce("to", "part").alias("part"))
+
+
+def _own(adjacency: DataFrame) -> DataFrame:
+    return adjacency.select(F.col("src").alias("id"), F.col("src").alias("community")).distinct()
+
 
+def _connected_parts(adjacency: DataFrame, membership: DataFrame) -> DataFrame:
+    """(id, community, component): the connected parts of every community."""
+    s, d = (membership.select(F.col("id").alias(c), F.col("community").alias(f"c{c}")) for c in ("src", "dst"))
+    inside = adjacency.where("src < dst").join(s, "src").join(d, "dst").where("csrc = cdst").select("src", "dst")
+    return cut_lineage(connected_components(membership, inside).join(membership, "id"))
 
-def _local_moves(adjacency: DataFrame, rounds: int, tolerance: float, part_rows: int) -> tuple[DataFrame, bool]:
+
+def _local_moves(adjacency: DataFrame, start: DataFrame | None, rounds: int, tolerance: float, part_rows: int) -> tuple[DataFrame, bool]:
+    """(id, community) after at most ``rounds`` rounds, and whether modularity rose.
+
+    A round is one pass over the adjacency: the links of each node into the
+    communities around it tell its best move, and, summed over the nodes' own
+    communities, the modularity of the state that the pass began with.
+    """
     total = adjacency.agg(F.sum("weight").alias("t")).first().t
     if not total:
         return None, False
     salted, facts = cut_adjacency(adjacency.where("src <> dst"), part_rows)
     salted = cut_lineage(spread(salted, "src", "salt"))
-    strength = cut_lineage(
-        adjacency.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
-        .join(facts.select("id", "parts"), "id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    )
-    state = cut_lineage(strength.withColumn("community", F.col("id")))
-    best = modularity(adjacency, state)
-    start = best
-    for i in range(rounds * 2):
+    loops = F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0))
+    strength = adjacency.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"), loops.alias("loop"))
+    state = strength.join(facts.select("id", "parts"), "id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    if start is None:
+        state = state.withColumn("community", F.col("id"))
+    else:
+        state = state.join(start, "id")
+    state = cut_lineage(state)
+    first = best = None
+    kept = state
+    for i in range(2 * rounds + 1):
         volume = state.groupBy("community").agg(F.sum("k").alias("volume"))
-        # Weight from each node into each neighbouring community, seen from the neighbour's side.
         toward = per_salt(state.select("id", "community", "parts")).join(salted, ["src", "salt"]).groupBy(
             F.col("dst").alias("id"), "community"
         ).agg(F.sum("weight").alias("links"))
-        own = state.select("id", "k", F.col("community").alias("mine"))
+        own = state.select("id", "k", "loop", "parts", F.col("community").alias("mine"))
         options = (
             toward.unionByName(state.select("id", "community", F.lit(0.0).alias("links")))
             .groupBy("id", "community").agg(F.sum("links").alias("links"))
             .join(volume, "community").join(own, "id")
         )
-        rest = F.col("volume") - F.when(F.col("community") == F.col("mine"), F.col("k")).otherwise(0.0)
+        here = F.col("community") == F.col("mine")
+        rest = F.col("volume") - F.when(here, F.col("k")).otherwise(0.0)
         gain = F.round(F.col("links") - F.col("k") * rest / total, 9)
-        chosen = options.withColumn("gain", gain).groupBy("id").agg(
-            F.max_by("community", F.struct("gain", F.col("community") == F.col("mine"), -F.col("community"))).alias("to")
-        )
         active = F.pmod(F.xxhash64("id", F.lit(i // 2)), F.lit(2)) == i % 2
-        trial = cut_lineage(
-            state.join(chosen, "id", "left").withColumn("community", F.when(active, F.coalesce("to", "community")).otherwise(F.col("community"))).drop("to")
-        )
-        if i % 2 == 0:
-            half = trial
-            state, previous = half, state
-            continue
-        q = modularity(adjacency, trial)
-        if q <= best + tolerance:
-            if q > best:
-                best, state = q, trial
-            else:
-                state = previous
+        moved = cut_lineage(options.groupBy("id").agg(
+            F.first("k").alias("k"), F.first("loop").alias("loop"), F.first("parts").alias("parts"), F.first("mine").alias("mine"),
+            F.sum(F.when(here, F.col("links"))).alias("inner"),
+            F.max_by("community", F.struct(gain, here, -F.col("community"))).alias("to"),
+        ).withColumn("community", F.when(active, F.col("to")).otherwise(F.col("mine"))))
+        share = F.sum("k") / total
+        q = moved.groupBy("mine").agg((F.sum(F.col("inner") + F.col("loop")) / total - share * share).alias("q")).agg(F.sum("q")).first()[0]
+        if first is None:
+            first = best = q
+        elif q > best or i % 2:  # the halves of a round are judged together
+            kept, rose = (state, q - best) if q > best else (kept, 0.0)
+            best = max(best, q)
+            if i % 2 == 0 and rose <= tolerance:
+                break
+        else:
             break
-        best, state = q, trial
-    return state.select("id", "community"), best > start + tolerance
+        state = moved.select("id", "k", "loop", "parts", "community")
+    return kept.select("id", "community"), best > first + tolerance
+
+
+def _solved_in_a_task(adjacency: DataFrame, start: DataFrame | None) -> DataFrame:
+    """(id, to): the communities of a small adjacency, all levels."""
+    begin = start if start is not None else _own(adjacency)
+    rows = adjacency.select("src", "dst", "weight").unionByName(
+        begin.select(F.col("id").alias("src"), F.col("community").alias("dst"), F.lit(None).cast("double").alias("weight"))
+    )
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            t = pa.Table.from_batches(parts)
+            ids, found = louvain.solve(*(t[c].to_numpy() for c in ("src", "dst", "weight")))
+            yield pa.RecordBatch.from_pydict({"id": ids, "to": found})
+
+    return rows.coalesce(1).mapInArrow(solve, "id long, to long")
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, samples: int = 1000, seed: int = 42, scale: bool = False,

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusgraph.functions import louvain
 from corpusgraph.functions.similarity import jaro_winkler_score
 from corpusgraph.operators import algorithms, graph, resolution, vectors, walks
 
@@ -98,6 +99,83 @@ def test_communities_of_two_cliques(spark):
     assert q > 0.4
 
 
+def quality(edges, found):
+    """Modularity of a partition, from its definition."""
+    total, inside, volume = 2.0 * len(edges), 0.0, {}
+    for a, b in edges:
+        inside += 2.0 * (found[a] == found[b])
+        for v in (a, b):
+            volume[found[v]] = volume.get(found[v], 0) + 1
+    return inside / total - sum((x / total) ** 2 for x in volume.values())
+
+
+def planted(groups, size, inner, outer, seed):
+    rng, n = random.Random(seed), groups * size
+    return [(a, b) for a in range(n) for b in range(a) if rng.random() < (inner if a // size == b // size else outer)]
+
+
+def parted(edges, found):
+    """Whether every community is connected."""
+    up = {v: v for v in found}
+
+    def top(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for a, b in edges:
+        if found[a] == found[b]:
+            up[top(a)] = top(b)
+    return len({top(v) for v in found}) != len(set(found.values()))
+
+
+def partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        for i in range(len(rest)):
+            yield [*rest[:i], [items[0], *rest[i]], *rest[i + 1 :]]
+        yield [[items[0]], *rest]
+
+
+def in_a_task(edges):
+    both = [(*e, 1.0) for a, b in edges for e in ((a, b), (b, a))] + [(v, v, float("nan")) for v in sorted({v for e in edges for v in e})]
+    ids, names = louvain.solve(*(np.array(c) for c in zip(*both)))
+    return dict(zip(ids.tolist(), names.tolist()))
+
+
+def test_communities_in_a_task_reach_the_optimum():
+    ring = [(10 * c + a, 10 * c + b) for c in range(12) for a in range(5) for b in range(a)] + [(10 * c, (10 * c + 11) % 120) for c in range(12)]
+    found = in_a_task(ring)
+    assert quality(ring, found) >= quality(ring, {v: v // 10 for v in found}) - 1e-9 and not parted(ring, found)
+    rng = random.Random(3)
+    for _ in range(12):
+        edges = list({tuple(sorted(rng.sample(range(7), 2))) for _ in range(rng.randint(6, 14))})
+        found = in_a_task(edges)
+        every = max(quality(edges, {v: i for i, g in enumerate(p) for v in g}) for p in partitions(sorted(found)))
+        assert quality(edges, found) >= every - 0.05 and not parted(edges, found)
+        assert all(found[c] == c for c in found.values())
+
+
+def test_communities_over_many_tasks(spark, monkeypatch):
+    """Levels that are cut over tasks come close to the planted groups, and a round has one pass over the edges."""
+    edges = planted(8, 20, 0.4, 0.02, 5)
+    nodes, table = node_table(spark, [*range(160), 999]), edge_table(spark, edges)
+    cuts = []
+    cut = algorithms.cut_lineage
+    monkeypatch.setattr(algorithms, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    whole = quality(edges, {v: v // 20 for v in range(160)})
+    for task_rows, levels in ((0, 2), (600, 3)):
+        cuts.clear()
+        found = {r.id: r.community for r in algorithms.communities(nodes, table, rounds=4, levels=levels, task_rows=task_rows).collect()}
+        assert len(found) == 161 and found[999] == 999 and all(found[c] == c for c in found.values())
+        assert not parted(edges, found)
+        assert quality(edges, {k: v for k, v in found.items() if k != 999}) > whole - 0.1
+        # A level: its state and edges, a cut per half round, and what splitting and contracting take.
+        assert len(cuts) <= 2 + levels * (2 * 4 + 1 + 24)
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)]
