@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import strip
-from corpusgraph.session import spread
+from corpusgraph.session import broadcast_if_small, cut_lineage, spread
 
 MENTIONED = "MENTIONED_IN"
 
@@ -89,7 +89,8 @@ def shared_pairs(memberships: DataFrame, block: int = 1000) -> DataFrame:
     """
     rows = memberships.distinct()
     hot = rows.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
-    cut = rows.join(hot, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # Hot groups are few: each has over ``block`` rows.  Broadcast, they do not meet their rows in one task.
+    cut = rows.join(broadcast_if_small(hot), "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     cut = cut.withColumn("mine", F.pmod(F.xxhash64("member"), "parts").cast("int"))
     low = cut.select("grp", F.col("mine").alias("lo"), F.explode(F.sequence("mine", F.col("parts") - 1)).alias("hi"), F.col("member").alias("m1"))
     high = cut.select("grp", F.explode(F.sequence(F.lit(0), "mine")).alias("lo"), F.col("mine").alias("hi"), F.col("member").alias("m2"))
@@ -193,21 +194,67 @@ def shared_connections(nodes: DataFrame, edges: DataFrame, a: str, b: str, k: in
     return co_occurring(nodes, edges, a, k).select("name").intersect(co_occurring(nodes, edges, b, k).select("name"))
 
 
+def frequent_pairs(memberships: DataFrame, minimum: int, most: int, without: DataFrame | None = None, block: int = 1000) -> DataFrame:
+    """The ``most`` pairs (a, b, count) of members that share the most groups, ``minimum`` at least; ties by a, b.
+
+    ``memberships`` is (grp, member); pairs in ``without`` (a, b) do not count.
+    A member's ``minimum - 1`` largest groups are its tail.  Two members that
+    share ``minimum`` groups share one outside both tails, so only the other
+    groups are joined and the largest groups, where most pairs would come from,
+    rarely make one.  The counts so far bound what a pair can reach; only pairs
+    that can still be among the first are looked up in the tails.
+    """
+    rows = cut_lineage(memberships.distinct())
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
+    enough = rows.join(broadcast_if_small(sizes), "grp").join(rows.groupBy("member").agg(F.count("*").alias("of")).where(F.col("of") >= minimum).select("member"), "member", "left_semi")
+    enough = cut_lineage(enough)
+    if minimum > 1:
+        # A rank filter that Spark applies in each task before the shuffle.
+        last = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("n"), F.desc("grp")))
+        tails = cut_lineage(enough.withColumn("r", last).where(F.col("r") < minimum).select("member", "grp"))
+        heads = enough.join(tails, ["member", "grp"], "left_anti")
+    else:
+        tails, heads = enough.select("member", "grp").limit(0), enough
+    pairs = shared_pairs(heads.select("grp", "member"), block)
+    if without is not None:
+        pairs = pairs.join(without, ["a", "b"], "left_anti")
+    order = [F.desc("count"), "a", "b"]
+    if minimum == 1:
+        return pairs.orderBy(*order).limit(most)
+    pairs = cut_lineage(pairs)
+    least = pairs.orderBy(*order).offset(most - 1).limit(1).collect()
+    least = max(minimum, least[0]["count"]) if least else minimum
+    # Both tails together add 2 (minimum - 1) at most.
+    near = cut_lineage(pairs.where(F.col("count") + 2 * (minimum - 1) >= least))
+    tail = tails.groupBy("member").agg(F.collect_set("grp").alias("tail"))
+    side = lambda c: tail.select(F.col("member").alias(c), F.col("tail").alias(f"tail_{c}"))
+    asked = near.join(side("a"), "a").join(side("b"), "b").select(
+        "a", "b",
+        F.inline(F.concat(
+            F.transform("tail_a", lambda g: F.struct(F.col("b").alias("member"), g.alias("grp"))),
+            F.transform(F.array_except("tail_b", "tail_a"), lambda g: F.struct(F.col("a").alias("member"), g.alias("grp"))),
+        )),
+    )
+    more = asked.join(enough.select("member", "grp"), ["member", "grp"]).groupBy("a", "b").agg(F.count("*").alias("more"))
+    whole = near.join(more, ["a", "b"], "left").select("a", "b", (F.col("count") + F.coalesce("more", F.lit(0))).alias("count"))
+    return whole.where(F.col("count") >= minimum).orderBy(*order).limit(most)
+
+
 def hidden_connections(nodes: DataFrame, edges: DataFrame, minimum: int = 3, limit: int = 20, examples: int = 10, block: int = 1000) -> DataFrame:
     """Person pairs without a direct edge that both point to at least ``minimum`` same nodes."""
     people = nodes.where(F.col("label") == "Person").select(F.col("id").alias("src"))
-    out = edges.join(people, "src", "left_semi").select("src", "dst").distinct()
-    pairs = shared_pairs(out.select(F.col("dst").alias("grp"), F.col("src").alias("member")), block).where(F.col("count") >= minimum)
-    direct = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    top = pairs.join(direct, ["a", "b"], "left_anti").orderBy(F.desc("count"), "a", "b").limit(limit)
+    out = cut_lineage(edges.join(people, "src", "left_semi").select("src", "dst").distinct())
+    # An edge between two people starts at one of them.
+    direct = out.join(people.select(F.col("src").alias("dst")), "dst", "left_semi").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    top = cut_lineage(frequent_pairs(out.select(F.col("dst").alias("grp"), F.col("src").alias("member")), minimum, limit, direct, block))
     seen = (
-        F.broadcast(top.select("a", "b"))
+        F.broadcast(top.select("a", "b"))  # ``limit`` rows
         .join(out.select(F.col("src").alias("a"), F.col("dst").alias("shared")), "a")
         .join(out.select(F.col("src").alias("b"), F.col("dst").alias("shared")), ["b", "shared"])
         .withColumn("pair", F.struct("a", "b"))
     )
     sample = top_names(seen, "pair", ["shared"], "shared", examples)
-    named = nodes.select("id", "name")
+    named = nodes.select("id", "name").join(F.broadcast(top.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
     return (
         top.withColumn("pair", F.struct("a", "b"))
         .join(sample, "pair", "left")
@@ -218,8 +265,6 @@ def hidden_connections(nodes: DataFrame, edges: DataFrame, minimum: int = 3, lim
     )
 
 
-
-
 def hubs(nodes: DataFrame, edges: DataFrame, label: str = "Person", k: int = 20) -> DataFrame:
     """Entities of a label in the most documents."""
     mentions = edges.where(F.col("type") == MENTIONED).select("src", "dst").distinct()

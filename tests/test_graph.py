@@ -284,3 +284,22 @@ def test_knn_batch(spark, point_block, query_block):
         rows = got.where(F.col("query_id") == q).orderBy("rank").collect() if q % 13 == 0 else None
         if rows is not None:
             assert [r.point_id for r in rows] == order
+
+
+@pytest.mark.parametrize("minimum", [1, 2, 3, 5])
+def test_frequent_pairs_match_brute_force(spark, minimum):
+    """Two hot groups, repeated rows, ties at the cut, and pairs that do not count."""
+    rng = random.Random(minimum)
+    rows = [(g, m) for m in range(60) for g in rng.sample(range(25), rng.randint(1, 9))]
+    rows += [(g, m) for g in (100, 101) for m in range(0, 60, 1 + g % 2)] + rows[:30] + [(500 + m, m) for m in range(60)]
+    sets = {}
+    for g, m in rows:
+        sets.setdefault(m, set()).add(g)
+    skip = [(0, 1), (2, 4), (3, 9)]
+    counted = [(-len(sets[a] & sets[b]), a, b) for a, b in itertools.combinations(sorted(sets), 2) if (a, b) not in skip]
+    want = sorted(c for c in counted if -c[0] >= minimum)
+    table, without = spark.createDataFrame(rows, "grp long, member long"), spark.createDataFrame(skip, "a long, b long")
+    for most in (7, 5000):
+        got = graph.frequent_pairs(table, minimum, most, without, block=8).collect()
+        assert sorted((-r["count"], r.a, r.b) for r in got) == want[:most]
+    assert graph.frequent_pairs(table.limit(0), minimum, 5).count() == 0
