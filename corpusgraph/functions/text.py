@@ -77,9 +77,10 @@ def doc_type_of(ext: Column, coarse: bool = False) -> Column:
     )
 
 
-def source_slug(name: Column, width: int = 60) -> Column:
-    """First ``width`` characters, blanks to hyphens, commas and dots dropped, lower case."""
-    return F.lower(F.translate(F.substring(name, 1, width), " ,.", "-"))
+def source_slug(name: Column, width: int | None = None) -> Column:
+    """Blanks to hyphens, commas and dots dropped, lower case; the first ``width`` characters if given."""
+    kept = F.substring(name, 1, width) if width else name
+    return F.lower(F.translate(kept, " ,.", "-"))
 
 
 def object_key(source: Column, digest: Column, filename: Column) -> Column:

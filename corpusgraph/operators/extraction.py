@@ -31,19 +31,42 @@ FINDING_TYPES = [
 ]
 
 
+def first_object(text: Column) -> Column:
+    """The text from the first brace to the one that closes it, null without one.
+
+    A fold over the marks that matter counts the depth; braces and escaped
+    quotes inside strings do not count.
+    """
+    marks = F.regexp_extract_all(F.substring(text, F.instr(text, "{"), F.length(text)), F.lit(r'(?s)\\.|["{}]|[^\\"{}]+|\\'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
+
+    def step(s: Column, mark: Column) -> Column:
+        up = F.when(~s["inside"] & (mark == "{"), 1).when(~s["inside"] & (mark == "}"), -1).otherwise(0)
+        depth = s["depth"] + up
+        closed = (s["end"] == 0) & (up == -1) & (depth == 0)
+        return F.struct(
+            depth.alias("depth"), F.when(mark == '"', ~s["inside"]).otherwise(s["inside"]).alias("inside"),
+            (s["seen"] + 1).alias("seen"), F.when(closed, s["seen"] + 1).otherwise(s["end"]).alias("end"),
+        )
+
+    def cut(found: Column) -> Column:
+        return let(F.aggregate(found, start, step)["end"], lambda end: F.when(end > 0, F.array_join(F.slice(found, F.lit(1), end), "")))
+
+    return F.when(F.instr(text, "{") > 0, let(marks, cut))
+
+
 def parse_entity_json(raw: Column) -> Column:
     """Struct of three string arrays from a model answer.
 
-    Strict JSON first, then the outermost object found in surrounding prose,
-    then the bracketed array after each key.  Members that are not strings are
-    dropped; an answer with nothing usable gives null.
+    The object that the answer is, or the first one in surrounding prose, of
+    any depth; else the bracketed array after each key.  Members that are not
+    strings are dropped; an answer with nothing usable gives null.
     """
-    block = F.regexp_extract(raw, r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}", 0)
-    whole = strip(raw)
+    block = first_object(raw)
+    inner = F.try_parse_json(block)
     # The parser stops after the first value, so trailing prose is ruled out here.
-    alone = (whole == block) | ((block == "") & whole.rlike(r"(?s)^\{.*\}$"))
-    strict, inner = F.when(alone, F.try_parse_json(raw)), F.try_parse_json(block)
-    doc = F.when(strict.isNotNull(), strict).otherwise(inner)
+    strict = F.when(strip(raw) == block, inner)
+    doc = inner
 
     def strings(kind: str) -> Column:
         members = F.coalesce(
@@ -150,7 +173,7 @@ def entity_spans(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     return found.select("doc_id", F.inline("s"))
 
 
-def parse_findings(analyses: DataFrame) -> DataFrame:
+def parse_findings(analyses: DataFrame, title_width: int | None = None) -> DataFrame:
     """Findings from blank-line separated blocks of ``KEY: value`` lines.
 
     ``analyses`` has (analysis_id, analysis); a block without a title of at
@@ -176,7 +199,7 @@ def parse_findings(analyses: DataFrame) -> DataFrame:
         .select(
             "analysis_id",
             "block_no",
-            F.substring("title", 1, 200).alias("title"),
+            (F.substring("title", 1, title_width) if title_width else F.col("title")).alias("title"),
             F.coalesce(lines_of["DESCRIPTION"], F.col("title")).alias("description"),
             F.when(level == "HIGH", 0.85).when(level == "MEDIUM", 0.7).otherwise(0.5).alias("confidence"),
             F.when(kind.isin(FINDING_TYPES), kind).otherwise("pattern").alias("finding_type"),
@@ -185,7 +208,7 @@ def parse_findings(analyses: DataFrame) -> DataFrame:
     )
 
 
-def parse_findings_naive(analyses: DataFrame, confidence: float = 0.7) -> DataFrame:
+def parse_findings_naive(analyses: DataFrame, confidence: float = 0.7, title_width: int | None = None) -> DataFrame:
     """Findings from bullets and numbers: each such line opens an item, the rest continue it.
 
     The items of a text are cut inside its row: a fold collects lines, so no
@@ -204,14 +227,15 @@ def parse_findings_naive(analyses: DataFrame, confidence: float = 0.7) -> DataFr
 
     items = analyses.select("analysis_id", F.posexplode(F.aggregate(lines, start, gather)).alias("item_no", "item"))
     text = strip(F.array_join("item", " "))
-    title = F.regexp_replace(F.substring(F.element_at("item", 1), 1, 200), r"^[0-9.\-*) ]+", "")
+    head = F.element_at("item", 1)
+    title = F.regexp_replace(F.substring(head, 1, title_width) if title_width else head, r"^[0-9.\-*) ]+", "")
     return items.where(F.length(text) >= 20).select(
         "analysis_id", "item_no", title.alias("title"), text.alias("description"), F.lit(confidence).alias("confidence")
     )
 
 
-def embedding_views(docs: DataFrame, shortest: int = 20, cap: int = 8000) -> DataFrame:
-    """One to three texts per analysed document: full text, people, context.
+def embedding_views(docs: DataFrame, shortest: int = 20, cap: int | None = None) -> DataFrame:
+    """One to three texts per analysed document: full text, people, context; the first ``cap`` characters if given.
 
     ``docs`` has (doc_id, text, document_type, people, locations, objects).
     """
@@ -239,26 +263,26 @@ def embedding_views(docs: DataFrame, shortest: int = 20, cap: int = 8000) -> Dat
         F.concat_ws("_", F.col("doc_id").cast("string"), "suffix").alias("point_name"),
         "doc_id",
         "embedding_type",
-        F.substring("body", 1, cap).alias("text"),
+        (F.substring("body", 1, cap) if cap else F.col("body")).alias("text"),
     )
 
 
-def image_summary(images: DataFrame, smallest: int = 100, photo_pixels: int = 100_000, keep: int = 20) -> DataFrame:
-    """Per document: images of at least 100×100, pixels, photo flag, first 20 in page order.
+def image_summary(images: DataFrame, smallest: int = 100, photo_pixels: int = 100_000, keep: int | None = None) -> DataFrame:
+    """Per document: images of at least 100×100, pixels, photo flag, and the images in page order.
 
-    A document may hold any number of images, so each task ranks only what it
-    needs: the first ``keep`` come from a bounded group limit, the sums from a
-    partial aggregate.
+    With ``keep`` only the first ones are listed, and each task ranks no more
+    than these; the sums come from a partial aggregate.
     """
     big = images.where((F.col("width") >= smallest) & (F.col("height") >= smallest))
     totals = big.groupBy("doc_id").agg(
         F.count("*").alias("image_count"), F.sum(F.col("width").cast("bigint") * F.col("height")).alias("total_pixels")
     )
-    order = Window.partitionBy("doc_id").orderBy("page", "num")
+    listed = big
+    if keep is not None:
+        order = Window.partitionBy("doc_id").orderBy("page", "num", "width", "height")
+        listed = big.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
     first = (
-        big.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= keep)
-        .groupBy("doc_id")
+        listed.groupBy("doc_id")
         .agg(F.array_sort(F.collect_list(F.struct("page", "num", "width", "height"))).alias("images"))
     )
     return totals.join(first, "doc_id").withColumn("has_photos", F.col("total_pixels") > photo_pixels)

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.binding import let
-from corpusgraph.functions.paging import coerce_page, coerce_query
 
 # Words too common to search for.
 STOP_WORDS = (
@@ -35,7 +34,9 @@ def query_terms(query: str) -> list[str]:
     """Distinct search terms of a query string, in order."""
     import regex
 
-    words = regex.split(r"[^\p{L}\p{N}]+", coerce_query(query).lower())
+    if not query.strip():
+        raise ValueError("the search query is empty")
+    words = regex.split(r"[^\p{L}\p{N}]+", query.lower())
     return list(dict.fromkeys(w for w in words if w and w not in STOP_WORDS))
 
 
@@ -198,10 +199,9 @@ def capped_count(rows: DataFrame, cap: int = 10_001) -> DataFrame:
     return rows.limit(cap).agg(F.count("*").alias("count"))
 
 
-def paginate(rows: DataFrame, order: list, page=None, limit=None) -> DataFrame:
-    """One page of a totally ordered result, arguments coerced."""
-    p, n = coerce_page(page, limit)
-    return rows.orderBy(*order).offset((p - 1) * n).limit(n)
+def paginate(rows: DataFrame, order: list, page: int = 1, limit: int = 25) -> DataFrame:
+    """One page of a totally ordered result; ``coerce_page`` makes the arguments of what a caller sends."""
+    return rows.orderBy(*order).offset((page - 1) * limit).limit(limit)
 
 
 def like_pattern(term: str) -> str:

@@ -49,7 +49,10 @@ def stage_rule(stage: str, **opt) -> tuple[Column, list[Column]]:
         return cond, oldest
     if stage == "text_by_size":
         size = F.col("file_size_bytes")
-        return pending & (size > 0) & (size < opt.get("max_size", 20_000_000)), [size.asc(), F.col("doc_id").asc()]
+        cond = pending & (size > 0)
+        if "max_size" in opt:
+            cond = cond & (size < opt["max_size"])
+        return cond, [size.asc(), F.col("doc_id").asc()]
     if stage == "embed":
         cond = (F.length("text") > 100) & _absent("embedding_v2", "embedding_v2_error", "embedding_v2_started")
         return cond, oldest
@@ -65,8 +68,9 @@ def stage_rule(stage: str, **opt) -> tuple[Column, list[Column]]:
         first = F.when(F.col("source").isin(opt.get("sources", [])), 0).otherwise(1)
         return cond, [first.asc(), *oldest]
     if stage == "size_range":
-        low, high = opt.get("min_size", 0), opt.get("max_size", 20_000_000)
-        cond = pending & F.col("file_size_bytes").between(low, high)
+        cond = pending & (F.col("file_size_bytes") >= opt.get("min_size", 0))
+        if "max_size" in opt:
+            cond = cond & (F.col("file_size_bytes") <= opt["max_size"])
         if opt.get("source"):
             cond = cond & (F.col("source") == opt["source"])
         # The queue is drawn at random; a keyed hash makes the draw repeatable.
@@ -255,27 +259,21 @@ def stalled_workers(rows: DataFrame, worker: str, started: str, as_of: Column, m
     )
 
 
-def error_histogram(rows: DataFrame, error: Column, k: int = 20) -> DataFrame:
-    """The most frequent error texts."""
-    return (
-        rows.where(error.isNotNull())
-        .groupBy(error.alias("error"))
-        .agg(F.count("*").alias("count"))
-        .orderBy(F.desc("count"), "error")
-        .limit(k)
-    )
+def _first(ranked: DataFrame, k: int | None) -> DataFrame:
+    return ranked if k is None else ranked.limit(k)
+
+
+def error_histogram(rows: DataFrame, error: Column, k: int | None = None) -> DataFrame:
+    """Error texts by frequency, the first ``k`` if given."""
+    counts = rows.where(error.isNotNull()).groupBy(error.alias("error")).agg(F.count("*").alias("count"))
+    return _first(counts.orderBy(F.desc("count"), "error"), k)
 
 
-def field_frequency(docs: DataFrame, field: str, k: int = 20) -> DataFrame:
-    """The most frequent values of one metadata key."""
+def field_frequency(docs: DataFrame, field: str, k: int | None = None) -> DataFrame:
+    """Values of one metadata key by frequency, the first ``k`` if given."""
     value = meta(field)
-    return (
-        docs.where(value.isNotNull())
-        .groupBy(value.alias("value"))
-        .agg(F.count("*").alias("count"))
-        .orderBy(F.desc("count"), "value")
-        .limit(k)
-    )
+    counts = docs.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count("*").alias("count"))
+    return _first(counts.orderBy(F.desc("count"), "value"), k)
 
 
 def job_status(jobs: DataFrame, column: str = "status") -> DataFrame:
@@ -289,13 +287,10 @@ def status_histogram(docs: DataFrame, column: str = "embedding_status") -> DataF
     return docs.groupBy(column).agg(F.count("*").alias("count"))
 
 
-def stuck_documents(docs: DataFrame, as_of: Column, minutes: int = 10, k: int = 20) -> DataFrame:
-    """The longest-processing documents and how long they have been at it."""
+def stuck_documents(docs: DataFrame, as_of: Column, minutes: int = 10, k: int | None = None) -> DataFrame:
+    """Documents in process for too long and how long they have been at it, longest first, the first ``k`` if given."""
     limit = as_of - F.make_dt_interval(mins=F.lit(minutes))
     age = F.unix_seconds(as_of) - F.unix_seconds("processed_at")
-    return (
-        docs.where((F.col("embedding_status") == "processing") & (F.col("processed_at") < limit))
-        .select("doc_id", "filename", "source", "file_size_bytes", "processed_at", age.alias("stuck_seconds"))
-        .orderBy("processed_at", "doc_id")
-        .limit(k)
-    )
+    stuck = docs.where((F.col("embedding_status") == "processing") & (F.col("processed_at") < limit))
+    shown = stuck.select("doc_id", "filename", "source", "file_size_bytes", "processed_at", age.alias("stuck_seconds"))
+    return _first(shown.orderBy("processed_at", "doc_id"), k)

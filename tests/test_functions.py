@@ -173,6 +173,42 @@ def test_entity_spans_brute(spark):
     assert [(r.start_char, r.length, r.name) for r in rows] == [(0, 3, "Ann"), (12, 3, "Ann"), (29, 3, "Ann")]
 
 
+def test_answers_of_any_depth_and_length(spark):
+    """Against a scan of the characters and Python's parser."""
+    import json
+
+    def wanted(text):
+        start, depth, inside, at = text.find("{"), 0, False, max(text.find("{"), 0)
+        while at < len(text) and start >= 0:
+            c = text[at]
+            if c == "\\":
+                at += 1
+            elif c == '"':
+                inside = not inside
+            elif not inside and c in "{}":
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    return text[start : at + 1]
+            at += 1
+        return None
+
+    deep = {"x": 1}
+    for _ in range(12):
+        deep = {"m": deep, "people": ["not here"]}
+    answers = [
+        json.dumps({"people": ['A "Z" B', "}{", "a\\"], "m": deep}),
+        "Sure: " + json.dumps({"m": deep, "people": ["X {y"], "locations": ["L}"]}) + ' as "asked" {"people": ["other"]}',
+        json.dumps({"people": ["P"] * 3 + ["long \\ \" {" * 60_000]}),
+        '{"people": ["cut', "no brace", "}{", "", '{"people": ["A"]} and {"people": ["B"]}', '\\{"people": ["after a backslash"]}',
+    ]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(answers)] + [(99, None)], "id int, raw string")
+    got = {r.id: r.o for r in df.select("id", extraction.first_object(F.col("raw")).alias("o")).collect()}
+    assert got == {i: wanted(a) for i, a in enumerate(answers)} | {99: None}
+    parsed = {r.id: r.e and r.e.people for r in df.select("id", extraction.parse_entity_json(F.col("raw")).alias("e")).collect()}
+    assert parsed[0] == ['A "Z" B', "}{", "a\\"] and parsed[1] == ["X {y"] and parsed[4] is None and parsed[7] == ["A"]
+    assert parsed[2] == json.loads(answers[2])["people"]
+
+
 def test_query_terms():
     assert search.query_terms("The Long-term long Österreich") == ["long", "term", "österreich"]
 

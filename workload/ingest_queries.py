@@ -63,7 +63,7 @@ def doc_type_of(spark, sf):
 
 @query(
     "source_slug",
-    "SELECT doc_id, lower(translate(substr(text, 1, 60), ' ,.', '-')) AS slug FROM documents",
+    "SELECT doc_id, lower(translate(text, ' ,.', '-')) AS slug FROM documents",
 )
 def source_slug(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.source_slug(F.col("text")).alias("slug"))

@@ -244,7 +244,7 @@ def stalled_workers(spark, sf):
 
 @query(
     "error_histogram",
-    f"WITH {DOCS} SELECT m_extraction_error AS error, count(*) AS count FROM docs WHERE m_extraction_error IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
+    f"WITH {DOCS} SELECT m_extraction_error AS error, count(*) AS count FROM docs WHERE m_extraction_error IS NOT NULL GROUP BY 1",
 )
 def error_histogram(spark, sf):
     return stages.error_histogram(docs(spark, sf), stages.meta("extraction_error"))
@@ -252,7 +252,7 @@ def error_histogram(spark, sf):
 
 @query(
     "field_frequency",
-    f"WITH {DOCS} SELECT m_embed_worker_id AS value, count(*) AS count FROM docs WHERE m_embed_worker_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
+    f"WITH {DOCS} SELECT m_embed_worker_id AS value, count(*) AS count FROM docs WHERE m_embed_worker_id IS NOT NULL GROUP BY 1",
 )
 def field_frequency(spark, sf):
     return stages.field_frequency(docs(spark, sf), "embed_worker_id")
@@ -279,7 +279,7 @@ def status_histogram(spark, sf):
     "stuck_documents",
     f"""WITH {DOCS} SELECT doc_id, filename, source, file_size_bytes, processed_at,
  CAST(epoch({AS_OF}) - epoch(processed_at) AS BIGINT) AS stuck_seconds FROM docs
- WHERE embedding_status = 'processing' AND processed_at < {AS_OF} - interval '10' minute ORDER BY processed_at, doc_id LIMIT 20""",
+ WHERE embedding_status = 'processing' AND processed_at < {AS_OF} - interval '10' minute""",
 )
 def stuck_documents(spark, sf):
     return stages.stuck_documents(docs(spark, sf), F.expr(AS_OF))

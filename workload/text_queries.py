@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import ids, markup, names
 from corpusgraph.functions import text as tx
+from corpusgraph.functions.paging import coerce_page
 from corpusgraph.operators import chunking, conversations, extraction
 from corpusgraph.operators.search import paginate
 from workload.registry import query, table
@@ -43,7 +44,7 @@ def images(spark, sf):
     "image_summary",
     f"""WITH {IMAGES}, big AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, num, width, height) AS rn FROM images WHERE width >= 100 AND height >= 100)
  SELECT doc_id, count(*) AS image_count, CAST(sum(width * height) AS BIGINT) AS total_pixels, sum(width * height) > 100000 AS has_photos,
-  array_to_string(list(page || ':' || num || ':' || width || 'x' || height ORDER BY page, num, width, height) FILTER (rn <= 20), ' ') AS images
+  array_to_string(list(page || ':' || num || ':' || width || 'x' || height ORDER BY page, num, width, height), ' ') AS images
  FROM big GROUP BY 1""",
 )
 def image_summary(spark, sf):
@@ -131,20 +132,20 @@ def preview(spark, sf):
     return raw(spark, sf).select("doc_id", tx.preview(F.col("text"), 200).alias("p200"), tx.preview(F.col("text"), 2000).alias("p2000"))
 
 
-# Analysed documents: people, places and objects are words of the text.
+# Analysed documents: people, places and objects are words of the whole text; every fourth and fifth has none.
 ANALYSED = r"""analysed AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS document_type,
- list_slice(w, 1, CAST(doc_id % 4 AS INT)) AS people, list_slice(w, 5, CAST(4 + doc_id % 3 AS INT)) AS locations,
- list_slice(w, 8, CAST(7 + doc_id % 5 AS INT)) AS objects FROM (SELECT *, string_split(text, ' ') AS w FROM documents) d)"""
+ CASE WHEN doc_id % 4 > 0 THEN regexp_extract_all(text, '\p{Lu}\p{Ll}+') ELSE [] END AS people,
+ CASE WHEN doc_id % 5 > 0 THEN regexp_extract_all(text, '[0-9]+') ELSE [] END AS locations,
+ regexp_extract_all(text, '[a-z]{11,}') AS objects FROM documents)"""
 
 
 def analysed(spark, sf):
-    w = F.split("text", " ")
-    cut = lambda start, size: F.slice(w, F.lit(start), F.least(size, F.greatest(F.size(w) - (start - 1), F.lit(0))))
-    i = F.col("doc_id")
+    runs = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    none, i = F.array().cast("array<string>"), F.col("doc_id")
     return raw(spark, sf).select(
         "doc_id", "text", F.when(i % 3 == 0, "").otherwise(F.col("lang")).alias("document_type"),
-        cut(1, (i % 4).cast("int")).alias("people"), cut(5, (i % 3).cast("int")).alias("locations"),
-        cut(8, (i % 5).cast("int")).alias("objects"),
+        F.when(i % 4 > 0, runs(r"\p{Lu}\p{Ll}+")).otherwise(none).alias("people"),
+        F.when(i % 5 > 0, runs("[0-9]+")).otherwise(none).alias("locations"), runs("[a-z]{11,}").alias("objects"),
     )
 
 
@@ -156,7 +157,7 @@ def analysed(spark, sf):
  UNION ALL SELECT doc_id, 'context', 'context', concat_ws('. ', CASE WHEN document_type <> '' THEN 'Document type: ' || document_type END,
   CASE WHEN len(locations) > 0 THEN 'Locations: ' || array_to_string(locations, ', ') END,
   CASE WHEN len(objects) > 0 THEN 'Objects: ' || array_to_string(objects, ', ') END) FROM analysed)
- SELECT doc_id || '_' || suffix AS point_name, doc_id, embedding_type, substr(body, 1, 8000) AS text FROM v WHERE length({TRIM.format('body')}) >= 20""",
+ SELECT doc_id || '_' || suffix AS point_name, doc_id, embedding_type, body AS text FROM v WHERE length({TRIM.format('body')}) >= 20""",
 )
 def embedding_views(spark, sf):
     return extraction.embedding_views(analysed(spark, sf))
@@ -225,7 +226,8 @@ def normalize_label(spark, sf):
 
 
 # Model answers: strict JSON, JSON inside prose, JSON cut off, and no JSON at all.
-ANSWER_PARTS = """regexp_replace(substr(text, 1, 12), '[^A-Za-z ]', 'x'{g}) AS a, regexp_replace(substr(text, 13, 12), '[^A-Za-z ]', 'x'{g}) AS b"""
+_HALF = "CAST(floor(length(text) / 2) AS INT)"
+ANSWER_PARTS = f"""regexp_replace(substr(text, 1, {_HALF}), '[^A-Za-z ]', 'x'{{g}}) AS a, regexp_replace(substr(text, {_HALF} + 1), '[^A-Za-z ]', 'x'{{g}}) AS b"""
 ANSWER = """CASE doc_id % 4
  WHEN 0 THEN concat('{"people": ["', a, '", 7, "', b, '"], "organizations": [], "locations": ["', b, '"]}')
  WHEN 1 THEN concat('Here is the result: {"people": ["', a, '"], "organizations": ["', b, '", null], "meta": {"n": 1}} as asked')
@@ -339,7 +341,7 @@ def sanitize_tags(spark, sf):
 
 @query("paginate", "SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT 20 OFFSET 40")
 def page_of_documents(spark, sf):
-    return paginate(raw(spark, sf).select("doc_id", "source"), ["source", "doc_id"], "3", "20")
+    return paginate(raw(spark, sf).select("doc_id", "source"), ["source", "doc_id"], *coerce_page("3", "20"))
 
 
 TITLED = "concat(CASE s_suppkey % 5 WHEN 0 THEN 'Dr. ' WHEN 1 THEN 'the  ' WHEN 2 THEN ' MRS ' WHEN 3 THEN 'Sir ' ELSE '' END, s_name, CASE WHEN s_suppkey % 2 = 0 THEN ' (Jr.)' ELSE '-O''Neil ' END)"
@@ -356,7 +358,7 @@ def normalize_name(spark, sf):
 
 
 # Analysis texts: two blocks and three bullet lines made of the document's words.
-BLOCKS = r"""concat('FINDING: ', substr(text, 1, CAST(doc_id % 30 AS INT)), '{n}CONFIDENCE: ', CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'Medium' ELSE 'LOW' END,
+BLOCKS = r"""concat('FINDING: ', CASE WHEN doc_id % 30 < 8 THEN substr(text, 1, CAST(doc_id % 30 AS INT)) ELSE text END, '{n}CONFIDENCE: ', CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'Medium' ELSE 'LOW' END,
  '{n}TYPE: ', CASE doc_id % 4 WHEN 0 THEN 'Timeline Event' WHEN 1 THEN 'claim' ELSE lang END, '{n}ENTITIES: ', source, ', none, ', lang, '{n}{n}finding: Second finding of ', source,
  '{n}DESCRIPTION: about ', source, ': more{n}{n}no keys here')"""
 
@@ -381,7 +383,7 @@ def parse_findings(spark, sf):
     return extraction.parse_findings(analyses).withColumn("entities", F.array_join("entities", "|"))
 
 
-BULLETS = r"""concat('intro line{n}- ', substr(text, 1, 25), '{n}continued ', source, '{n}2) ', substr(text, 26, 10), '{n}* ', substr(text, 40, 300), '{n}end of ', lang)"""
+BULLETS = r"""concat('intro line{n}- ', substr(text, 1, CAST(floor(length(text) / 2) AS INT)), '{n}continued ', source, '{n}2) ', CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 9) ELSE text END, '{n}* ', substr(text, CAST(floor(length(text) / 2) AS INT) + 1), '{n}end of ', lang)"""
 
 
 @query(
@@ -389,7 +391,7 @@ BULLETS = r"""concat('intro line{n}- ', substr(text, 1, 25), '{n}continued ', so
     rf"""WITH a AS (SELECT doc_id, {BULLETS.replace('{n}', "' || chr(10) || '")} AS analysis FROM (SELECT doc_id, regexp_replace(text, '\s', ' ', 'g') AS text, lang, source FROM documents) d),
  l AS (SELECT doc_id, {TRIM.format('line')} AS line, i FROM (SELECT doc_id, unnest(string_split(analysis, chr(10))) AS line, generate_subscripts(string_split(analysis, chr(10)), 1) AS i FROM a) q),
  g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^(?:[0-9]|- |\* )') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS item FROM l),
- j AS (SELECT doc_id, item, {TRIM.format("string_agg(line, ' ' ORDER BY i)")} AS description, substr(min_by(line, i), 1, 200) AS head FROM g WHERE item > 0 GROUP BY 1, 2)
+ j AS (SELECT doc_id, item, {TRIM.format("string_agg(line, ' ' ORDER BY i)")} AS description, min_by(line, i) AS head FROM g WHERE item > 0 GROUP BY 1, 2)
  SELECT doc_id AS analysis_id, CAST(item - 1 AS INT) AS item_no, regexp_replace(head, '^[0-9.\-*) ]+', '') AS title, description, 0.7::DOUBLE AS confidence FROM j WHERE length(description) >= 20""",
 )
 def parse_findings_naive(spark, sf):
