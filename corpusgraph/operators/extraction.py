@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +15,10 @@ from corpusgraph.functions.binding import let
 from corpusgraph.functions.names import title_case
 from corpusgraph.functions.text import strip
 from corpusgraph.operators.search import tokenize
-from corpusgraph.session import broadcast_if_small
+from corpusgraph.session import cut_lineage
+
+#: Names that one automaton holds, some hundred megabytes at most.
+NAME_BLOCK = 200_000
 
 KINDS = ("people", "organizations", "locations")
 
@@ -88,34 +94,55 @@ def parse_entity_json(raw: Column) -> Column:
     return F.when(parsed, F.struct(*[strings(k).alias(k) for k in KINDS])).when(found, loose)
 
 
-def gazetteer_entities(docs: DataFrame, names: DataFrame) -> DataFrame:
+def gazetteer_entities(docs: DataFrame, names: DataFrame, block: int = NAME_BLOCK) -> DataFrame:
     """Known names (name, and kind if there is one) written in each document, Title-Cased.
 
     Persons, and names without a kind, need two words; other kinds one.
 
-    Documents and names meet on token n-grams of the lengths the list contains,
-    so the match is an equi-join; distinct n-grams per document keep a repeated
-    phrase from multiplying rows.
+    Names are taken in blocks of about ``block``, by a hash.  The tasks build
+    one automaton over a block and read every text once through it, whatever
+    the names' number and lengths; a block is what is broadcast.
     """
     listed = (
         names.select(tokenize(F.col("name"), stop=False).alias("t"), (F.col("kind") if "kind" in names.columns else F.lit("Person")).alias("kind"))
         .where(F.size("t") >= F.when(F.col("kind") == "Person", 2).otherwise(1))
-        .select(F.array_join("t", " ").alias("gram"), F.size("t").alias("n"))
+        .select(F.array_join("t", " ").alias("gram"))
         .distinct()
     )
-    lengths = sorted(r.n for r in listed.select("n").distinct().collect())
-
-    def grams_of(tokens: Column) -> Column:
-        def of_length(n: int) -> Column:
-            starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-            starts = F.coalesce(starts, F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-
-        return F.array_distinct(F.concat(F.array().cast("array<string>"), *[of_length(n) for n in lengths]))
-
-    tokens = tokenize(F.col("text"), stop=False)
-    spread = docs.select("doc_id", F.explode(let(tokens, grams_of)).alias("gram"))
-    return spread.join(broadcast_if_small(listed), "gram").select("doc_id", title_case(F.col("gram")).alias("name"))
+    listed = cut_lineage(listed)
+    blocks = max(1, -(-listed.count() // block))
+    spaced = F.concat(F.lit(" "), F.array_join(tokenize(F.col("text"), stop=False), " "), F.lit(" "))
+    texts = docs.select("doc_id", spaced.alias("spaced"))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, gram string"
+    found = None
+    for number in range(blocks):
+        mine = listed.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == number).toArrow()["gram"].to_pylist()
+        held = docs.sparkSession.sparkContext.broadcast(mine)
+
+        def read(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            known = automaton((f" {g} ", g) for g in held.value)
+            for b in batches:
+                at, grams = [], []
+                for i, text in enumerate(b.column("spaced").to_pylist()):
+                    if text and known:
+                        hits = {g for _, g in known.iter(text)}
+                        at += [i] * len(hits)
+                        grams += hits
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(grams, pa.string())], names=["doc_id", "gram"])
+
+        part = texts.mapInArrow(read, schema)
+        found = part if found is None else found.unionByName(part)
+    return found.select("doc_id", title_case(F.col("gram")).alias("name"))
+
+
+def automaton(words: Iterable[tuple[str, object]]) -> ahocorasick.Automaton | None:
+    """One that finds all given words in one pass over a text, each with its value; None without words."""
+    known = ahocorasick.Automaton()
+    for word, value in words:
+        if word:
+            known.add_word(word, value)
+    known.make_automaton()
+    return known if len(known) else None
 
 
 def capitalized_runs(docs: DataFrame, min_words: int = 1, shortest: int = 3, longest: int = 99) -> DataFrame:
@@ -141,15 +168,16 @@ def find_spans(text: str, names: list[str]) -> list[dict]:
     def edge(i: int) -> bool:
         return (i > 0 and text[i - 1] in word) != (i < len(text) and text[i] in word)
 
-    hits = []
+    orders: dict[str, list[int]] = {}
     for order, name in enumerate(names):
-        wanted = name.lower()
-        at = low.find(wanted) if wanted else -1
-        while at >= 0:
-            whole = edge(at) and edge(at + len(wanted))
-            if whole:
-                hits.append((at, order, len(wanted), name))
-            at = low.find(wanted, at + (len(wanted) if whole else 1))
+        orders.setdefault(name.lower(), []).append(order)
+    known = automaton((wanted, (wanted, listed)) for wanted, listed in orders.items())
+    hits, past = [], {}
+    for last, (wanted, listed) in known.iter(low) if known else ():
+        at = last + 1 - len(wanted)
+        if at >= past.get(wanted, 0) and edge(at) and edge(last + 1):
+            past[wanted] = last + 1
+            hits += [(at, order, len(wanted), names[order]) for order in listed]
     kept, free = [], 0
     for start, _, length, name in sorted(hits):
         if start >= free:
@@ -161,8 +189,8 @@ def find_spans(text: str, names: list[str]) -> list[dict]:
 def entity_spans(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     """Whole-word, case-insensitive, non-overlapping occurrences, leftmost first.
 
-    Each document meets the list of its own names; the scan itself is an Arrow
-    UDF over (text, names) rows.
+    Each document meets the list of its own names and is read once through an
+    automaton over them.
     """
     @F.pandas_udf("array<struct<start_char:int,length:int,name:string>>")
     def spans(texts: pd.Series, names: pd.Series) -> pd.Series:

@@ -1,6 +1,7 @@
 """Arguments, text and identifier expressions on hand-made cases."""
 
 import hashlib
+import random
 import uuid
 
 import pytest
@@ -130,7 +131,7 @@ def test_chunk_most(spark):
 
 
 def test_chunks_cover_the_text(spark):
-    import random
+
 
     rng = random.Random(3)
     text = "".join(rng.choice("abc   .\n") for _ in range(5000))
@@ -173,6 +174,45 @@ def test_entity_spans_brute(spark):
     assert [(r.start_char, r.length, r.name) for r in rows] == [(0, 3, "Ann"), (12, 3, "Ann"), (29, 3, "Ann")]
 
 
+def test_names_in_blocks_match_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)] + ["É", "ß"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 25)))) for i in range(60)] + [(99, None), (98, ""), (97, "w1 " * 3000)]
+    names = [(" ".join(rng.choices(words, k=rng.randint(1, 4))), rng.choice(["Person", "Location"])) for _ in range(50)] + [("", "Location"), ("w1  W1", "Person"), ("...", "Location")]
+    table, known = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(names, "name string, kind string")
+    lists = {tuple(n.lower().split()) for n, k in names if len(n.split()) >= (2 if k == "Person" else 1)} - {("...",)}
+    holds = lambda t, n: any(t[i : i + len(n)] == list(n) for i in range(len(t)))
+    want = sorted((d, len(n)) for d, t in docs for n in lists if holds((t or "").lower().split(), n))
+    for block in (200_000, 7):
+        got = extraction.gazetteer_entities(table, known, block).collect()
+        assert sorted((r.doc_id, len(r.name.split())) for r in got) == want and len(set(got)) == len(got)
+    assert extraction.gazetteer_entities(table, known.limit(0)).count() == 0
+
+
+def test_spans_match_repeated_searches():
+    """The automaton against one search per name."""
+    import re
+
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice("aAbB _é1") for _ in range(rng.randint(0, 40)))
+        names_ = sorted({"".join(rng.choice("abA é") for _ in range(rng.randint(1, 4))) for _ in range(6)})
+        hits = []
+        for order, name in enumerate(names_):
+            at = 0
+            while m := re.compile(re.escape(name), re.I).search(text, at):
+                word = lambda i: 0 <= i < len(text) and re.match(r"[A-Za-z0-9_]", text[i]) is not None
+                whole = word(m.start() - 1) != word(m.start()) and word(m.end() - 1) != word(m.end())
+                hits += [(m.start(), order, m.end(), name)] if whole else []
+                at = m.end() if whole else m.start() + 1
+        want, free = [], 0
+        for start, _, end, name in sorted(hits):
+            if start >= free:
+                want.append((start, end - start, name))
+                free = end
+        assert [(s["start_char"], s["length"], s["name"]) for s in extraction.find_spans(text, names_)] == want
+
+
 def test_answers_of_any_depth_and_length(spark):
     """Against a scan of the characters and Python's parser."""
     import json

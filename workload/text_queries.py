@@ -268,23 +268,26 @@ def clean_entities(spark, sf):
     return raw(spark, sf).select("doc_id", F.array_join(names.clean_entities(F.split("text", " ")), "|").alias("names"))
 
 
-# Known names: the first words of each benchmark passage; persons have three, places one.
+# Known names: every two words in a row of the even benchmark passages are a person, every word of the odd ones a place.
 def known_names(spark, sf):
+    words = F.split("text", " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
     person = F.col("item_id") % 2 == 0
-    words = F.slice(F.split("text", " "), F.lit(1), F.when(person, 3).otherwise(1))
-    return table(spark, sf, "benchmark").select(F.array_join(words, " ").alias("name"), F.when(person, "Person").otherwise("Location").alias("kind"))
+    named = F.when(person & (F.size(words) > 1), pairs).when(~person, words).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf, "benchmark").select(F.explode(named).alias("name"), F.when(person, "Person").otherwise("Location").alias("kind"))
 
 
 _TOK = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
-_NAME = "array_to_string(list_slice(string_split(text, ' '), 1, CASE WHEN item_id % 2 = 0 THEN 3 ELSE 1 END), ' ')"
+_NAMED = """named AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END AS names
+  FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark) b), each_name AS (SELECT item_id, unnest(names) AS name FROM named)"""
 
 
 @query(
     "gazetteer_entities",
-    rf"""WITH k AS (SELECT array_to_string({_TOK.format(_NAME)}, ' ') AS gram, item_id % 2 = 0 AS person FROM benchmark),
+    rf"""WITH {_NAMED}, k AS (SELECT array_to_string({_TOK.format('name')}, ' ') AS gram, item_id % 2 = 0 AS person FROM each_name),
  n AS (SELECT DISTINCT gram FROM k WHERE gram <> '' AND (contains(gram, ' ') OR NOT person)),
  t AS (SELECT doc_id, ' ' || array_to_string({_TOK.format('text')}, ' ') || ' ' AS joined FROM documents)
- SELECT doc_id, array_to_string(list_transform(string_split(gram, ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS name
+ SELECT doc_id, array_to_string(list_transform(string_split(gram, ' '), lambda w: CASE substr(w, 1, 1) WHEN 'ß' THEN 'Ss' ELSE upper(substr(w, 1, 1)) END || substr(w, 2)), ' ') AS name
  FROM t JOIN n ON contains(joined, ' ' || gram || ' ')""",
 )
 def gazetteer_entities(spark, sf):
@@ -305,7 +308,20 @@ def capitalized_runs(spark, sf):
     return extraction.capitalized_runs(raw(spark, sf))
 
 
-@query("entity_spans")
+# An alternation takes the first name that fits at the leftmost place; each hit is set between marks and its place counted.
+SPANS_SQL = RUNS_SQL + r""",
+ pats AS (SELECT doc_id, '\b(' || string_agg(name, '|' ORDER BY name) || ')\b' AS pattern FROM runs GROUP BY 1),
+ marked AS (SELECT doc_id, string_split(regexp_replace(replace(replace(text, chr(1), ' '), chr(2), ' '), pattern, chr(1) || '\1' || chr(2), 'gi'), chr(1)) AS pieces FROM documents JOIN pats USING (doc_id)),
+ cut AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM marked),
+ placed AS (SELECT doc_id, i, split_part(piece, chr(2), 1) AS hit,
+  sum(length(replace(piece, chr(2), ''))) OVER (PARTITION BY doc_id ORDER BY i) - length(replace(piece, chr(2), '')) AS start_char FROM cut)"""
+
+
+@query(
+    "entity_spans",
+    f"""WITH {SPANS_SQL} SELECT doc_id, CAST(start_char AS INT) AS start_char, CAST(length(hit) AS INT) AS length,
+ (SELECT min(name) FROM runs WHERE runs.doc_id = placed.doc_id AND lower(name) = lower(hit)) AS name FROM placed WHERE i > 1""",
+)
 def entity_spans(spark, sf):
     return extraction.entity_spans(raw(spark, sf), extraction.capitalized_runs(raw(spark, sf)))
 
