@@ -303,3 +303,34 @@ def test_frequent_pairs_match_brute_force(spark, minimum):
         got = graph.frequent_pairs(table, minimum, most, without, block=8).collect()
         assert sorted((-r["count"], r.a, r.b) for r in got) == want[:most]
     assert graph.frequent_pairs(table.limit(0), minimum, 5).count() == 0
+
+
+def test_two_ended_paths_match_one_ended_search(spark, tmp_path):
+    """Length, and among shortest paths the smallest predecessors from the target back; one stored adjacency serves all."""
+    rng = random.Random(12)
+    pairs = {tuple(rng.sample(range(40), 2)) for _ in range(60)} | {(100 + i, 101 + i) for i in range(8)} | {(i, 50) for i in range(0, 30, 3)}
+    walks.write_adjacency(edge_table(spark, sorted(pairs)), str(tmp_path))
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def brute(source, target, most):
+        far = {source: 0}
+        level = [source]
+        while level:
+            level = sorted({o for n in level for o in near.get(n, ()) if o not in far})
+            far |= {n: max(far.values()) + 1 for n in level}
+        if far.get(target, most + 1) > most:
+            return []
+        chain = [target]
+        while chain[-1] != source:
+            chain.append(min(n for n in near[chain[-1]] if far.get(n) == far[chain[-1]] - 1))
+        return chain[::-1]
+
+    for source, target, most in [(0, 1, 6), (3, 17, 6), (50, 8, 6), (100, 108, 8), (100, 108, 7), (0, 104, 6), (5, 5, 6), (5, 777, 6)]:
+        got = walks.shortest_path(None, source, target, most, stored=str(tmp_path), spark=spark).collect()
+        assert [r.id for r in got] == brute(source, target, most)
+        assert [r.step for r in got] == list(range(len(got))) and all((r.type is None) == (r.step == 0) for r in got)
+    plan = walks._around(walks.adjacency(None, str(tmp_path), spark), spark.createDataFrame([(50,)], "id bigint"))._jdf.queryExecution().toString()
+    assert "(bucket#" in plan.split("PartitionFilters: ")[1].split("]")[0] and "EqualTo(node,50)" in plan

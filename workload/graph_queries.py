@@ -8,7 +8,7 @@ from corpusgraph.operators import graph, walks
 from workload.graph_standins import (
     CO_MENTIONED, EVENTS_SQL, GRAPH, LINKS_SQL, WAYS, edges, links, mentions, nodes, timeline_events,
 )
-from workload.registry import query, table
+from workload.registry import query, stored_once, table
 
 ONE = "Supplier#000000001"
 TWO = "Supplier#000000002"
@@ -95,6 +95,10 @@ def neighbors_by_type(spark, sf):
     return out.select("type", "size", F.array_join("shown", "|").alias("shown"), "remaining")
 
 
+def adjacency(spark, sf):
+    return stored_once(spark, sf, "adjacency", lambda path: walks.write_adjacency(edges(spark, sf), path))
+
+
 def cooc_sql(name, k):
     return f"""(SELECT e.src AS id, count(DISTINCT e.dst) AS shared_docs FROM edges s JOIN edges e ON s.dst = e.dst AND s.type = 'MENTIONED_IN' AND e.type = 'MENTIONED_IN' AND s.src <> e.src
   WHERE s.src IN (SELECT id FROM nodes WHERE label <> 'Document' AND contains(lower(name), '{name.lower()}')) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {k})"""
@@ -287,7 +291,7 @@ def entity_profile(spark, sf):
  SELECT id, name, label, distance FROM (SELECT id, CAST(min(d) AS INT) AS distance FROM b GROUP BY 1) q JOIN nodes USING (id) WHERE distance > 0 ORDER BY distance, name, id LIMIT 500""",
 )
 def traverse(spark, sf):
-    return walks.traverse(nodes(spark, sf), edges(spark, sf), ONE, depth=2, limit=500)
+    return walks.traverse(nodes(spark, sf), None, ONE, depth=2, limit=500, stored=adjacency(spark, sf))
 
 
 @query(
@@ -296,8 +300,8 @@ def traverse(spark, sf):
  SELECT id, distance FROM (SELECT id, CAST(min(d) AS INT) AS distance FROM b GROUP BY 1) q""",
 )
 def traverse_by_type(spark, sf):
-    kept = graph.restrict_types(edges(spark, sf), ["MENTIONED_IN"])
-    return walks.hop_levels(kept, nodes(spark, sf).where("name = 'NATION_1'").select("id"), 3).select("id", "distance")
+    starts = nodes(spark, sf).where("name = 'NATION_1'").select("id")
+    return walks.hop_levels(None, starts, 3, ["MENTIONED_IN"], adjacency(spark, sf)).select("id", "distance")
 
 
 def path_sql(a: int, b: int, most: int = 6) -> str:
@@ -317,7 +321,7 @@ def path_sql(a: int, b: int, most: int = 6) -> str:
 
 @query("shortest_path", path_sql(3, 7))
 def shortest_path(spark, sf):
-    return walks.shortest_path(edges(spark, sf), 3, 7, types=["MENTIONED_IN"])
+    return walks.shortest_path(None, 3, 7, types=["MENTIONED_IN"], stored=adjacency(spark, sf), spark=spark)
 
 
 @query(
@@ -326,7 +330,7 @@ def shortest_path(spark, sf):
  SELECT CAST(min(d) AS INT) AS length FROM b WHERE id = 9""",
 )
 def shortest_path_length(spark, sf):
-    return walks.shortest_path(edges(spark, sf), 5, 9).agg(F.max("step").alias("length"))
+    return walks.shortest_path(None, 5, 9, stored=adjacency(spark, sf), spark=spark).agg(F.max("step").alias("length"))
 
 
 @query(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgraph.session import scratch_path
 from corpusgraph.sources.files import widen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,22 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_once(spark: SparkSession, sf: str, name: str, write: Callable[[str], None]) -> str:
+    """The path of what ``write(path)`` derived from the tables, written once per application and folder of tables.
+
+    Indexes, adjacency and projections that several queries read.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def scored_query(name: str, sql: str):
     """A query whose score is shown to six places; it was ranked on twelve."""
     def wrap(fn):

@@ -9,7 +9,7 @@ from corpusgraph.functions.similarity import jaro_winkler
 from corpusgraph.operators import algorithms, extraction, graph, resolution
 from corpusgraph.session import cut_lineage
 from workload.graph_standins import CO_MENTIONED, GRAPH, edges, members, mentions, nodes
-from workload.registry import query, table
+from workload.registry import query, stored_once, table
 from workload.text_queries import RUNS_SQL
 
 # Names are the capitalised runs of the documents; the source of a name's first
@@ -39,8 +39,11 @@ GROUPS = ENTS + """,
 
 
 def runs(spark, sf):
-    found = extraction.capitalized_runs(table(spark, sf, "documents"))
-    return found.withColumn("id", F.conv(F.substring(F.md5("name"), 1, 15), 16, 10).cast("bigint"))
+    def write(path):
+        found = extraction.capitalized_runs(table(spark, sf, "documents"))
+        found.withColumn("id", F.conv(F.substring(F.md5("name"), 1, 15), 16, 10).cast("bigint")).write.parquet(path)
+
+    return spark.read.parquet(stored_once(spark, sf, "runs", write))
 
 
 def text_mentions(spark, sf):
@@ -183,7 +186,10 @@ def entity_nodes(spark, sf):
 
 
 def entity_edges(spark, sf):
-    return members(spark, sf).unionByName(graph.co_mentions(nodes(spark, sf), mentions(spark, sf)))
+    def write(path):
+        members(spark, sf).unionByName(graph.co_mentions(nodes(spark, sf), mentions(spark, sf))).write.parquet(path)
+
+    return spark.read.parquet(stored_once(spark, sf, "projection", write))
 
 
 RANKED = f"""{ENTITY_EDGES}, w AS MATERIALIZED (SELECT src AS a, dst AS b FROM ee UNION SELECT dst, src FROM ee),

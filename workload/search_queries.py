@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import extraction, fusion, search, textindex, vectors
-from corpusgraph.session import cut_lineage, scratch_path
-from workload.registry import ORACLE, query, scored_query, table
+from corpusgraph.session import cut_lineage
+from workload.registry import ORACLE, query, scored_query, stored_once, table
 from workload.standins import DOCS, docs
 from workload.text_queries import RUNS_SQL
 
@@ -375,23 +375,17 @@ def cost_estimate(spark, sf):
     return vectors.cost_estimate(table(spark, sf, "embeddings"))
 
 
-def _built(spark, write):
-    path = scratch_path(spark, "text-index")
-    write(path)
-    return path
-
-
 @scored_query("fulltext_indexed", ORACLE["fulltext"].removeprefix("SELECT * REPLACE (round(score, 6) AS score) FROM (").removesuffix(") shown"))
 def fulltext_indexed(spark, sf):
     d = corpus(spark, sf)
-    path = _built(spark, lambda p: textindex.write_block_index(d.select("doc_id", "text"), p, segment=64))
+    path = stored_once(spark, sf, "word-index", lambda p: textindex.write_block_index(d.select("doc_id", "text"), p, segment=64))
     return textindex.fulltext(d, path, WORDS)
 
 
 @query("substring_indexed", ORACLE["substring_search"])
 def substring_indexed(spark, sf):
     d = corpus(spark, sf)
-    path = _built(spark, lambda p: textindex.write_trigram_index(d, "doc_id", "text", p))
+    path = stored_once(spark, sf, "trigrams", lambda p: textindex.write_trigram_index(d, "doc_id", "text", p))
     found = textindex.containing(d, path, "on the")
     return found.select("doc_id", "filename", "source", F.substring("text", 1, 500).alias("text_preview")).orderBy("doc_id").limit(25)
 
@@ -399,5 +393,5 @@ def substring_indexed(spark, sf):
 @query("autocomplete_indexed", ORACLE["autocomplete"])
 def autocomplete_indexed(spark, sf):
     ents = cut_lineage(text_mentions(spark, sf).select(F.col("entity_id").alias("id"), F.col("name").alias("canonical_name")).distinct())
-    path = _built(spark, lambda p: textindex.write_trigram_index(ents, "id", "canonical_name", p, anchored=True))
+    path = stored_once(spark, sf, "name-trigrams", lambda p: textindex.write_trigram_index(ents, "id", "canonical_name", p, anchored=True))
     return textindex.containing(ents, path, "thE", "id", "canonical_name", prefix=True).orderBy("canonical_name", "id").limit(10)
