@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.functions import louvain
+from corpusgraph.functions import brandes, louvain
 from corpusgraph.session import broadcast_if_small, cut_lineage, fits_broadcast, spread
 
 PART_ROWS = 100_000
@@ -258,19 +259,61 @@ def _solved_in_a_task(adjacency: DataFrame, start: DataFrame | None) -> DataFram
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, samples: int = 1000, seed: int = 42, scale: bool = False,
-                part_rows: int = PART_ROWS, most: int = 100) -> DataFrame:
+                part_rows: int = PART_ROWS, most: int = 100, task_rows: int = TASK_ROWS, batch: int = 64) -> DataFrame:
     """Shortest-path betweenness from ``samples`` source nodes (all nodes when fewer).
 
-    The source is a key column, so all breadth-first searches advance together;
-    dependencies are then summed back level by level.  With ``scale`` the sums
-    are multiplied by nodes / samples.
+    A graph of at most ``task_rows`` adjacency rows is broadcast and the
+    sources are dealt out to the tasks.  A larger one stays distributed:
+    ``batch`` sources at a time advance together as a key column, dependencies
+    are summed back level by level and added up after each batch, so the state
+    is ``batch`` rows per node at most.  With ``scale`` the sums are multiplied
+    by nodes / samples.
     """
-    adjacency = undirected(edges.where(F.col("src") != F.col("dst")))
+    adjacency = cut_lineage(undirected(edges.where(F.col("src") != F.col("dst"))))
+    draw = F.md5(F.concat_ws("_", F.col("id").cast("string"), F.lit(str(seed))))
+    sources = cut_lineage(nodes.select("id").orderBy(draw, "id").limit(samples))
+    if fits_broadcast(adjacency, task_rows):
+        sums = _from_each_task(adjacency, sources)
+    else:
+        sums = None
+        place = F.pmod(F.xxhash64("id"), F.lit(-(-sources.count() // batch)))
+        for number in range(-(-sources.count() // batch)):
+            part = _from_many_tasks(adjacency, sources.where(place == number), part_rows, most)
+            if part is not None:
+                sums = part if sums is None else cut_lineage(sums.unionByName(part).groupBy("id").agg(F.sum("b").alias("b")))
+    score = nodes.select("id")
+    if sums is None:
+        return score.withColumn("betweenness", F.lit(0.0))
+    factor = F.lit(0.5)
+    if scale:
+        factor = factor * nodes.count() / max(1, min(samples, nodes.count()))
+    return score.join(sums, "id", "left").select("id", F.coalesce(F.col("b") * factor, F.lit(0.0)).alias("betweenness"))
+
+
+def _from_each_task(adjacency: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, b): summed dependencies, the sources spread over the tasks and the small graph sent to them."""
+    rows = adjacency.select("src", "dst").toArrow()
+    held = adjacency.sparkSession.sparkContext.broadcast(brandes.Graph.of(rows["src"].to_numpy(), rows["dst"].to_numpy()))
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = held.value
+        total = np.zeros(len(graph.ids))
+        for b in batches:
+            ids = b.column("id").to_numpy()
+            at = np.minimum(np.searchsorted(graph.ids, ids), max(len(graph.ids) - 1, 0))
+            for i in at[graph.ids[at] == ids] if len(graph.ids) else ():
+                total += graph.dependencies(i)
+        some = total > 0
+        yield pa.RecordBatch.from_pydict({"id": graph.ids[some], "b": total[some]}, schema=pa.schema([("id", pa.int64()), ("b", pa.float64())]))
+
+    return spread(sources, "id").mapInArrow(sum_up, "id long, b double").groupBy("id").agg(F.sum("b").alias("b"))
+
+
+def _from_many_tasks(adjacency: DataFrame, sources: DataFrame, part_rows: int, most: int) -> DataFrame | None:
+    """(id, b): summed dependencies of one batch of sources; None if no path has an inner node."""
     salted, facts = cut_adjacency(adjacency, part_rows)
     salted = cut_lineage(spread(salted.select("src", "salt", "dst"), "src", "salt"))
     parts = cut_lineage(facts.select("id", "parts"))
-    draw = F.md5(F.concat_ws("_", F.col("id").cast("string"), F.lit(str(seed))))
-    sources = nodes.select("id").orderBy(draw, "id").limit(samples)
     frontier = cut_lineage(sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("paths")))
     levels, seen = [frontier], frontier.select("source", "id")
     while len(levels) <= most:
@@ -296,14 +339,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, samples: int = 1000, seed: i
         )
         part = below.where("source <> id").select("id", "delta")
         collected = part if collected is None else collected.unionByName(part)
-    score = nodes.select("id")
-    if collected is None:
-        return score.withColumn("betweenness", F.lit(0.0))
-    sums = collected.groupBy("id").agg(F.sum("delta").alias("b"))
-    factor = F.lit(0.5)
-    if scale:
-        factor = factor * nodes.count() / max(1, min(samples, nodes.count()))
-    return score.join(sums, "id", "left").select("id", F.coalesce(F.col("b") * factor, F.lit(0.0)).alias("betweenness"))
+    return None if collected is None else cut_lineage(collected.groupBy("id").agg(F.sum("delta").alias("b")))
 
 
 def _spread(rows: DataFrame, parts: DataFrame, salted: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def brute_betweenness(nodes, pairs):
 @pytest.mark.parametrize("pairs,part_rows", [(PATH, 100_000), (STAR, 2), (CLIQUES, 3)])
 def test_betweenness(spark, pairs, part_rows):
     nodes = sorted({x for p in pairs for x in p}) + [99]
-    got = algorithms.betweenness(node_table(spark, nodes), edge_table(spark, pairs), part_rows=part_rows)
+    got = algorithms.betweenness(node_table(spark, nodes), edge_table(spark, pairs), part_rows=part_rows, task_rows=0 if part_rows < 100 else 10**6, batch=7)
     want = brute_betweenness(nodes, pairs)
     for r in got.collect():
         assert r.betweenness == pytest.approx(want[r.id], abs=1e-9)

@@ -209,7 +209,23 @@ def communities(spark, sf):
     return algorithms.communities(entity_nodes(spark, sf), entity_edges(spark, sf), weight=F.col("count"))
 
 
-@query("betweenness")
+def betweenness_sql(levels: int = 6, samples: int = 1000) -> str:
+    """All searches at once, level by level, and the dependencies back."""
+    parts = [f"""{ENTITY_EDGES}, w AS MATERIALIZED (SELECT src AS a, dst AS b FROM ee WHERE src <> dst UNION SELECT dst, src FROM ee WHERE src <> dst),
+ v AS (SELECT id FROM nodes WHERE label <> 'Document'), l0 AS MATERIALIZED (SELECT id AS source, id, 1.0::DOUBLE AS paths FROM v ORDER BY md5(id || '_42'), id LIMIT {samples})"""]
+    for i in range(1, levels + 1):
+        seen = " UNION ALL ".join(f"SELECT source, id FROM l{j}" for j in range(max(0, i - 2), i))
+        parts.append(f"""r{i} AS (SELECT source, b AS id, sum(paths) AS paths FROM l{i - 1} JOIN w ON a = id GROUP BY 1, 2),
+ l{i} AS MATERIALIZED (SELECT * FROM r{i} ANTI JOIN ({seen}) s USING (source, id))""")
+    parts.append(f"d{levels} AS (SELECT *, 0.0::DOUBLE AS delta FROM l{levels})")
+    for i in range(levels - 1, 0, -1):
+        parts.append(f"""b{i} AS (SELECT source, b AS id, sum((1 + delta) / paths) AS share FROM d{i + 1} JOIN w ON a = id GROUP BY 1, 2),
+ d{i} AS MATERIALIZED (SELECT source, id, paths, paths * coalesce(share, 0) AS delta FROM l{i} LEFT JOIN b{i} USING (source, id))""")
+    every = " UNION ALL ".join(f"SELECT id, delta FROM d{i}" for i in range(1, levels + 1))
+    return f"""WITH {", ".join(parts)} SELECT id, round(coalesce(b, 0) * 0.5, 6) AS betweenness FROM v LEFT JOIN (SELECT id, sum(delta) AS b FROM ({every}) q GROUP BY 1) s USING (id)"""
+
+
+@query("betweenness", betweenness_sql())
 def betweenness(spark, sf):
     return algorithms.betweenness(entity_nodes(spark, sf), entity_edges(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
 
