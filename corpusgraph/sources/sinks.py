@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.markup import strip_tags
-from corpusgraph.session import scratch_path
+from corpusgraph.sources.keyed import KeyedTable
 
 BOM = "﻿"
 
@@ -54,18 +54,12 @@ def merge_points(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def write_points(spark: SparkSession, incoming: DataFrame, path: str) -> None:
-    """Upsert points into a Parquet table; running it twice changes nothing.
+    """Upsert points into a keyed table; running it twice changes nothing. Only the buckets of incoming keys are rewritten."""
+    KeyedTable(spark, path, "point_id").upsert(incoming, merge_points)
 
-    The merged table is first written whole to the shared folder.  The swap is
-    not atomic: a failure during it leaves the merged rows there, below
-    ``points-``, from where they can be copied back.
-    """
-    if not _exists(spark, path):
-        incoming.write.parquet(path)
-        return
-    staged = scratch_path(spark, "points")
-    merge_points(spark.read.parquet(path), incoming).write.parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    return KeyedTable(spark, path).read()
 
 
 def new_graph_rows(nodes: DataFrame, edges: DataFrame, old_nodes: DataFrame, old_edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from corpusgraph.sources.keyed import KeyedTable, replace
+
 
 def stream_ingest(spark: SparkSession, path: str, schema: StructType, glob: str = "*", files_per_batch: int = 10) -> DataFrame:
     """A stream over the Parquet files of a folder, a bounded number per batch."""
@@ -156,7 +158,8 @@ def stall_alerts(stream: DataFrame, doc: str, ts: str, state_column: str, minute
         else:
             state.update((int(claimed),))
             state.setTimeoutTimestamp(max((claimed + limit) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"doc": [key[0]] * len(alerts), "claimed_at": pd.to_datetime(alerts, unit="us")})
+        if alerts:
+            yield pd.DataFrame({"doc": [key[0]] * len(alerts), "claimed_at": pd.to_datetime(alerts, unit="us")})
 
     rows = stream.select(F.col(doc).alias("doc"), F.col(ts).cast("timestamp").alias("ts"), F.col(state_column).alias("kind"))
     return rows.withWatermark("ts", late).groupBy("doc").applyInPandasWithState(
@@ -174,16 +177,14 @@ def latest_status(stream: DataFrame, doc: str, ts: str, status: str) -> DataFram
 def upsert_latest(path: str, key: str) -> Callable[[DataFrame, int], None]:
     """Batch body for update mode: keeps one current row per key.
 
-    Every batch writes a new version of the table, so readers and replays never
-    see a half-written one.
+    A batch rewrites the buckets of its own keys; a replayed batch that was
+    committed changes nothing, and readers never see a half-written one.
     """
 
     def body(batch: DataFrame, number: int) -> None:
-        merged = batch
-        if number > 0:
-            stored = batch.sparkSession.read.parquet(f"{path}/version={number - 1}")
-            merged = stored.join(batch.select(key), key, "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(f"{path}/version={number}")
+        batch = batch.persist()  # its buckets are asked for before its rows
+        KeyedTable(batch.sparkSession, path, key).upsert(batch, replace(key), number)
+        batch.unpersist()
 
     return body
 
@@ -209,7 +210,5 @@ def pipeline_batch(path: str, size: int = 6000, overlap: int = 500) -> Callable[
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version written by ``upsert_latest``."""
-    rows = spark.read.parquet(path)
-    newest = rows.agg(F.max("version").alias("v")).scalar()
-    return rows.where(F.col("version") == newest).drop("version")
+    """The table kept by ``upsert_latest``."""
+    return KeyedTable(spark, path).read()

@@ -54,7 +54,7 @@ def test_write_points_is_idempotent(spark, tmp_path):
     second = spark.createDataFrame([(2, "c", "t2"), (3, "d", "t2")], "point_id bigint, body string, indexed_at string")
     for rows in (first, second, second):
         sinks.write_points(spark, rows, path)
-    assert {(r.point_id, r.body) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    assert {(r.point_id, r.body) for r in sinks.read_points(spark, path).collect()} == {(1, "a"), (2, "c"), (3, "d")}
 
 
 def drop(frames, folder):

@@ -370,14 +370,14 @@ def merge_points(spark, sf):
     "SELECT vec_id AS point_id, label FROM embeddings",
 )
 def write_points(spark, sf):
-    """Upserts twice: the second run must change nothing."""
+    """Upserts all, then a part again: that must change nothing."""
     from corpusgraph.session import scratch_path
 
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), "label", F.lit("2024-01-01").alias("indexed_at"))
     path = scratch_path(spark, "points")
     sinks.write_points(spark, rows, path)
-    sinks.write_points(spark, rows, path)
-    return spark.read.parquet(path).select("point_id", "label")
+    sinks.write_points(spark, rows.where("label = 3"), path)
+    return sinks.read_points(spark, path).select("point_id", "label")
 
 
 @query(

@@ -106,7 +106,17 @@ def rate_limit_exact(spark, sf):
     return rows_of(spark, limited, "limit")
 
 
-@query("stall_alerts")
+@query(
+    "stall_alerts",
+    """WITH RECURSIVE o AS MATERIALIZED (SELECT user_id AS doc, ts, event_type = 'click' AS starts,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'click') AS i FROM events WHERE event_type IN ('click', 'purchase')),
+ r AS (SELECT doc, i, CASE WHEN starts THEN ts END AS claimed, CAST(NULL AS TIMESTAMP) AS alert FROM o WHERE i = 1
+  UNION ALL SELECT o.doc, o.i, CASE WHEN o.starts THEN CASE WHEN r.claimed IS NULL OR o.ts >= r.claimed + interval '30' minute THEN o.ts ELSE r.claimed END END,
+   CASE WHEN o.ts >= r.claimed + interval '30' minute THEN r.claimed END FROM r JOIN o ON o.doc = r.doc AND o.i = r.i + 1)
+ SELECT doc, alert AS claimed_at FROM r WHERE alert IS NOT NULL
+ UNION ALL SELECT doc, claimed FROM r JOIN (SELECT doc, max(i) AS i FROM o GROUP BY 1) q USING (doc, i)
+  WHERE claimed + interval '30' minute < (SELECT max(ts) - interval '10' minute FROM o)""",
+)
 def stall_alerts(spark, sf):
     ev = stream(spark, sf, "events").where("event_type IN ('click', 'purchase')")
     kind = F.when(F.col("event_type") == "click", "processing").otherwise("completed")
