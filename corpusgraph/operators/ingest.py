@@ -35,12 +35,19 @@ def _reopen(status: Column) -> Column:
     return F.when(status == "failed", "pending").otherwise(status)
 
 
-def upsert_documents(existing: DataFrame, incoming: DataFrame, key: str = "filename") -> DataFrame:
-    """Insert or update by ``filename`` or ``content_hash``.
+def upsert_documents(existing: DataFrame, incoming: DataFrame, key: str = "filename", other: str | None = None) -> DataFrame:
+    """Insert or update by ``key``, and where that is new, by the key ``other`` if given.
 
     A conflict takes the incoming storage key and reopens failed rows; every
-    other stored value stays.  ``incoming`` must be unique on ``key``.
+    other stored value stays.  ``incoming`` must be unique on ``key``.  With
+    ``other`` (say ``content_hash``), a row whose ``key`` is not stored meets
+    the stored row of equal ``other``, the first by ``key`` of several; if
+    several rows meet one, the last by ``key`` gives the storage key, unless a
+    row of its own key does.  New rows of equal ``other`` become one: the first
+    by ``key``, with the last one's storage key.
     """
+    if other is not None:
+        incoming = _settled(existing, incoming, key, other)
     extra = [c for c in ("source", "file_size_bytes", "doc_id", "filename", "content_hash") if c != key]
     new = incoming.select(key, "object_key", *[c for c in extra if c in incoming.columns])
     new = new.select(key, *[F.col(c).alias(f"new_{c}") for c in new.columns if c != key], F.lit(True).alias("is_new"))
@@ -63,6 +70,23 @@ def upsert_documents(existing: DataFrame, incoming: DataFrame, key: str = "filen
     return joined.select(*picks)
 
 
+def _settled(existing: DataFrame, incoming: DataFrame, key: str, other: str) -> DataFrame:
+    """``incoming`` under the keys of the stored rows that it meets, one row per key."""
+    stored = existing.select(key).distinct()
+    own = incoming.join(stored, key, "left_semi").withColumn("own", F.lit(True))
+    # One row per value of the other key on either side before they meet: copies do not multiply.
+    rest = incoming.join(stored, key, "left_anti")
+    values = [c for c in incoming.columns if c not in (key, "object_key", other)]
+    one = rest.where(F.col(other).isNotNull()).groupBy(other).agg(
+        F.min(key).alias(key), F.max_by("object_key", key).alias("object_key"), *[F.min_by(c, key).alias(c) for c in values]
+    )
+    met = existing.where(F.col(other).isNotNull()).groupBy(other).agg(F.min(key).alias("met"))
+    moved = one.join(met, other, "left").withColumn(key, F.coalesce("met", key)).drop("met")
+    rows = moved.unionByName(rest.where(F.col(other).isNull())).withColumn("own", F.lit(False)).unionByName(own)
+    kept = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in incoming.columns if c != key]), F.struct("own", "object_key")).alias("r"))
+    return kept.select(key, "r.*").select(*incoming.columns)
+
+
 def basename(key: Column) -> Column:
     """Last path segment of a storage key."""
     return F.element_at(F.split(key, "/"), -1)

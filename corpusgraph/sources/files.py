@@ -1,12 +1,7 @@
-"""Files, archives and object listings as tables."""
+"""Tables, and file names as keys between them."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,86 +25,6 @@ def widen(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def extension(path: Column) -> Column:
-    """Lower-case extension without the dot, empty when there is none."""
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-
-
-def list_objects(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """Objects below a path as (key, size, last_modified); no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = path.rstrip("/") + "/"
-    key = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "^" + _quoted(_plain(root)), "")
-    listed = files.select(key.alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
-    return listed.where(F.col("key").startswith(prefix)) if prefix else listed
-
-
-def _plain(path: str) -> str:
-    scheme, sep, rest = path.partition("://")
-    return "/" + (rest if sep else scheme).lstrip("/")
-
-
-def _quoted(text: str) -> str:
-    return "\\Q" + text + "\\E"
-
-
-def scan_files(spark: SparkSession, path: str, exts: list[str]) -> DataFrame:
-    """Non-empty files of the allowed extensions: (key, filename, ext, size)."""
-    listed = list_objects(spark, path)
-    ext = extension(F.col("key"))
-    wanted = [e.lower().lstrip(".") for e in exts]
-    return listed.where((F.col("size") > 0) & ext.isin(wanted)).select(
-        "key", basename(F.col("key")).alias("filename"), ext.alias("ext"), "size"
-    )
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """ZIP files below a path with their bytes: (path, content)."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip")
-    return reader.load(path).select("path", "content")
-
-
-def scan_archives(archives: DataFrame) -> DataFrame:
-    """Entries of ZIP archives (path, content) as (path, entry, size, body, error).
-
-    A damaged entry gives a row with its error; a damaged archive gives one row
-    without an entry.  Directories are skipped.
-    """
-
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                # One frame per archive, so a batch never holds all contents twice.
-                yield pd.DataFrame(_entries(path, content), columns=["path", "entry", "size", "body", "error"])
-
-    return archives.select("path", "content").mapInPandas(
-        expand, "path string, entry string, size bigint, body binary, error string"
-    )
-
-
-def _entries(path: str, content: bytes) -> list[tuple]:
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile as e:
-        return [(path, None, 0, None, str(e))]
-    rows = []
-    for info in archive.infolist():
-        if info.is_dir():
-            continue
-        try:
-            rows.append((path, info.filename, info.file_size, archive.read(info), None))
-        except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError, EOFError) as e:
-            rows.append((path, info.filename, 0, None, str(e)))
-    return rows
-
-
-def archive_report(entries: DataFrame) -> DataFrame:
-    """Good and bad entries per archive."""
-    return entries.groupBy("path").agg(
-        F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.sum("size").alias("bytes")
-    )
-
-
 def stem(path: Column) -> Column:
     """File name without directories and extension."""
     return F.regexp_replace(basename(path), r"\.[^.]*$", "")

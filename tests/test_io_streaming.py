@@ -1,42 +1,14 @@
-"""Files, archives, upserts and multi-batch streams."""
+"""Exports, upserts and multi-batch streams."""
 
-import io
 import random
-import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corpusgraph.sources import files, sinks
+from corpusgraph.sources import sinks
 from corpusgraph.streaming import flows
 
 
-def test_files(spark, tmp_path):
-    (tmp_path / "a" / "b").mkdir(parents=True)
-    (tmp_path / "a" / "x.PDF").write_bytes(b"123")
-    (tmp_path / "a" / "b" / "y.pdf").write_bytes(b"12345")
-    (tmp_path / "a" / "empty.pdf").write_bytes(b"")
-    (tmp_path / "z.exe").write_bytes(b"1")
-    rows = files.scan_files(spark, str(tmp_path), [".pdf"]).orderBy("key").collect()
-    assert [(r.key, r.filename, r.ext, r.size) for r in rows] == [("a/b/y.pdf", "y.pdf", "pdf", 5), ("a/x.PDF", "x.PDF", "pdf", 3)]
-    assert [r.key for r in files.list_objects(spark, str(tmp_path), "z").collect()] == ["z.exe"]
-
-
-def test_archives(spark, tmp_path):
-    good = io.BytesIO()
-    with zipfile.ZipFile(good, "w") as z:
-        z.writestr("a.txt", "hello")
-        z.writestr("d/b.txt", "world!")
-    broken = bytearray(good.getvalue())
-    broken[broken.index(b"hello")] ^= 0xFF
-    (tmp_path / "good.zip").write_bytes(good.getvalue())
-    (tmp_path / "bad_entry.zip").write_bytes(bytes(broken))
-    (tmp_path / "not.zip").write_bytes(b"no archive")
-    entries = files.scan_archives(files.read_archives(spark, str(tmp_path)))
-    report = {r.path.rsplit("/", 1)[1]: (r.ok, r.errors) for r in files.archive_report(entries).collect()}
-    assert report == {"good.zip": (2, 0), "bad_entry.zip": (1, 1), "not.zip": (0, 1)}
-
-
 def test_csv_quoting(spark, tmp_path):
     rows = spark.createDataFrame(
         [("a,b.pdf", "s", None, None, 2.0, '<mark>x</mark> "q"', [("n1",), ("n2",)])],

@@ -101,6 +101,37 @@ def upsert_documents(spark, sf):
     return ingest.upsert_documents(old, new)
 
 
+# Uploads under new names: every third document again, every fifth of them with its stored name, and new texts twice.
+UPLOADS = """uploads AS (SELECT CASE WHEN doc_id % 5 = 0 THEN concat('doc_', doc_id, '.pdf') ELSE concat('new_', doc_id, '.pdf') END AS filename,
+ concat('up/', doc_id) AS object_key, 'up' AS source, n_chars AS file_size_bytes, CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE md5(concat(lang, doc_id % 50)) END AS content_hash
+ FROM documents WHERE doc_id % 3 = 0 OR doc_id % 7 = 1)"""
+
+
+@query(
+    "upsert_by_hash",
+    f"""WITH {DOCS}, {UPLOADS}, own AS (SELECT * FROM uploads WHERE filename IN (SELECT filename FROM docs)),
+ one AS (SELECT content_hash, min(filename) AS filename, max_by(object_key, filename) AS object_key, min_by(file_size_bytes, filename) AS size FROM uploads
+  WHERE filename NOT IN (SELECT filename FROM docs) GROUP BY 1),
+ met AS (SELECT content_hash, min(filename) AS met FROM docs GROUP BY 1),
+ moved AS (SELECT coalesce(met, filename) AS filename, object_key, size, content_hash, 0 AS own FROM one LEFT JOIN met USING (content_hash)
+  UNION ALL SELECT filename, object_key, file_size_bytes, content_hash, 1 FROM own),
+ i AS (SELECT * FROM moved QUALIFY row_number() OVER (PARTITION BY filename ORDER BY own DESC, object_key DESC) = 1)
+ SELECT coalesce(d.filename, i.filename) AS filename, coalesce(i.object_key, d.object_key) AS object_key, coalesce(d.source, 'up') AS source,
+  CASE WHEN d.filename IS NULL THEN i.size ELSE d.file_size_bytes END AS file_size_bytes, coalesce(d.content_hash, i.content_hash) AS content_hash,
+  CASE WHEN d.filename IS NULL THEN 'pending' WHEN i.object_key IS NOT NULL AND embedding_status = 'failed' THEN 'pending' ELSE embedding_status END AS embedding_status
+ FROM docs d FULL OUTER JOIN i ON d.filename = i.filename""",
+)
+def upsert_by_hash(spark, sf):
+    old = docs(spark, sf).select("filename", "object_key", "source", "file_size_bytes", "content_hash", "embedding_status")
+    i, name = F.col("doc_id"), lambda kind: F.concat(F.lit(kind), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    new = table(spark, sf, "documents").where((i % 3 == 0) | (i % 7 == 1)).select(
+        F.when(i % 5 == 0, name("doc_")).otherwise(name("new_")).alias("filename"), F.concat(F.lit("up/"), i.cast("string")).alias("object_key"),
+        F.lit("up").alias("source"), F.col("n_chars").alias("file_size_bytes"),
+        F.when(i % 3 == 0, F.md5("text")).otherwise(F.md5(F.concat("lang", (i % 50).cast("string")))).alias("content_hash"),
+    )
+    return ingest.upsert_documents(old, new, other="content_hash")
+
+
 @query(
     "missing_files",
     f"""WITH {DOCS}, {LISTING} SELECT key, size, split_part(key, '/', -1) AS filename FROM listing
