@@ -236,21 +236,6 @@ def timelines(spark, sf):
     return graph.timeline(links(spark, sf), timeline_events(spark, sf))
 
 
-@query(
-    "score_scale",
-    f"""WITH {GRAPH}, {WAYS}, {DEGREE}, m AS (SELECT id, CASE WHEN id % 5 <> 0 THEN connections / 1000.0::DOUBLE END AS pagerank, (id % 97)::DOUBLE AS betweenness, connections FROM deg)
- SELECT id, round(CASE WHEN pagerank IS NOT NULL THEN 20.0 + 40.0 * greatest(0, least(1, pagerank / (SELECT greatest(max(pagerank), 0.001) FROM m))) ELSE greatest(20.0, least(60.0, 20.0 + connections * 2.0)) END::DOUBLE, 6) AS size,
-  betweenness >= 0.7 * (SELECT greatest(max(betweenness), 0.001) FROM m) AS is_bridge, round(100.0 * pagerank / (SELECT greatest(max(pagerank), 0.001) FROM m), 6) AS bar_pct FROM m""",
-)
-def score_scale(spark, sf):
-    deg = graph.degree(nodes(spark, sf), edges(spark, sf))
-    metrics = deg.select(
-        "id", F.when(F.col("id") % 5 != 0, F.col("connections") / 1000.0).alias("pagerank"),
-        (F.col("id") % 97).cast("double").alias("betweenness"), "connections",
-    )
-    return graph.score_scale(metrics)
-
-
 # Notes: one per order, about the supplier whose key its customer key hits.
 NOTES_SQL = "SELECT o_orderkey AS id, (o_custkey % (SELECT count(*) FROM supplier)) * 4 + 1 AS entity_id, o_orderpriority AS content, o_orderdate AS created_at FROM orders"
 

@@ -209,23 +209,27 @@ def communities(spark, sf):
     return algorithms.communities(entity_nodes(spark, sf), entity_edges(spark, sf), weight=F.col("count"))
 
 
-def betweenness_sql(levels: int = 6, samples: int = 1000) -> str:
-    """All searches at once, level by level, and the dependencies back."""
-    parts = [f"""{ENTITY_EDGES}, w AS MATERIALIZED (SELECT src AS a, dst AS b FROM ee WHERE src <> dst UNION SELECT dst, src FROM ee WHERE src <> dst),
- v AS (SELECT id FROM nodes WHERE label <> 'Document'), l0 AS MATERIALIZED (SELECT id AS source, id, 1.0::DOUBLE AS paths FROM v ORDER BY md5(id || '_42'), id LIMIT {samples})"""]
+def _betweenness(levels: int = 6, samples: int = 1000) -> str:
+    """All searches at once, level by level, and the dependencies back: the tables up to ``bt`` (id, betweenness)."""
+    parts = [f"""wb AS MATERIALIZED (SELECT src AS a, dst AS b FROM ee WHERE src <> dst UNION SELECT dst, src FROM ee WHERE src <> dst),
+ vb AS (SELECT id FROM nodes WHERE label <> 'Document'), l0 AS MATERIALIZED (SELECT id AS source, id, 1.0::DOUBLE AS paths FROM vb ORDER BY md5(id || '_42'), id LIMIT {samples})"""]
     for i in range(1, levels + 1):
         seen = " UNION ALL ".join(f"SELECT source, id FROM l{j}" for j in range(max(0, i - 2), i))
-        parts.append(f"""r{i} AS (SELECT source, b AS id, sum(paths) AS paths FROM l{i - 1} JOIN w ON a = id GROUP BY 1, 2),
+        parts.append(f"""r{i} AS (SELECT source, b AS id, sum(paths) AS paths FROM l{i - 1} JOIN wb ON a = id GROUP BY 1, 2),
  l{i} AS MATERIALIZED (SELECT * FROM r{i} ANTI JOIN ({seen}) s USING (source, id))""")
     parts.append(f"d{levels} AS (SELECT *, 0.0::DOUBLE AS delta FROM l{levels})")
     for i in range(levels - 1, 0, -1):
-        parts.append(f"""b{i} AS (SELECT source, b AS id, sum((1 + delta) / paths) AS share FROM d{i + 1} JOIN w ON a = id GROUP BY 1, 2),
+        parts.append(f"""b{i} AS (SELECT source, b AS id, sum((1 + delta) / paths) AS share FROM d{i + 1} JOIN wb ON a = id GROUP BY 1, 2),
  d{i} AS MATERIALIZED (SELECT source, id, paths, paths * coalesce(share, 0) AS delta FROM l{i} LEFT JOIN b{i} USING (source, id))""")
     every = " UNION ALL ".join(f"SELECT id, delta FROM d{i}" for i in range(1, levels + 1))
-    return f"""WITH {", ".join(parts)} SELECT id, round(coalesce(b, 0) * 0.5, 6) AS betweenness FROM v LEFT JOIN (SELECT id, sum(delta) AS b FROM ({every}) q GROUP BY 1) s USING (id)"""
+    parts.append(f"bt AS (SELECT id, round(coalesce(b, 0) * 0.5, 6) AS betweenness FROM vb LEFT JOIN (SELECT id, sum(delta) AS b FROM ({every}) q GROUP BY 1) s USING (id))")
+    return ", ".join(parts)
 
 
-@query("betweenness", betweenness_sql())
+BETWEEN = _betweenness()
+
+
+@query("betweenness", f"WITH {ENTITY_EDGES}, {BETWEEN} SELECT id, betweenness FROM bt")
 def betweenness(spark, sf):
     return algorithms.betweenness(entity_nodes(spark, sf), entity_edges(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
 
@@ -244,20 +248,49 @@ def connected_components(spark, sf):
     return algorithms.connected_components(d, links)
 
 
-def _ranks(spark, sf):
-    return entity_nodes(spark, sf).select("id").join(pagerank(spark, sf), "id", "left")
+def metrics(spark, sf):
+    """(id, pagerank, community, betweenness, connections) of the projection, computed once."""
+    def write(path):
+        n, e = entity_nodes(spark, sf), entity_edges(spark, sf)
+        both = e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("connections"))
+        whole = algorithms.node_metrics(n.select("id"), pagerank(spark, sf), communities(spark, sf), betweenness(spark, sf))
+        whole.join(both, "id", "left").fillna(0, ["connections"]).write.parquet(path)
+
+    return spark.read.parquet(stored_once(spark, sf, "metrics", write))
 
 
 @query("rank_by", f"WITH RECURSIVE {RANKED} SELECT id, pagerank FROM metrics ORDER BY pagerank DESC, id LIMIT 25")
 def rank_by(spark, sf):
-    return algorithms.rank_by(_ranks(spark, sf), "pagerank").select("id", "pagerank")
+    return algorithms.rank_by(metrics(spark, sf), "pagerank").select("id", "pagerank")
+
+
+@query("rank_by_betweenness", f"WITH {ENTITY_EDGES}, {BETWEEN} SELECT id, betweenness FROM bt ORDER BY betweenness DESC, id LIMIT 25")
+def rank_by_betweenness(spark, sf):
+    return algorithms.rank_by(metrics(spark, sf), "betweenness").select("id", "betweenness")
 
 
-@query("community_sizes", f"WITH RECURSIVE {COMPONENTS} SELECT component AS community, count(*) AS size FROM comp GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+@query(
+    "score_scale",
+    f"""WITH RECURSIVE {RANKED}, {BETWEEN}, ends AS (SELECT src AS id FROM ee UNION ALL SELECT dst FROM ee), deg AS (SELECT id, count(*) AS connections FROM ends GROUP BY 1),
+ m AS (SELECT id, pagerank, betweenness, coalesce(connections, 0) AS connections FROM metrics JOIN bt USING (id) LEFT JOIN deg USING (id))
+ SELECT id, round(CASE WHEN pagerank IS NOT NULL THEN 20.0 + 40.0 * greatest(0, least(1, pagerank / (SELECT greatest(max(pagerank), 0.001) FROM m))) ELSE greatest(20.0, least(60.0, 20.0 + connections * 2.0)) END::DOUBLE, 6) AS size,
+  betweenness >= 0.7 * (SELECT greatest(max(betweenness), 0.001) FROM m) AS is_bridge, round(100.0 * pagerank / (SELECT greatest(max(pagerank), 0.001) FROM m), 6) AS bar_pct FROM m""",
+)
+def score_scale(spark, sf):
+    return graph.score_scale(metrics(spark, sf))
+
+
+@query("community_sizes")
 def community_sizes(spark, sf):
+    return algorithms.community_sizes(metrics(spark, sf))
+
+
+@query("component_sizes", f"WITH RECURSIVE {COMPONENTS} SELECT component AS community, count(*) AS size FROM comp GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+def component_sizes(spark, sf):
+    """The same report on the components of equal documents, which SQL can tell."""
     return algorithms.community_sizes(connected_components(spark, sf).withColumnRenamed("component", "community"))
 
 
 @query("algorithm_status", f"WITH RECURSIVE {RANKED} SELECT count(pagerank) AS node_count, timestamp '2024-02-01 00:00:00' AS last_computed FROM metrics")
 def algorithm_status(spark, sf):
-    return algorithms.algorithm_status(_ranks(spark, sf), F.expr("timestamp '2024-02-01 00:00:00'"))
+    return algorithms.algorithm_status(metrics(spark, sf), F.expr("timestamp '2024-02-01 00:00:00'"))
