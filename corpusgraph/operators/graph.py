@@ -369,35 +369,60 @@ def score_scale(metrics: DataFrame) -> DataFrame:
 
 
 def entity_profile(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, notes: DataFrame, links: DataFrame, events: DataFrame,
-                   docs: int = 50, partners: int = 20) -> DataFrame:
-    """One row per wanted entity: counts and dates over all its rows, and bounded lists of documents and partners.
+                   docs: int = 50, partners: int = 20, texts: int = 20, dated: int = 50, block: int = 1000) -> DataFrame:
+    """One row per wanted entity: names, counts and dates over all its rows, and the first of its lists.
 
     ``wanted`` is (id); ``notes`` is (id, entity_id, content, created_at).
+    Lists: ``document_ids`` and ``document_names``; ``partners`` (id, name,
+    label, shared) by shared documents; ``note_texts``, newest first;
+    ``timeline`` (date, type, description) by date.  A document of more than
+    ``block`` mentions is joined in parts, so no task meets it whole.
     """
     who = wanted.select("id").distinct()
-    base = nodes.join(who, "id", "left_semi").select("id", "label", "name", *(["aliases"] if "aliases" in nodes.columns else []))
+    named = nodes.select("id", "label", "name", *(["aliases"] if "aliases" in nodes.columns else []))
+    base = named.join(who, "id", "left_semi")
     ends = both_ways(edges).join(who.withColumnRenamed("id", "node"), "node", "left_semi")
     counts = ends.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("connections"))
-    mentions = edges.where(F.col("type") == MENTIONED).select(F.col("src").alias("id"), F.col("dst").alias("doc")).distinct()
+    mentions = cut_lineage(edges.where(F.col("type") == MENTIONED).select(F.col("src").alias("id"), F.col("dst").alias("doc")).distinct())
     mine = mentions.join(who, "id", "left_semi")
     doc_counts = mine.groupBy("id").agg(F.count("*").alias("documents"))
-    doc_list = top_names(mine, "id", ["doc"], "doc", docs).withColumnRenamed("shown", "document_ids")
-    together = (
-        mine.join(mentions.withColumnRenamed("id", "partner"), "doc")
-        .where(F.col("partner") != F.col("id"))
-        .groupBy("id", "partner")
-        .agg(F.count("*").alias("shared"))
+    first_docs = cut_lineage(_first_of(mine, "id", [F.col("doc")], docs))
+    doc_list = _listed(first_docs.join(nodes.select(F.col("id").alias("doc"), F.col("name").alias("doc_name")), "doc", "left"), "id").select(
+        "id", F.col("l.doc").alias("document_ids"), F.col("l.doc_name").alias("document_names")
     )
-    partner_list = top_names(together, "id", [F.desc("shared"), F.col("partner").asc()], "partner", partners).withColumnRenamed("shown", "partner_ids")
-    own_notes = notes.join(who.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi")
-    note_counts = own_notes.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("notes"))
-    dated = timeline(links.join(who.withColumnRenamed("id", "src"), "src", "left_semi"), events, None, None)
-    event_counts = dated.groupBy(F.col("entity").alias("id")).agg(
-        F.count("*").alias("events"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    hot = mentions.groupBy("doc").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+    hot = broadcast_if_small(hot)
+    parts = F.coalesce("parts", F.lit(1))
+    near = mine.join(hot, "doc", "left").select("doc", "id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    others = mentions.withColumnRenamed("id", "partner").join(hot, "doc", "left").select("doc", "partner", F.pmod(F.xxhash64("partner"), parts).cast("int").alias("part"))
+    together = near.join(others, ["doc", "part"]).where("partner <> id").groupBy("id", "partner").agg(F.count("*").alias("shared"))
+    first_partners = _first_of(together, "id", [F.desc("shared"), F.col("partner")], partners)
+    known = nodes.select(F.col("id").alias("partner"), F.col("name").alias("partner_name"), F.col("label").alias("partner_label"))
+    partner_list = _listed(first_partners.join(known, "partner", "left"), "id").select(
+        "id", F.transform("l", lambda x: F.struct(x["partner"].alias("id"), x["partner_name"].alias("name"), x["partner_label"].alias("label"), x["shared"].alias("shared"))).alias("partners")
+    )
+    own_notes = notes.select(F.col("entity_id").alias("id"), F.col("id").alias("note"), "content", "created_at").join(who, "id", "left_semi")
+    note_counts = own_notes.groupBy("id").agg(F.count("*").alias("notes"))
+    note_list = _listed(_first_of(own_notes, "id", [F.desc("created_at"), F.desc("note")], texts), "id").select("id", F.col("l.content").alias("note_texts"))
+    told = timeline(links.join(who.withColumnRenamed("id", "src"), "src", "left_semi"), events, None, None).select(
+        F.col("entity").alias("id"), F.col("id").alias("event"), "date", "type", "description"
+    )
+    event_counts = told.groupBy("id").agg(F.count("*").alias("events"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    event_list = _listed(_first_of(told, "id", [F.col("date"), F.col("event")], dated), "id").select(
+        "id", F.transform("l", lambda x: F.struct(x["date"].alias("date"), x["type"].alias("type"), x["description"].alias("description"))).alias("timeline")
     )
     out = base
-    for part in (counts, doc_counts, doc_list, partner_list, note_counts, event_counts):
+    for part in (counts, doc_counts, doc_list, partner_list, note_counts, note_list, event_counts, event_list):
         out = out.join(part, "id", "left")
     return out.fillna(0, ["connections", "documents", "notes", "events"])
 
 
+def _first_of(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:
+    """The first ``k`` rows per group with their rank; ranking keeps only ``k`` rows per task."""
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rank") <= k)
+
+
+def _listed(ranked: DataFrame, group: str) -> DataFrame:
+    """Per group its ranked rows as an array ``l`` of structs, in order."""
+    rest = [c for c in ranked.columns if c not in (group, "_rank")]
+    return ranked.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_rank", *rest))).alias("l"))

@@ -246,14 +246,18 @@ NOTES_SQL = "SELECT o_orderkey AS id, (o_custkey % (SELECT count(*) FROM supplie
  m AS (SELECT DISTINCT src AS id, dst AS doc FROM edges WHERE type = 'MENTIONED_IN'),
  p AS (SELECT m.id, o.id AS partner, count(*) AS shared FROM m JOIN m o ON m.doc = o.doc AND m.id <> o.id WHERE m.id IN (SELECT id FROM who) GROUP BY 1, 2),
  pr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, partner) AS rn FROM p),
- mr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc) AS rn FROM m),
- tl AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date, id) AS rn FROM t)
+ mr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc) AS rn FROM m WHERE id IN (SELECT id FROM who)),
+ nr AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id DESC) AS rn FROM notes),
+ tl AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date, id) AS rn FROM t),
+ docs AS (SELECT mr.id, string_agg(doc || ' ' || name, ',' ORDER BY rn) AS l FROM mr JOIN nodes ON nodes.id = doc WHERE rn <= 50 GROUP BY 1),
+ mates AS (SELECT pr.id, string_agg(partner || ' ' || name || ' ' || label || ' ' || shared, ',' ORDER BY rn) AS l FROM pr JOIN nodes ON nodes.id = partner WHERE rn <= 20 GROUP BY 1),
+ told AS (SELECT entity_id AS id, string_agg(content, ',' ORDER BY rn) AS l FROM nr WHERE rn <= 20 GROUP BY 1),
+ days AS (SELECT entity AS id, string_agg(date || ' ' || type || ' ' || description, ',' ORDER BY rn) AS l FROM tl WHERE rn <= 50 GROUP BY 1)
  SELECT n.id, label, name, (SELECT count(*) FROM ways WHERE node = n.id) AS connections, (SELECT count(*) FROM m WHERE m.id = n.id) AS documents,
-  (SELECT string_agg(doc, ',' ORDER BY rn) FROM mr WHERE mr.id = n.id AND rn <= 50) AS document_ids,
-  (SELECT string_agg(partner, ',' ORDER BY rn) FROM pr WHERE pr.id = n.id AND rn <= 20) AS partner_ids,
-  (SELECT count(*) FROM notes WHERE entity_id = n.id) AS notes, (SELECT count(*) FROM tl WHERE entity = n.id) AS events,
-  (SELECT min(date) FROM tl WHERE entity = n.id) AS first_date, (SELECT max(date) FROM tl WHERE entity = n.id) AS last_date
- FROM nodes n WHERE n.id IN (SELECT id FROM who)""",
+  docs.l AS documents_listed, mates.l AS partners, (SELECT count(*) FROM notes WHERE entity_id = n.id) AS notes, told.l AS note_texts,
+  (SELECT count(*) FROM tl WHERE entity = n.id) AS events, (SELECT min(date) FROM tl WHERE entity = n.id) AS first_date,
+  (SELECT max(date) FROM tl WHERE entity = n.id) AS last_date, days.l AS timeline
+ FROM nodes n LEFT JOIN docs USING (id) LEFT JOIN mates USING (id) LEFT JOIN told USING (id) LEFT JOIN days USING (id) WHERE n.id IN (SELECT id FROM who)""",
 )
 def entity_profile(spark, sf):
     n = nodes(spark, sf)
@@ -265,9 +269,13 @@ def entity_profile(spark, sf):
     out = graph.entity_profile(
         n.where("label IN ('Person', 'Location')"), n, edges(spark, sf), notes, links(spark, sf), timeline_events(spark, sf)
     )
-    for c in ("document_ids", "partner_ids"):
-        out = out.withColumn(c, F.array_join(F.col(c).cast("array<string>"), ","))
-    return out
+    line = lambda c, *parts: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *[x[p].cast("string") for p in parts])), ",")
+    return out.select(
+        "id", "label", "name", "connections", "documents",
+        line(F.arrays_zip("document_ids", "document_names"), "document_ids", "document_names").alias("documents_listed"),
+        line(F.col("partners"), "id", "name", "label", "shared").alias("partners"), "notes", F.array_join("note_texts", ",").alias("note_texts"),
+        "events", "first_date", "last_date", line(F.col("timeline"), "date", "type", "description").alias("timeline"),
+    )
 
 
 @query(
