@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.session import scratch_path
@@ -15,7 +16,17 @@ from corpusgraph.session import scratch_path
 #: The white space of the contracts: space and \t \n \v \f \r.
 BLANK = " \t\n\x0b\x0c\r"
 #: Words kept in a worker's hash cache before it starts anew.
-CACHE = 300_000
+CACHE = 100_000
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from now on.
+
+    A batch stands in the JVM, on its way and in the Python worker at once;
+    with whole texts the default of 10 000 rows takes hundreds of megabytes.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -29,6 +40,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables whose last reader is done; others must not be given.
+
+    Shuffle files go when the driver's collectors find that nothing holds their
+    plan any more, which between long jobs may be late, so they are called.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+class Lately:
+    """Which pairs of numbers a task has met lately, in memory of a fixed size.
+
+    A place for each hash holds the last pair there: what is found was met,
+    what was met long ago may not be found. For leaving out repeats early.
+    """
+
+    def __init__(self, places: int = 1 << 18):
+        self.held = np.zeros((places, 2), np.int64)
+        self.used = np.zeros(places, bool)
+
+    def fresh(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """True for pairs not met lately; each is from now on."""
+        pair = np.stack([a, b], axis=1).astype(np.int64)
+        with np.errstate(over="ignore"):
+            place = (mix(mix(pair[:, 0].astype(np.uint64)) ^ pair[:, 1].astype(np.uint64)) & np.uint64(len(self.used) - 1)).astype(np.int64)
+        new = ~self.used[place] | (self.held[place] != pair).any(axis=1)
+        self.used[place], self.held[place] = True, pair
+        return new
+
+
 def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, so that few texts are Python strings at a time."""
     for at in range(0, batch.num_rows, step):
@@ -90,8 +138,10 @@ def components(edges: DataFrame, most: int = 200) -> DataFrame:
         )
         step = labels.join(near, labels.id == near.a, "left").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         up = labels.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
-        labels = stored(step.join(up, "comp", "left").select("id", "old", F.least("comp", "top").alias("comp")), "labels")
+        before, labels = labels, stored(step.join(up, "comp", "left").select("id", "old", F.least("comp", "top").alias("comp")), "labels")
+        discard(before)
         if labels.filter("comp <> old").limit(1).count() == 0:
+            discard(both)
             return labels.select("id", "comp")
         labels = labels.select("id", "comp")
     raise RuntimeError(f"components did not settle in {most} rounds")

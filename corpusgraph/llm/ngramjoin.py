@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusgraph.llm.common import WordHashes, components, mix, rows_of, shingles, stored
+from corpusgraph.llm.common import Lately, WordHashes, components, discard, mix, rows_of, shingles, stored
 from corpusgraph.session import broadcast_if_small
 
 #: Bits per shingle of the sketch that bounds a pair's symmetric difference from
@@ -112,7 +112,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, done = WordHashes(), set()
+        seen, done = WordHashes(), Lately()
         for whole in batches:
             for batch in rows_of(whole):
                 size, node, twin, bits, mini = [], [], [], [], []
@@ -121,10 +121,9 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     size.append(len(found))
                     name, other = names_of(found)
                     node.append(name), twin.append(other)
-                    if name is None or name in done:
+                    if name is None or not met_first(done, name, other):
                         bits.append(None), mini.append(None)
                         continue
-                    remember(done, name)
                     bits.append(parity_bits(found)), mini.append(small_sketch(bits[-1], len(found)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(bits, pa.binary()), pa.array(mini, pa.binary())],
@@ -144,16 +143,15 @@ def offers(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, done = WordHashes(), set()
+        seen, done = WordHashes(), Lately()
         for whole in batches:
             for batch in rows_of(whole):
                 node, keys = [], []
                 for text in batch.column("text").to_pylist():
                     found = shingles(text, words, seen)
-                    name, _ = names_of(found)
-                    if name is None or name in done:
+                    name, other = names_of(found)
+                    if name is None or not met_first(done, name, other):
                         continue
-                    remember(done, name)
                     keys.append(piece_keys(found, percent).view(np.int64))
                     node.append(np.full(len(keys[-1]), name, np.int64))
                 if node:
@@ -171,10 +169,8 @@ def names_of(found: np.ndarray) -> tuple[int | None, int | None]:
     return int(first.astype(np.int64)), int(second.astype(np.int64))
 
 
-def remember(done: set, name: int, most: int = 1_000_000) -> None:
-    if len(done) >= most:
-        done.clear()
-    done.add(name)
+def met_first(done: Lately, name: int, other: int) -> bool:
+    return bool(done.fresh(np.array([name]), np.array([other]))[0])
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -225,7 +221,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "ok": pa.array(ok, pa.bool_())})
 
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
-    return stored(joined.mapInArrow(run, "a long, b long, ok boolean").filter("ok").select("a", "b").distinct(), "edges")
+    edges = stored(joined.mapInArrow(run, "a long, b long, ok boolean").filter("ok").select("a", "b").distinct(), "edges")
+    discard(pairs, wanted, texts)
+    return edges
 
 
 def told_here(lead_a: np.ndarray, lead_b: np.ndarray, key: int) -> bool:
@@ -253,7 +251,7 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, told = None, set()
+        rest, told = None, Lately()
         for batch in batches:
             rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             cell = rows["cell"].to_numpy()
@@ -264,7 +262,7 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         if rest is not None:
             yield from near(rest, told)
 
-    def near(rows: pa.Table, told: set) -> Iterator[pa.RecordBatch]:
+    def near(rows: pa.Table, told: Lately) -> Iterator[pa.RecordBatch]:
         if rows.num_rows < 2:
             return
         cell, two, at, key, node, comp, n = (rows[c].to_numpy() for c in ("cell", "two", "at", "key", "node", "comp", "n"))
@@ -291,13 +289,10 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
             a, b = a[pick], b[pick]
             here = np.array([told_here(lead[ends[x] : ends[x + 1]], lead[ends[y] : ends[y + 1]], key[x]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
             a, b = a[here], b[here]
-            found = np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1)
-            if len(told) > 1_000_000:
-                told.clear()
-            fresh = [p for p in map(tuple, found.tolist()) if p not in told]
-            told.update(fresh)
-            if fresh:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in fresh], pa.int64()), "b": pa.array([p[1] for p in fresh], pa.int64())})
+            low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+            new = told.fresh(low, high)
+            if new.any():
+                yield pa.RecordBatch.from_pydict({"a": low[new], "b": high[new]})
 
     return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(compare, "a long, b long").distinct()
 
@@ -336,7 +331,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     # Links between components of the first step count once, however many copies they join.
     side = lambda c: named.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
     joined = more.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    discard(stars, members)
     comps = components(edges.union(joined))
+    discard(edges, more)
 
     # Names to smallest doc_id, over the nodes and then over the rows.
     least = feats.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
