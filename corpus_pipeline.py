@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import decontam, mixing, ngramjoin, quality, sharding
-from corpusgraph.llm.common import stored
+from corpusgraph.llm.common import small_batches, stored
 
 #: The near-duplicate stage's shingle width and least similarity in percent.
 SHINGLE, SIMILAR = 5, 80
@@ -24,6 +24,7 @@ SHARDS = 16
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier accepts as good."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, quality.graded(labels))
     rated = quality.rate(docs, model)
@@ -32,16 +33,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of every group that similar shingles link."""
+    small_batches(spark)
     return ngramjoin.keep_one(docs, SHINGLE, SIMILAR)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item within its edit budget."""
+    small_batches(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the fitted rates say, once at least."""
+    small_batches(spark)
     labelled = mixing.domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return mixing.mix(docs, labelled, WEIGHTS, growth=GROWTH, low=1.0)
 
