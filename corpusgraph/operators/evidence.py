@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import strip
 from corpusgraph.operators.search import like_pattern
+from corpusgraph.session import cut_lineage, fits_broadcast
 
 
 def verification_status() -> Column:
@@ -174,21 +175,54 @@ def platform_stats(docs: DataFrame, nodes: DataFrame, points: DataFrame) -> Data
     )
 
 
+def exact_quantiles(rows: DataFrame, value: str, shares: list[float], most: int = 100_000, accuracy: int = 1000) -> list[float | None]:
+    """Interpolated quantiles of a double column, exact, without all values in one task; None without values.
+
+    A mergeable sketch bounds where a rank lies, to within a few thousandths of
+    the rows; these are counted and bounded again until they hold at most
+    ``most`` different values, whose counts decide.
+    """
+    base = rows.select(F.col(value).alias("v")).where(F.col(value).isNotNull())
+    n = base.count()
+    return [_quantile(base, n, share, most, accuracy) if n else None for share in shares]
+
+
+def _quantile(frame: DataFrame, n: int, share: float, most: int, accuracy: int) -> float:
+    place = (n - 1) * share
+    low = int(place)
+    high = min(low + 1, n - 1)
+    below, size = 0, n
+    while not fits_broadcast(frame.select("v").distinct(), most):
+        near = [max(0.0, (low - below) / size - 2 / accuracy), min(1.0, (high + 1 - below) / size + 2 / accuracy)]
+        a, b = frame.agg(F.percentile_approx("v", F.array(*map(F.lit, near)), accuracy).alias("q")).first().q
+        got = frame.agg(F.count_if(F.col("v") < a).alias("under"), F.count_if(F.col("v").between(a, b)).alias("inside")).first()
+        if not (below + got.under <= low and high < below + got.under + got.inside):
+            raise RuntimeError("the sketch missed its bound: raise ``accuracy``")
+        if got.inside == size:
+            raise RuntimeError(f"over {most} values lie within the sketch's bound: raise ``accuracy`` or ``most``")
+        frame, below, size = frame.where(F.col("v").between(a, b)), below + got.under, got.inside
+    ends = {}
+    for r in frame.groupBy("v").count().orderBy("v").collect():
+        for rank in (low, high):
+            if below <= rank < below + r["count"]:
+                ends[rank] = r.v
+        below += r["count"]
+    return ends[low] if low == high else (high - place) * ends[low] + (place - low) * ends[high]
+
+
 def outliers(rows: DataFrame, key: str, value: str, z: float = 3.0, fence: float = 1.5) -> DataFrame:
     """Rows outside z standard deviations or the interquartile fences.
 
-    Mean, deviation and quartiles are one aggregated row.
+    ``rows`` is read once; what follows reads its keys and values from a
+    checkpoint.
     """
-    v = F.col(value).cast("double")
-    stats = rows.agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    mean, sd = stats.select("mean").scalar(), stats.select("sd").scalar()
-    q1, q3 = stats.select(F.col("q")[0]).scalar(), stats.select(F.col("q")[1]).scalar()
-    margin = fence * (F.col("_q3") - F.col("_q1"))
-    scored = rows.select(key, F.col(value).alias(value), mean.alias("_mean"), sd.alias("_sd"), q1.alias("_q1"), q3.alias("_q3"))
-    score = F.round((v - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0)), 6)
-    out = scored.select(
-        key, value, score.alias("z_score"), ((v < F.col("_q1") - margin) | (v > F.col("_q3") + margin)).alias("outside_iqr")
-    )
+    kept = cut_lineage(rows.select(key, F.col(value).alias(value), F.col(value).cast("double").alias("_v")))
+    stats = kept.agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd")).first()
+    q1, q3 = exact_quantiles(kept, "_v", [0.25, 0.75])
+    v, mean, sd, q1, q3 = F.col("_v"), *(F.lit(x).cast("double") for x in (stats.mean, stats.sd, q1, q3))
+    margin = fence * (q3 - q1)
+    score = F.round((v - mean) / F.nullif(sd, F.lit(0.0)), 6)
+    out = kept.select(key, value, score.alias("z_score"), ((v < q1 - margin) | (v > q3 + margin)).alias("outside_iqr"))
     return out.where((F.abs("z_score") >= z) | F.col("outside_iqr"))
 
 
