@@ -189,11 +189,16 @@ def upsert_latest(path: str, key: str) -> Callable[[DataFrame, int], None]:
     return body
 
 
-def pipeline_batch(path: str, size: int = 6000, overlap: int = 500) -> Callable[[DataFrame, int], None]:
-    """Batch body: route the text, chunk what is complete, extract names, write all three."""
+def pipeline_batch(path: str, size: int = 6000, overlap: int = 500, label: str = "Person") -> Callable[[DataFrame, int], None]:
+    """Batch body: route the text, chunk what is complete, extract names and link them to their documents.
+
+    Routes, chunks, mentions and edges are one partition per batch, overwritten
+    when it is replayed; nodes are a keyed table, one row per label and name.
+    """
     from corpusgraph.functions.text import route_extraction
     from corpusgraph.operators.chunking import assign_point_ids, chunk_text
     from corpusgraph.operators.extraction import capitalized_runs
+    from corpusgraph.operators.graph import MENTIONED, node_id
 
     def body(batch: DataFrame, number: int) -> None:
         routed = batch.withColumn("route", route_extraction(F.col("text")))
@@ -205,6 +210,18 @@ def pipeline_batch(path: str, size: int = 6000, overlap: int = 500) -> Callable[
         }
         for name, rows in out.items():
             rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        found = batch.sparkSession.read.parquet(f"{path}/mentions/batch={number}")
+        document = F.col("doc_id").cast("string")
+        ends = found.select(
+            node_id(F.lit(label), F.col("name")).alias("src"), node_id(F.lit("Document"), document).alias("dst"),
+            F.lit(MENTIONED).alias("type"), F.col("mention_count").alias("count"), "name", document.alias("document"),
+        )
+        ends.select("src", "dst", "type", "count").write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
+        nodes = ends.select(F.inline(F.array(
+            F.struct(F.col("src").alias("id"), F.lit(label).alias("label"), "name"),
+            F.struct(F.col("dst").alias("id"), F.lit("Document").alias("label"), F.col("document").alias("name")),
+        ))).distinct()
+        KeyedTable(batch.sparkSession, f"{path}/nodes", "id").upsert(nodes, replace("id"), number)
 
     return body
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusgraph.session import scratch_path
+from corpusgraph.sources.keyed import KeyedTable
 from corpusgraph.streaming import flows
-from workload.registry import query, table
-from workload.text_queries import TRIM, chunk_sql
+from workload.registry import query, stored_once, table
+from workload.text_queries import RUNS_SQL, TRIM, chunk_sql
 
 
 def stream(spark, sf, name):
@@ -135,9 +136,10 @@ def latest_status(spark, sf):
 
 
 def _piped(spark, sf):
-    path = scratch_path(spark, "flow")
-    finish(flows.each_batch(stream(spark, sf, "documents"), path, flows.pipeline_batch(path)))
-    return path
+    def write(path):
+        finish(flows.each_batch(stream(spark, sf, "documents"), path, flows.pipeline_batch(path)))
+
+    return stored_once(spark, sf, "flow", write)
 
 
 @query(
@@ -154,3 +156,27 @@ def stream_routes(spark, sf):
 )
 def stream_chunks(spark, sf):
     return spark.read.parquet(f"{_piped(spark, sf)}/chunks").select("doc_id", "chunk_index", "start_char", "end_char")
+
+
+COMPLETED = f"SELECT doc_id FROM documents WHERE length({TRIM.format('text')}) >= 50"
+_ID = "CAST(('0x' || substr(md5({} || '|' || {}), 1, 15)) AS BIGINT)"
+
+
+@query("stream_mentions", f"WITH {RUNS_SQL} SELECT doc_id, name, mention_count FROM runs WHERE doc_id IN ({COMPLETED})")
+def stream_mentions(spark, sf):
+    return spark.read.parquet(f"{_piped(spark, sf)}/mentions").select("doc_id", "name", "mention_count")
+
+
+@query(
+    "stream_graph",
+    f"""WITH {RUNS_SQL}, kept AS (SELECT * FROM runs WHERE doc_id IN ({COMPLETED})), e AS (SELECT {_ID.format("'Person'", 'name')} AS src, {_ID.format("'Document'", 'doc_id')} AS dst, name, doc_id, mention_count FROM kept)
+ SELECT src AS id, 'Person' AS label, name, count(*) AS degree, CAST(sum(mention_count) AS BIGINT) AS mentions FROM e GROUP BY 1, 3
+ UNION ALL SELECT dst, 'Document', CAST(doc_id AS VARCHAR), count(*), CAST(sum(mention_count) AS BIGINT) FROM e GROUP BY 1, 3""",
+)
+def stream_graph(spark, sf):
+    """The nodes that the stream stored, with what its edges say of each."""
+    path = _piped(spark, sf)
+    found = spark.read.parquet(f"{path}/edges")
+    ends = found.select(F.explode(F.array("src", "dst")).alias("id"), "count")
+    told = ends.groupBy("id").agg(F.count("*").alias("degree"), F.sum("count").alias("mentions"))
+    return KeyedTable(spark, f"{path}/nodes").read().join(told, "id")
