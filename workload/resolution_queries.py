@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from corpusgraph.functions.names import TITLE_PATTERN
 from corpusgraph.functions.similarity import jaro_winkler
 from corpusgraph.operators import algorithms, extraction, graph, resolution
-from corpusgraph.session import cut_lineage
 from workload.graph_standins import CO_MENTIONED, GRAPH, edges, members, mentions, nodes
 from workload.registry import query, stored_once, table
 from workload.text_queries import RUNS_SQL
@@ -64,6 +63,14 @@ def block_keys(spark, sf):
     return keyed(spark, sf).select("id", "label", "name", "normalized", "block")
 
 
+@query(
+    "block_keys_sorted",
+    rf"""WITH {ENTS} SELECT id, label, name, trim(array_to_string(list_sort(string_split(normalized, ' ')), ' ')) AS normalized, '' AS block FROM norm""",
+)
+def block_keys_sorted(spark, sf):
+    return resolution.block_keys(entities(spark, sf), sorted_words=True).select("id", "label", "name", "normalized", "block")
+
+
 @query("score_pairs", f"WITH {ENTS} SELECT label, id_a, id_b, round(similarity, 6) AS similarity FROM scored")
 def score_pairs(spark, sf):
     return resolution.score_pairs(keyed(spark, sf)).withColumn("similarity", F.round("similarity", 6))
@@ -94,15 +101,18 @@ def merge_groups(spark, sf):
     return groups(spark, sf)
 
 
-def canonical(spark, sf, grouped=None):
-    e = entities(spark, sf)
-    grouped = groups(spark, sf) if grouped is None else grouped
+def known_groups(spark, sf):
+    """The groups that the reports below build on, merged once."""
+    return spark.read.parquet(stored_once(spark, sf, "groups", lambda path: groups(spark, sf).write.parquet(path)))
+
+
+def canonical(spark, sf):
+    e, grouped = entities(spark, sf), known_groups(spark, sf)
     return resolution.canonicalize(e.select("id", "name"), grouped, e.select("id", "connections"))
 
 
 def mapping(spark, sf):
-    grouped = cut_lineage(groups(spark, sf))
-    return resolution.canonical_map(grouped, canonical(spark, sf, grouped))
+    return resolution.canonical_map(known_groups(spark, sf), canonical(spark, sf))
 
 
 @query(
@@ -123,6 +133,21 @@ def rewrite_edges(spark, sf):
     return resolution.rewrite_edges(text_mentions(spark, sf), mapping(spark, sf)).select("src", "dst", "count")
 
 
+# Besides the mentions, every merged entity knows the smallest id of its label, which the simple rewrite drops.
+@query(
+    "rewrite_edges_simple",
+    f"""WITH RECURSIVE {GROUPS}, e AS (SELECT {ENTITY_ID} AS src, doc_id AS dst, 'MENTIONED_IN' AS type, mention_count AS n FROM runs
+  UNION ALL SELECT id, (SELECT min(id) FROM ent), 'CONNECTED_TO', 1 FROM ent WHERE id > (SELECT min(id) FROM ent))
+ SELECT coalesce(a.canonical_id, src) AS src, dst, type, max(n) AS count FROM e LEFT JOIN moved a ON a.id = src LEFT JOIN moved b ON b.id = dst
+ WHERE b.id IS NULL AND (a.id IS NULL OR type = 'MENTIONED_IN') AND coalesce(a.canonical_id, src) <> dst GROUP BY 1, 2, 3""",
+)
+def rewrite_edges_simple(spark, sf):
+    ids = entities(spark, sf).select("id")
+    low = ids.agg(F.min("id").alias("low")).scalar()
+    known = ids.where(F.col("id") > low).select(F.col("id").alias("src"), low.alias("dst"), F.lit("CONNECTED_TO").alias("type"), F.lit(1).cast("bigint").alias("count"))
+    return resolution.rewrite_edges(text_mentions(spark, sf).unionByName(known), mapping(spark, sf), simple=True)
+
+
 @query(
     "resolution_report",
     f"""WITH RECURSIVE {GROUPS} SELECT label, count(*) AS original, count(moved.id) AS merged, count(*) - count(moved.id) AS remaining,
