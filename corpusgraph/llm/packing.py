@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,6 +22,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +31,12 @@ from pyspark.sql.window import Window
 from corpusgraph.llm.common import rows_of, stored
 from corpusgraph.session import broadcast_if_small
 
-#: Words, and bytes of words, that a worker remembers before it starts anew.
-WORDS, WORD_BYTES = 500_000, 16_000_000
-#: Between an ASCII letter or digit and a mark that ends a word: tokens end there too.
-MARK = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,;:!?][ \n])")
+#: Words, and characters of words, that a worker remembers before it starts anew.
+WORDS, WORD_BYTES = 400_000, 16_000_000
+#: Bytes of text that are tokenized at a time.
+TEXT_BYTES = 4_000_000
+#: ASCII marks that end a word after a Latin letter or a digit are tokens of their own; an apostrophe may not be.
+MARKS, LATIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "\u0250"
 #: Classes of tail lengths in the linear program, and the share of its lower bound that it may miss.
 CLASSES, GAP = 128, 0.001
 RESULT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -45,7 +47,8 @@ class Words(dict):
 
     The tokenizers in use never let a token reach across ASCII white space, so
     a text's ids are its words' ids in a row; ``separable`` tells whether that
-    holds for the file at hand. Marks are taken off words, which makes them fewer.
+    holds for the file at hand. Words of many texts are told apart and their
+    ids laid out by array operations; Python meets each different word once.
     """
 
     loaded: dict[str, Words] = {}
@@ -60,6 +63,7 @@ class Words(dict):
         self.last = np.zeros(max(vocabulary.values(), default=-1) + 1 if mark else 0, bool)
         if mark:
             self.last[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+        self.added = tuple(t.content for t in self.encoder.get_added_tokens_decoder().values())
         self.apart = separable(self.encoder)
 
     @classmethod
@@ -70,47 +74,78 @@ class Words(dict):
             cls.loaded = {name: cls(spec)}
         return cls.loaded[name]
 
+    @staticmethod
+    def ends_a_token(base: str) -> bool:
+        last = base[-1]
+        # Lower-casing may leave a combining mark behind a letter, which a mark would join.
+        return last.lower().isalpha() and last < LATIN or last in "0123456789"
+
     def plain(self, text: str) -> bytes:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        """Remembers the ids of ``words``, told from one text where each is one token run that the file marks as ended."""
-        text = [w.decode("utf-8", "replace") for w in words]
-        whole = [i for i, t in enumerate(text) if t.isalpha()]
-        if whole and len(self.last):
-            ids = np.array(self.encoder.encode_batch_fast([" ".join([text[i] for i in whole])], add_special_tokens=False)[0].ids, "<u4")
-            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
-            if len(ends) == len(whole):  # a word of more runs would have ended more than once
-                self.cut([words[i] for i in whole], ids, ends)
-                words, text = ([x[i] for i, t in enumerate(text) if not t.isalpha()] for x in (words, text))
-        if not words:
-            return
-        told = self.encoder.encode(text, is_pretokenized=True, add_special_tokens=False)
-        if None in told.word_ids:
-            self.update(zip(words, map(self.plain, text)))
-            return
-        ends = 4 * np.cumsum(np.bincount(np.array(told.word_ids, np.int64), minlength=len(words)))
-        self.cut(words, np.array(told.ids, "<u4"), ends)
-
-    def cut(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
-        data, stop = ids.tobytes(), ends.tolist()
+    def learn(self, words: list[str]) -> None:
+        """Remembers the ids of ``words``; marks at a word's end are told apart, which makes the words fewer."""
+        marked = []
+        for w in words:
+            base = w.rstrip(MARKS)
+            if base and len(base) < len(w) and self.ends_a_token(base) and not any(t in w for t in self.added):
+                marked.append((w, base, w[len(base) :]))
+        new = set(words).difference(w for w, _, _ in marked)
+        new.update(x for _, *parts in marked for x in parts if x not in self)
+        letters = [w for w in new if w.isalpha()]
+        if letters and len(self.last):
+            # In one text, where a word of one run of letters ends with a token that says so.
+            ids = np.array(self.encoder.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(letters):  # a word of more runs would have ended more than once
+                self.cut(letters, ids, ends)
+                new.difference_update(letters)
+        if new:
+            rest = list(new)
+            told = self.encoder.encode(rest, is_pretokenized=True, add_special_tokens=False)
+            if None in told.word_ids:
+                self.update(zip(rest, map(self.plain, rest)))
+            else:
+                self.cut(rest, np.array(told.ids, "<u4"), np.cumsum(np.bincount(np.array(told.word_ids, np.int64), minlength=len(rest))))
+        self.update((w, self[base] + self[tail]) for w, base, tail in marked)
+
+    def cut(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        data, stop = ids.tobytes(), (4 * ends).tolist()
         self.update(zip(words, (data[a:b] for a, b in zip([0, *stop], stop))))
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: pa.Array) -> list[bytes]:
         """The ids of every text, four bytes each."""
         if not self.apart:
-            return [self.plain(t) for t in texts]
-        parts = [MARK.sub(b" ", t.encode("utf-8", "replace")).split() for t in texts]
-        every = set().union(*parts)
-        new = every.difference(self)
-        self.held += sum(map(len, new))
-        if len(self) + len(new) > WORDS or self.held > WORD_BYTES:
-            self.clear()
-            new = every
-            self.held = sum(map(len, new))
-        if new:
-            self.learn(list(new))
-        return [b"".join(map(self.__getitem__, p)) for p in parts]
+            return [self.plain(t) for t in texts.to_pylist()]
+        parts = pc.ascii_split_whitespace(texts)
+        every = parts.flatten().dictionary_encode()
+        words = every.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.get, words))
+        if None in found:
+            new = [w for w, v in zip(words, found) if v is None]
+            self.held += sum(map(len, new))
+            if len(self) > WORDS or self.held > WORD_BYTES:
+                self.clear()
+                new, self.held = words, sum(map(len, words))
+            self.learn(new)
+            found = list(map(self.__getitem__, words))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        known, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        at = every.indices.to_numpy()
+        ends = np.cumsum(size[at])
+        out = known[np.repeat(start[at] - (ends - size[at]), size[at]) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        stop = (4 * np.concatenate(([0], ends))[parts.offsets.to_numpy() - parts.offsets[0].as_py()]).tolist()
+        return [out[a:b] for a, b in zip(stop, stop[1:])]
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts in ``column`` have about ``most`` bytes together."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    place = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def separable(encoder) -> bool:
@@ -120,7 +155,7 @@ def separable(encoder) -> bool:
         apart = [i for w in words for i in encoder.encode(w, add_special_tokens=False).ids]
         if encoder.encode(blank + blank.join(words) + blank, add_special_tokens=False).ids != apart:
             return False
-    glued = [encoder.encode(t, add_special_tokens=False).ids for t in ("one, two. 3; 4: a! Б b?\n", "one , two . 3 ; 4 : a ! Б b ?\n")]
+    glued = [encoder.encode(t, add_special_tokens=False).ids for t in ("one, two*** 3; 4:- a! é. b?&%\n", "one , two *** 3 ; 4 :- a ! é . b ?&%\n")]
     return glued[0] == glued[1]
 
 
@@ -370,9 +405,9 @@ def tokenized(docs: DataFrame, spec: str, capacity: int, end: int, key: str, tex
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seen, wide = Words.of(held.value), TaskContext.get().partitionId(), Counter(), 4 * capacity
         for batch in batches:
-            for b in rows_of(batch, 64):
+            for b in by_bytes(batch, "text"):
                 rows, take = [], []
-                for i, ids in enumerate(words.ids([t or "" for t in b.column("text").to_pylist()])):
+                for i, ids in enumerate(words.ids(pc.fill_null(b.column("text"), ""))):
                     ids += last
                     tokens, fulls = len(ids) // 4, len(ids) // wide
                     if fulls:
