@@ -87,16 +87,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash; bounded, because a corpus has ever new words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -104,7 +94,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int, seen: WordHashes) -> np.ndarray:
+def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles.
 
     A-Z are lower-cased and words end at ``BLANK``. With fewer words than
@@ -114,7 +104,8 @@ def shingles(text: str | None, words: int, seen: WordHashes) -> np.ndarray:
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.empty(0, np.uint64)
-    h = np.array([seen[w] for w in parts], np.uint64)
+    # Hashing anew is cheaper than looking words up: a corpus has ever new ones.
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
     width = min(words, len(h))
     last = len(h) - width + 1
     out = np.full(last, width, np.uint64)

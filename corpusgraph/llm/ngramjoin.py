@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusgraph.llm.common import Lately, WordHashes, components, discard, mix, rows_of, shingles, stored
+from corpusgraph.llm.common import Lately, components, discard, mix, rows_of, shingles, stored
 from corpusgraph.session import broadcast_if_small
 
 #: Bits per shingle of the sketch that bounds a pair's symmetric difference from
@@ -112,12 +112,12 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, done = WordHashes(), Lately()
+        done = Lately()
         for whole in batches:
             for batch in rows_of(whole):
                 size, node, twin, bits, mini = [], [], [], [], []
                 for text in batch.column("text").to_pylist():
-                    found = shingles(text, words, seen)
+                    found = shingles(text, words)
                     size.append(len(found))
                     name, other = names_of(found)
                     node.append(name), twin.append(other)
@@ -143,12 +143,12 @@ def offers(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, done = WordHashes(), Lately()
+        done = Lately()
         for whole in batches:
             for batch in rows_of(whole):
                 node, keys = [], []
                 for text in batch.column("text").to_pylist():
-                    found = shingles(text, words, seen)
+                    found = shingles(text, words)
                     name, other = names_of(found)
                     if name is None or not met_first(done, name, other):
                         continue
@@ -208,14 +208,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, kept, kept_name = WordHashes(), None, None
+        kept, kept_name = None, None
         for whole in batches:
             for batch in rows_of(whole):
                 a, b, ok = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
                 for x, y, tx, ty in zip(a, b, batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
                     if kept_name != (x, tx):
-                        kept, kept_name = shingles(tx, words, seen), (x, tx)
-                    other = shingles(ty, words, seen)
+                        kept, kept_name = shingles(tx, words), (x, tx)
+                    other = shingles(ty, words)
                     both = len(np.intersect1d(kept, other, assume_unique=True))
                     ok.append(100 * both >= percent * (len(kept) + len(other) - both))
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "ok": pa.array(ok, pa.bool_())})
