@@ -19,7 +19,10 @@ from corpusgraph.sources.keyed import KeyedTable, replace
 
 
 def stream_ingest(spark: SparkSession, path: str, schema: StructType, glob: str = "*", files_per_batch: int = 10) -> DataFrame:
-    """A stream over the Parquet files of a folder, a bounded number per batch."""
+    """A stream over the Parquet files of a folder, a bounded number per batch.
+
+    ``path`` may hold wildcards, which match files and folders of part files alike; ``glob`` chooses among file names.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob)
     return reader.parquet(path)
 

@@ -84,3 +84,16 @@ def test_stall_alerts(spark, tmp_path):
     flows.to_table(flows.stall_alerts(stream, "doc", "ts", "kind", 30), str(tmp_path / "out")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out" / "rows")).select("doc", F.col("claimed_at").cast("string").alias("c")).collect()
     assert sorted((r.doc, r.c) for r in rows) == [(1, "2024-01-01 00:00:00"), (3, "2024-01-01 00:05:00")]
+
+
+def test_streams_read_a_table_in_one_file_or_many(spark, tmp_path):
+    from workload.streaming_queries import stream
+
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(7)], "doc_id bigint, text string")
+    (tmp_path / "one").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "one" / "documents.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    for folder in ("one", "many"):
+        out = str(tmp_path / f"out-{folder}")
+        flows.to_table(stream(spark, str(tmp_path / folder), "documents"), out).awaitTermination()
+        assert sorted(r.doc_id for r in spark.read.parquet(f"{out}/rows").collect()) == list(range(7))

@@ -12,7 +12,8 @@ from workload.text_queries import RUNS_SQL, TRIM, chunk_sql
 
 
 def stream(spark, sf, name):
-    return flows.stream_ingest(spark, sf, table(spark, sf, name).schema, f"{name}.parquet")
+    # A table is one file or a folder of part files; only a path with a wildcard may be either.
+    return flows.stream_ingest(spark, f"{sf}/{name}.parque[t]", table(spark, sf, name).schema)
 
 
 def finish(q):
