@@ -334,3 +334,26 @@ def test_two_ended_paths_match_one_ended_search(spark, tmp_path):
         assert [r.step for r in got] == list(range(len(got))) and all((r.type is None) == (r.step == 0) for r in got)
     plan = walks._around(walks.adjacency(None, str(tmp_path), spark), spark.createDataFrame([(50,)], "id bigint"))._jdf.queryExecution().toString()
     assert "(bucket#" in plan.split("PartitionFilters: ")[1].split("]")[0] and "EqualTo(node,50)" in plan
+
+
+@pytest.mark.parametrize("task_rows", [0, 30, 1000])
+def test_metrics_of_connected_parts(spark, task_rows):
+    """A small part, a larger one and a lone node: the same results whether parts go to tasks or not."""
+    rng = random.Random(5)
+    pairs = CLIQUES[:10] + sorted({tuple(sorted(rng.sample(range(20, 40), 2))) for _ in range(60)})
+    ids = [0, 1, 2, 3, 4, *range(20, 40), 99]
+    nodes, edges = node_table(spark, ids), edge_table(spark, pairs)
+    between = {r.id: r.betweenness for r in algorithms.betweenness(nodes, edges, task_rows=task_rows, deal=3).collect()}
+    assert between == pytest.approx(brute_betweenness(ids, pairs), abs=1e-9)
+    near = np.zeros((100, 100))
+    for a, b in pairs:
+        near[a, b] = near[b, a] = 1
+    rank = np.full(100, 0.15)
+    for _ in range(20):
+        rank = 0.15 + 0.85 * (near @ (rank / np.maximum(near.sum(axis=0), 1)))
+    ranks = {r.id: r.pagerank for r in algorithms.pagerank(nodes, edges, task_rows=task_rows).collect()}
+    assert ranks == pytest.approx({i: rank[i] for i in ids}, abs=1e-9)
+    found = {r.id: r.community for r in algorithms.communities(nodes, edges, task_rows=task_rows).collect()}
+    assert set(found) == set(ids) and {found[i] for i in range(5)} == {0} and found[99] == 99
+    alone = quality(pairs, {i: 20 if i in range(20, 40) else found[i] for i in ids})
+    assert quality(pairs, found) >= alone - 1e-9
