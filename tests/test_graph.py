@@ -357,3 +357,11 @@ def test_metrics_of_connected_parts(spark, task_rows):
     assert set(found) == set(ids) and {found[i] for i in range(5)} == {0} and found[99] == 99
     alone = quality(pairs, {i: 20 if i in range(20, 40) else found[i] for i in ids})
     assert quality(pairs, found) >= alone - 1e-9
+
+
+def test_pagerank_of_parts_takes_repeated_nodes_and_null_ends(spark):
+    edges = spark.createDataFrame([(0, 1, "R", 1), (1, 2, "R", 1), (2, None, "R", 1), (None, 1, "R", 1), (3, None, "R", 1), (4, 5, "R", 1)],
+                                  "src bigint, dst bigint, type string, count bigint")
+    nodes = spark.createDataFrame([(0,), (1,), (1,), (2,), (3,), (4,), (None,)], "id bigint")  # 5 is no node
+    by = [sorted((r.id if r.id is not None else -1, round(r.pagerank, 9)) for r in algorithms.pagerank(nodes, edges, iterations=3, task_rows=n).collect()) for n in (0, 100)]
+    assert by[0] == by[1] and len(by[0]) == 7
