@@ -249,6 +249,20 @@ def test_answers_of_any_depth_and_length(spark):
     assert parsed[2] == json.loads(answers[2])["people"]
 
 
+def test_an_answer_is_parsed_once(spark, capsys):
+    """No filter below the spreading of rows parses, too, and the parts of an answer share one parse."""
+    said = ['{"people": ["A"], "locations": ["B", 3]}', None, "none", 'x "people": ["Z"]', "", '{"a": 1}', 'see {"a": 1} {"people": ["Q"]}']
+    rows = spark.createDataFrame(list(enumerate(said)), "id int, raw string").repartition(3)
+    lists = extraction.entity_lists(rows, "id", "raw")
+    got = {r.id: (r.people, r.organizations, r.locations) for r in lists.collect()}
+    assert got == {0: (["A"], [], ["B"]), 3: (["Z"], [], []), 5: ([], [], []), 6: (["Q"], [], [])}
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    lists.select("id", *[F.array_join(k, "|").alias(k) for k in extraction.KINDS]).explain()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    plan = capsys.readouterr().out.lower()
+    assert plan.count("generate") == 1 and "filter (" not in plan and plan.count("parsejson") + plan.count("parse_json") == 1
+
+
 def test_query_terms():
     assert search.query_terms("The Long-term long Österreich") == ["long", "term", "österreich"]
 
