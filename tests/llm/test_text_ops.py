@@ -267,6 +267,19 @@ def test_near_copies_keep_their_articles(spark):
     assert out == {i: f"Same\nEdited {i}\nA rare quotation.\nA list" if i < 10 else f"Title {i - 10}\nOne text for all." for i in range(20)}
 
 
+def test_the_tree_judges_inside_an_article(spark):
+    page = "<body><article><h1>Story {i}</h1><div class=x1><p>Call us today</p></div><p>{text}</p></article><div class=x2>Out {i}</div></body>"
+    rows = [(i, "http://a.example/", page.format(i=i, text=f"word{i} " * 9)) for i in range(12)]
+    # Pages that share most of their characters are near copies and lose nothing.
+    rows += [(20 + i, "http://b.example/", page.format(i=i, text="Shared.")) for i in range(12)]
+    rows += [(40 + i, "http://c.example/", page.format(i=i, text=f"word{i} " * 9)) for i in range(html.LEAST_PAGES - 1)]
+    out = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert out[i] == f"Story {i}\n" + " ".join([f"word{i}"] * 9)
+        assert out[20 + i] == f"Story {i}\nCall us today\nShared."
+    assert out[40] == "Story 0\nCall us today\n" + " ".join(["word0"] * 9)
+
+
 def test_very_long_and_broken_pages(spark):
     long = "<div>" * 3000 + "<p>x</p>" * 20_000 + "<b" + "</div>" * 10
     rows = [(1, "http://a.example", long), (2, "http://a.example", "<p>a<!-- c --><p>b<![CDATA[x]]></p></p><table><tr><td>1<td>2</table>")]
