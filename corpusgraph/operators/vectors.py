@@ -13,6 +13,8 @@ from corpusgraph.functions.similarity import cosine_to
 
 # Scores are compared to so many places: beyond them the order of a sum shows.
 PLACES = 12
+#: Pairs of blocks that keep a cluster busy, points per slice of a block, and candidates per result that are scored one by one.
+PAIRS, SLICE, MANY = 64, 128, 64
 
 
 def filtered(points: DataFrame, people_count: int | None = None, **equals) -> DataFrame:
@@ -57,12 +59,16 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int = 10, exclude_self:
     Points and queries are cut into blocks of bounded size by hash; every pair
     of blocks is one matrix product that emits only the best ``k`` per query.
     Neither side is broadcast or collected.  ``queries`` is (query_id, embedding).
+    Query blocks grow from ``query_block`` to ``point_block`` with the tables,
+    once there are ``PAIRS`` pairs of blocks, so that rows are copied less often.
+    Single precision finds the few points that can be among the best of a
+    block; these are scored in double precision.
     """
     sizes = points.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     n_queries = queries.count()
     dim = sizes.d or 1
     p_blocks = max(1, math.ceil(sizes.n / point_block))
-    q_blocks = max(1, math.ceil(n_queries / query_block))
+    q_blocks = max(1, math.ceil(n_queries / max(point_block, query_block)), min(math.ceil(n_queries / query_block), math.ceil(PAIRS / p_blocks)))
     # Each side carries its own block and is repeated once per block of the other.
     left = points.select(
         F.pmod(F.xxhash64("point_id"), F.lit(p_blocks)).alias("pb"),
@@ -85,20 +91,48 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int = 10, exclude_self:
         if not len(pts) or not len(qs):
             return pd.DataFrame({"query_id": [], "point_id": [], "score": []})
         pts = pts.sort_values("point_id")
-        ids = pts["point_id"].to_numpy()
-        targets, asked = unit(pts["embedding"]), qs["query_id"].to_numpy()
-        out = []
-        for lo in range(0, len(qs), 256):
-            scores = np.round(unit(qs["embedding"].iloc[lo : lo + 256]) @ targets.T, PLACES)
-            if exclude_self:
-                scores[asked[lo : lo + 256, None] == ids[None, :]] = np.nan
+        targets, wanted = unit(pts["embedding"]), unit(qs["embedding"])
+        sound, asking = np.isfinite(targets).all(axis=1), np.isfinite(wanted).all(axis=1)
+        ids, targets = pts["point_id"].to_numpy()[sound], targets[sound]
+        asked, wanted = qs["query_id"].to_numpy()[asking], wanted[asking]
+        out = [pd.DataFrame({"query_id": [], "point_id": [], "score": []})]
+        if not len(ids):
+            return out[0]
+        rough_targets = targets.T.astype("float32")
+        for lo in range(0, len(asked), 256):
+            mine, units = asked[lo : lo + 256], wanted[lo : lo + 256]
+            rows, cols, scores = closest(mine, units, ids, targets, rough_targets)
+            out.append(pd.DataFrame({"query_id": mine[rows], "point_id": ids[cols], "score": scores}))
+        return pd.concat(out[1:] or out)
+
+    def closest(mine: np.ndarray, units: np.ndarray, ids: np.ndarray, targets: np.ndarray, rough_targets: np.ndarray):
+        """Rows, columns and scores of the best ``k`` points of each query, in order."""
+        rough = units.astype("float32") @ rough_targets
+        if exclude_self:
+            rough[mine[:, None] == ids[None, :]] = -np.inf
+        starts = np.arange(0, len(ids), SLICE)
+        least = np.full(len(mine), -np.inf, "float32")
+        if len(starts) >= k:
+            # The k-th best of the slices' bests is no better than the k-th best point.
+            least = np.partition(np.maximum.reduceat(rough, starts, axis=1), len(starts) - k, axis=1)[:, len(starts) - k]
+        # Each sum of products is off by less than half of this.
+        margin = np.float32((dim + 8) * 2.0**-22)
+        near = rough >= (least - margin)[:, None]
+        near &= rough > -np.inf
+        if np.count_nonzero(near) > MANY * len(mine) * max(k, 1):
+            # Copies: too many are as near to be gathered one by one.
+            scores = np.round(units @ targets.T, PLACES)
+            scores[rough == -np.inf] = np.nan
             order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
             picked = np.take_along_axis(scores, order, axis=1)
-            rows, cols = np.nonzero(np.isfinite(picked))
-            out.append(pd.DataFrame({
-                "query_id": asked[lo : lo + 256][rows], "point_id": ids[order[rows, cols]], "score": picked[rows, cols],
-            }))
-        return pd.concat(out)
+            rows, at = np.nonzero(np.isfinite(picked))
+            return rows, order[rows, at], picked[rows, at]
+        rows, cols = np.nonzero(near)
+        scores = np.round(np.einsum("ij,ij->i", units[rows], targets[cols]), PLACES)
+        order = np.lexsort((cols, -scores, rows))
+        rows, cols, scores = rows[order], cols[order], scores[order]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        return rows[first], cols[first], scores[first]
 
     found = left.groupBy("pb", "qb").cogroup(right.groupBy("pb", "qb")).applyInPandas(
         best, "query_id bigint, point_id bigint, score double"

@@ -286,6 +286,30 @@ def test_knn_batch(spark, point_block, query_block):
             assert [r.point_id for r in rows] == order
 
 
+@pytest.mark.parametrize("copies,k", [(1, 3), (900, 3), (1, 40)])
+def test_knn_batch_beyond_single_precision(spark, monkeypatch, copies, k):
+    """Points closer than a float tells apart, copies, zero and broken vectors, against brute force; rows are copied less often."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 5))
+    vecs = [v.tolist() for v in np.concatenate([base, base[:60] + 1e-7 * rng.normal(size=(60, 5)), np.repeat(base[:1], copies, axis=0)])]
+    vecs += [[0.0] * 5, [float("nan")] * 5, [1e300] * 5]
+    points = spark.createDataFrame(list(enumerate(vecs)), "point_id bigint, embedding array<double>")
+    queries = points.where("point_id < 60 OR point_id > 350").withColumnRenamed("point_id", "query_id")
+    with np.errstate(all="ignore"):
+        m = np.asarray(vecs)
+        unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+        sims = np.round(unit @ unit.T, vectors.PLACES)
+    monkeypatch.setattr(vectors, "PAIRS", 2)
+    got = {}
+    for r in vectors.knn_batch(points, queries, k, True, 400, 10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.point_id, r.score))
+    for q in (0, 7, 59, 351, 360, len(vecs) - 1):
+        want = sorted((-sims[q, i], i) for i in range(len(vecs)) if i != q and np.isfinite(sims[q, i]))[:k]
+        assert [p for _, p, _ in sorted(got[q])] == [i for _, i in want]
+        assert np.allclose([s for *_, s in sorted(got[q])], [-s for s, _ in want], atol=1e-11)
+    assert len(vecs) - 3 not in got and len(vecs) - 2 not in got
+
+
 @pytest.mark.parametrize("minimum", [1, 2, 3, 5])
 def test_frequent_pairs_match_brute_force(spark, minimum):
     """Two hot groups, repeated rows, ties at the cut, and pairs that do not count."""
