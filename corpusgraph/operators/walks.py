@@ -29,10 +29,11 @@ def write_adjacency(edges: DataFrame, path: str) -> None:
     """Store (node, other, type) of both directions of every edge, once per pair and type.
 
     Ranges over folder, node and neighbour: a node of many edges is several
-    tasks' work, and a task writes to few folders.
+    tasks' work, and a task writes to few folders.  Repeated rows meet there, so
+    dropping them needs no other shuffle.
     """
-    ways = both_ways(edges).select("node", "other", "type").distinct().withColumn("bucket", _bucket("node"))
-    placed = ways.repartitionByRange("bucket", "node", "other").sortWithinPartitions("bucket", "node", "other")
+    ways = both_ways(edges).select("node", "other", "type").withColumn("bucket", _bucket("node"))
+    placed = ways.repartitionByRange("bucket", "node", "other").distinct().sortWithinPartitions("bucket", "node", "other")
     placed.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 

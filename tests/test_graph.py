@@ -286,6 +286,20 @@ def test_knn_batch(spark, point_block, query_block):
             assert [r.point_id for r in rows] == order
 
 
+def test_tasks_of_the_graph_queries_stay_bounded(spark, capsys):
+    """However few partitions a session asks for, a shuffle has pieces enough for large tables."""
+    from workload import graph_queries
+
+    found = graph_queries.degree(spark, "/root/testdata/sf0.001")
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    found.explain()
+    spark.conf.set("spark.sql.shuffle.partitions", few)
+    plan = capsys.readouterr().out
+    assert ", 2)" not in plan and ", 1000), ENSURE_REQUIREMENTS" in plan
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
 @pytest.mark.parametrize("copies,k", [(1, 3), (900, 3), (1, 40)])
 def test_knn_batch_beyond_single_precision(spark, monkeypatch, copies, k):
     """Points closer than a float tells apart, copies, zero and broken vectors, against brute force; rows are copied less often."""
