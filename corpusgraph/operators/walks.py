@@ -3,7 +3,7 @@
 ``write_adjacency`` stores every node's neighbours once, in folders by a hash
 of the node and sorted by it there.  A hop from few nodes reads their folders'
 row groups alone; a hop from many is one join, whose frontier is broadcast only
-after its size was measured.  Every hop is checkpointed so that the plan stays
+after its size was measured.  Every hop is stored so that the plan stays
 short and a lost executor costs one hop.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.operators.graph import RELATION_TYPES, both_ways
-from corpusgraph.session import broadcast_if_small, cut_lineage, scratch_path
+from corpusgraph.session import broadcast_if_small, scratch_path, written
 
 
 def clamp_depth(depth, most: int = 4) -> int:
@@ -65,7 +65,7 @@ def _around(ways: DataFrame, frontier: DataFrame, types: list[str] | None = None
 def _next_level(ways: DataFrame, frontier: DataFrame, seen: DataFrame, step: int, types: list[str] | None = None) -> DataFrame:
     """(id, distance, parent) of the nodes one hop further; the parent is the smallest neighbour one hop closer."""
     reached = _around(ways, frontier, types).groupBy(F.col("other").alias("id")).agg(F.min("node").alias("parent"))
-    return cut_lineage(reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(step).alias("distance"), "parent"))
+    return written(reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(step).alias("distance"), "parent"))
 
 
 def hop_levels(edges: DataFrame | None, starts: DataFrame, depth: int, types: list[str] | None = None, stored: str | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def hop_levels(edges: DataFrame | None, starts: DataFrame, depth: int, types: li
     path of a stored adjacency of ``edges``, which are then not read.
     """
     ways = adjacency(edges, stored, starts.sparkSession)
-    frontier = cut_lineage(starts.select("id", F.lit(0).alias("distance"), F.lit(None).cast("bigint").alias("parent")))
+    frontier = written(starts.select("id", F.lit(0).alias("distance"), F.lit(None).cast("bigint").alias("parent")))
     seen = frontier
     for step in range(1, depth + 1):
         frontier = _next_level(ways, frontier, seen, step, types)
@@ -134,10 +134,10 @@ def shortest_path(edges: DataFrame | None, source: int, target: int, most: int =
         seen[id(side)] = seen[id(side)].unionByName(level)
         met = ahead[-1].join(back[-1].select("id"), "id", "left_semi")
     # On the far half, what lies on a shortest path is what the meeting nodes lead to, level by level.
-    on_path = [cut_lineage(met.select("id"))]
+    on_path = [written(met.select("id"))]
     for level in reversed(back[:-1]):
         near = _around(ways, on_path[-1], types).select(F.col("other").alias("id")).distinct()
-        on_path.append(cut_lineage(level.select("id").join(near, "id", "left_semi")))
+        on_path.append(written(level.select("id").join(near, "id", "left_semi")))
     # Back from the target: one lookup per step, at most ``most`` of them.
     chain = [target]
     for level in reversed(on_path[:-1]):
@@ -177,7 +177,7 @@ def paths(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, rel_ty
             )
         )
         order = [F.size("ids"), F.col("ids"), F.col("rel_types")]
-        frontier = cut_lineage(step.orderBy(*order).limit(limit - total))
+        frontier = written(step.orderBy(*order).limit(limit - total))
         found = frontier if found is None else found.unionByName(frontier)
         total += frontier.count()
         if total >= limit:

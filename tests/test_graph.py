@@ -300,6 +300,17 @@ def test_tasks_of_the_graph_queries_stay_bounded(spark, capsys):
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
 
 
+def test_tasks_that_compare_pairs_grow_in_number(spark, monkeypatch):
+    rows = [(g, m) for g in range(40) for m in range(g % 7, 30, 1 + g % 3)]
+    table = spark.createDataFrame(rows + rows[:9], "grp bigint, member bigint")
+    asked = []
+    monkeypatch.setattr(graph, "spread", lambda df, *keys, least=0: asked.append(least) or df.repartition(max(least, 2), *keys))
+    want = [tuple(r) for r in graph.frequent_pairs(table, 2, 9).collect()]
+    monkeypatch.setattr(graph, "PAIR_ROWS", 100)
+    assert [tuple(r) for r in graph.frequent_pairs(table, 2, 9).collect()] == want and len(want) == 9
+    assert asked == [1, 1, -(-len(rows) // 100), -(-len(rows) // 100)]
+
+
 @pytest.mark.parametrize("copies,k", [(1, 3), (900, 3), (1, 40)])
 def test_knn_batch_beyond_single_precision(spark, monkeypatch, copies, k):
     """Points closer than a float tells apart, copies, zero and broken vectors, against brute force; rows are copied less often."""
