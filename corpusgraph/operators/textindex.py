@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusgraph.functions.binding import let
 from corpusgraph.operators.search import like_pattern, query_terms, snippet, token_index
 from corpusgraph.session import broadcast_if_small
 
@@ -124,13 +123,8 @@ def fulltext(docs: DataFrame, path: str, query: str, limit: int = 25, offset: in
 
 def trigrams(text: Column) -> Column:
     """The distinct runs of three characters of a text, lower-cased."""
-
-    def runs(chars: Column) -> Column:
-        last = F.size(chars) - 2
-        grams = F.transform(F.slice(chars, 1, F.greatest(last, F.lit(0))), lambda c, i: F.concat(c, F.get(chars, i + 1), F.get(chars, i + 2)))
-        return F.array_distinct(grams)
-
-    return let(F.split(F.lower(text), ""), runs)
+    # Matches of no width overlap; none begins with the second half of a character beyond the basic plane.
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=([^\x{DC00}-\x{DFFF}]..))"), F.lit(1)))
 
 
 def _grams(text: str) -> list[str]:

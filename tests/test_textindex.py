@@ -70,3 +70,13 @@ def test_empty_tables(spark, docs, tmp_path):
     textindex.write_trigram_index(none, "doc_id", "text", str(tmp_path / "g"))
     assert textindex.ranked(spark, str(tmp_path / "w"), "red").count() == 0
     assert textindex.containing(none, str(tmp_path / "g"), "red").count() == 0
+
+
+def test_trigrams_are_code_points_and_need_no_loop(spark, capsys):
+    """Against brute force, with line ends, combining marks and characters beyond the basic plane; one pattern finds them."""
+    texts = ["", "ab", "abc", "aBcabC", "a\nb\r\nc\u2028d", "x\U0001f600y\U0001f600\U0001f601z", "\U0001f600\U0001f601", "e\u0301e\u0301 é", "aaaa", "\x00\x02\x02t", "日本語日本語", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", textindex.trigrams(F.col("text")).alias("g"))
+    want = [t if t is None else list(dict.fromkeys(t.lower()[i : i + 3] for i in range(len(t.lower()) - 2))) for t in texts]
+    assert [r.g for r in rows.orderBy("id").collect()] == want
+    rows.explain()
+    assert "lambda" not in capsys.readouterr().out
