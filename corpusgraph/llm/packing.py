@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,6 +38,11 @@ WORDS, WORD_BYTES = 400_000, 16_000_000
 TEXT_BYTES = 4_000_000
 #: ASCII marks that end a word after a Latin letter or a digit are tokens of their own; an apostrophe may not be.
 MARKS, LATIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "\u0250"
+#: Bytes of a text: ASCII white space, marks, letters and digits, all others.
+BLANK, MARK, ENDS, OTHER = range(4)
+KINDS = np.full(256, OTHER, np.uint8)
+for kind, characters in ((BLANK, " \t\n\x0b\x0c\r"), (MARK, MARKS), (ENDS, string.ascii_letters + string.digits)):
+    KINDS[list(characters.encode())] = kind
 #: Classes of tail lengths in the linear program, and the share of its lower bound that it may miss.
 CLASSES, GAP = 128, 0.001
 RESULT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -113,11 +119,37 @@ class Words(dict):
         data, stop = ids.tobytes(), (4 * ends).tolist()
         self.update(zip(words, (data[a:b] for a, b in zip([0, *stop], stop))))
 
+    def unmarked(self, texts: pa.Array) -> pa.Array:
+        """``texts`` with a blank before the marks that end a word after an ASCII letter or digit, as ``learn`` tells them apart.
+
+        Then words with and without a mark are one word to look up. Texts stay as they are if an added token is among them.
+        """
+        texts = texts.cast(pa.large_string())
+        _, starts, data = texts.buffers()
+        offsets = np.frombuffer(starts, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or offsets[0] == offsets[-1]:
+            return texts
+        data = data[int(offsets[0]) : int(offsets[-1])]
+        offsets = offsets - offsets[0]
+        if any(t.encode() in data.to_pybytes() for t in self.added):
+            return texts
+        kind = KINDS[np.frombuffer(data, np.uint8)]
+        before, after = np.empty_like(kind), np.empty_like(kind)
+        before[0], before[1:], after[-1], after[:-1] = BLANK, kind[:-1], BLANK, kind[1:]
+        edges = offsets[(offsets > 0) & (offsets < len(kind))]  # a text's edge is a blank to its neighbour
+        before[edges], after[edges - 1] = BLANK, BLANK
+        mark = kind == MARK
+        # Runs of marks: where they begin and how they end.
+        first, last = np.flatnonzero(mark & (before != MARK)), np.flatnonzero(mark & (after != MARK))
+        cut = first[(before[first] == ENDS) & (after[last] == BLANK)]
+        out = np.insert(np.frombuffer(data, np.uint8), cut, 32)
+        return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets + np.searchsorted(cut, offsets)), pa.py_buffer(out))
+
     def ids(self, texts: pa.Array) -> list[bytes]:
         """The ids of every text, four bytes each."""
         if not self.apart:
             return [self.plain(t) for t in texts.to_pylist()]
-        parts = pc.ascii_split_whitespace(texts)
+        parts = pc.ascii_split_whitespace(self.unmarked(texts))
         every = parts.flatten().dictionary_encode()
         words = every.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.get, words))
@@ -125,8 +157,10 @@ class Words(dict):
             new = [w for w, v in zip(words, found) if v is None]
             self.held += sum(map(len, new))
             if len(self) > WORDS or self.held > WORD_BYTES:
+                again = {w: v for w, v in zip(words, found) if v is not None}
                 self.clear()
-                new, self.held = words, sum(map(len, words))
+                self.update(again)  # no word is learnt twice for the same texts
+                self.held = sum(map(len, words))
             self.learn(new)
             found = list(map(self.__getitem__, words))
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4

@@ -240,6 +240,26 @@ def pieces_are_whole(rows, got, capacity):
     assert len(by_sequence) <= total // capacity + capacity.bit_length()
 
 
+def test_marks_at_the_end_of_words_take_no_place(monkeypatch):
+    """Words are remembered without the marks behind them, and those of the texts at hand are not learnt twice."""
+    words, plain = packing.Words(open(TOKENIZER).read()), Tokenizer.from_file(TOKENIZER)
+    ids = lambda texts: [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    texts = ["one, One. one!?", "", "one...", ".two", "one.\n(two) it's, 3;", "été, x\u0301. <b>", "a\x1c. b.\u00a0c", ".", "", ":"]
+    assert words.ids(pa.array(["one, two. one two!? three"]).slice(0)) == ids(["one, two. one two!? three"])
+    assert set(words) == {"one", "two", "three", ",", ".", "!?"}
+    for array in (pa.array(texts), pa.array(["out."] + texts + ["out"]).slice(1, len(texts)), pa.array(texts, pa.large_string())):
+        assert words.ids(array) == ids(texts)
+    assert words.ids(pa.array(["", ""])) == [b"", b""] and words.ids(pa.array([], pa.string())) == []
+    added = ["a<|endoftext|>.", "b, <|startoftext|>", "c."]
+    assert words.ids(pa.array(added)) == ids(added)
+    learnt = []
+    learn = words.learn
+    monkeypatch.setattr(words, "learn", lambda new: (learnt.extend(new), learn(new)), raising=False)
+    monkeypatch.setattr(packing, "WORDS", 1)
+    assert words.ids(pa.array(["one two four"])) == ids(["one two four"])
+    assert learnt == ["four"] and set(words) == {"one", "two", "four"}
+
+
 def test_packed_documents_are_whole(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
