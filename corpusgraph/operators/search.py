@@ -20,12 +20,15 @@ STOP_WORDS = (
     "she that the their they this to was we were which will with you"
 ).split()
 
+#: What stands between two words.
+WORD_ENDS = r"[^\p{L}\p{N}]+"
+
 MARK, UNMARK = "<mark>", "</mark>"
 
 
 def tokenize(text: Column, stop: bool = True) -> Column:
     """Lower-case runs of letters and digits, in order."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    words = F.split(F.lower(text), WORD_ENDS)
     skip = [""] + (STOP_WORDS if stop else [])
     return F.filter(words, lambda w: ~w.isin(skip))
 

@@ -12,13 +12,17 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusgraph.operators.search import like_pattern, query_terms, snippet, token_index
-from corpusgraph.session import broadcast_if_small
+from corpusgraph.operators.search import STOP_WORDS, WORD_ENDS, like_pattern, query_terms, snippet
+from corpusgraph.session import broadcast_if_small, spread
 
 #: Documents per segment, and segments that a ranked search scores before it knows a threshold.
 SEGMENT, SEEDS = 4096, 8
@@ -27,6 +31,8 @@ LISTED = 1000
 #: Stands before the first character of an anchored text.
 START = "\x02"
 BUCKETS = 256
+#: Documents whose blocks in a folder are one task's work.
+PIECE = 100_000
 
 
 def _segment(doc: Column, segments: int) -> Column:
@@ -36,8 +42,11 @@ def _segment(doc: Column, segments: int) -> Column:
 def _write(rows: DataFrame, key: str, path: str, documents: int, segments: int, blocks: DataFrame) -> None:
     spark = rows.sparkSession
     placed = blocks.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-    # Ranges over bucket, word and segment: a frequent word is several tasks' work, a task writes to few folders.
-    sorted_blocks = placed.repartitionByRange("bucket", key, "segment").sortWithinPartitions("bucket", key, "segment")
+    # Ranges of words would compute the blocks twice, once for a sample. A folder's blocks are dealt by segment instead,
+    # in pieces of so many documents: a frequent word is several tasks' work, a task writes to few folders.
+    pieces = max(1, math.ceil(documents / PIECE))
+    dealt = spread(placed.withColumn("piece", F.pmod("segment", F.lit(pieces))), "bucket", "piece", least=BUCKETS // 4 * pieces)
+    sorted_blocks = dealt.drop("piece").sortWithinPartitions("bucket", key, "segment")
     sorted_blocks.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/blocks")
     spark.createDataFrame([(documents, segments, placed.schema.json())], "documents long, segments int, columns string").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
@@ -56,13 +65,47 @@ def write_block_index(docs: DataFrame, path: str, segment: int = SEGMENT) -> Non
     """Store the word index of ``docs`` (doc_id, text): blocks (token, segment, n, max_tf, docs, tfs)."""
     documents = docs.count()
     segments = max(1, math.ceil(documents / segment))
-    entry = F.struct("doc_id", F.col("tf").cast("int").alias("tf"))
-    blocks = token_index(docs).groupBy("token", _segment(F.col("doc_id"), segments).alias("segment")).agg(
-        F.count("*").alias("n"), F.max("tf").cast("int").alias("max_tf"), F.array_sort(F.collect_list(entry)).alias("entries")
-    ).select("token", "segment", "n", "max_tf", F.col("entries.doc_id").alias("docs"), F.col("entries.tf").alias("tfs"))
+    kind = dict(docs.select("doc_id").dtypes)["doc_id"]
+    # Texts are shuffled in place of their words: a segment's words are counted and gathered where its texts lie.
+    placed = docs.where(F.col("text").isNotNull()).select("doc_id", F.split(F.lower("text"), WORD_ENDS).alias("words"), _segment(F.col("doc_id"), segments).alias("segment"))
+    blocks = spread(placed, "segment", least=documents // SEGMENT).groupBy("segment").applyInArrow(gathered, f"token string, segment int, n long, max_tf int, docs array<{kind}>, tfs array<int>")
     _write(docs, "token", path, documents, segments, blocks)
 
 
+def counted(rows: pa.RecordBatch) -> pa.Table:
+    """(token, doc_id, tf) of rows (doc_id, words), each pair once; stop words and empty ones are left out."""
+    words = rows.column("words")
+    every = words.flatten().dictionary_encode()
+    ids = rows.column("doc_id").dictionary_encode("encode")  # null and repeated ids are ids, too
+    kept = pc.invert(pc.is_in(every.dictionary, pa.array(["", *STOP_WORDS], every.dictionary.type))).to_numpy(zero_copy_only=False)
+    token, doc = every.indices.to_numpy(), ids.indices.to_numpy()[words.value_parent_indices().to_numpy()]
+    here = kept[token]
+    pairs, tf = np.unique(token[here].astype(np.int64) * len(ids.dictionary) + doc[here], return_counts=True)
+    token, doc = np.divmod(pairs, max(1, len(ids.dictionary)))
+    return pa.table({"token": every.dictionary.take(pa.array(token)), "doc_id": ids.dictionary.take(pa.array(doc)), "tf": tf})
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of one segment (token, segment, n, max_tf, docs, tfs) from its rows (doc_id, words, segment)."""
+    found, segment = None, None
+    for rows in batches:
+        part, segment = counted(rows), rows.column("segment")[:1]
+        if found is not None:  # of a batch there stays no more than its counts
+            part = pa.concat_tables([found, part]).group_by(["token", "doc_id"]).aggregate([("tf", "sum")]).rename_columns({"tf_sum": "tf"})
+        found = part
+    if found is None or not found.num_rows:
+        return
+    found = found.sort_by([("token", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    token, doc, tf = (found.column(c).combine_chunks() for c in ("token", "doc_id", "tf"))
+    same = token.dictionary_encode().indices.to_numpy()
+    first = np.concatenate(([0], np.flatnonzero(np.diff(same)) + 1))
+    stop = np.append(first, len(same))
+    counts = tf.to_numpy().astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(stop, pa.int32()), values) for values in (doc, pa.array(counts))]
+    columns = [token.take(pa.array(first)), segment.take(pa.array(np.zeros(len(first), np.int64))), pa.array(np.diff(stop)), pa.array(np.maximum.reduceat(counts, first)), *lists]
+    yield pa.RecordBatch.from_arrays(columns, names=["token", "segment", "n", "max_tf", "docs", "tfs"])
+
+
 def ranked(spark: SparkSession, path: str, query: str, limit: int = 25, offset: int = 0) -> DataFrame:
     """(doc_id, score) of a page of the documents that hold all terms, as ``search.rank_documents`` scores them.
 
@@ -141,7 +184,7 @@ def write_trigram_index(rows: DataFrame, key: str, text: str, path: str, anchore
     segments = max(1, math.ceil(count / segment))
     shown = F.concat(F.lit(START * 2), F.col(text)) if anchored else F.col(text)
     held = rows.select(F.col(key).alias("doc_id"), F.explode(trigrams(shown)).alias("gram"))
-    blocks = held.groupBy("gram", _segment(F.col("doc_id"), segments).alias("segment")).agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
+    blocks = held.groupBy("gram", _segment(F.col("doc_id"), segments).alias("segment")).agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
     _write(rows, "gram", path, count, segments, blocks.select("gram", "segment", F.size("docs").cast("long").alias("n"), "docs"))
 
 

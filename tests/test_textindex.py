@@ -80,3 +80,34 @@ def test_trigrams_are_code_points_and_need_no_loop(spark, capsys):
     assert [r.g for r in rows.orderBy("id").collect()] == want
     rows.explain()
     assert "lambda" not in capsys.readouterr().out
+
+
+def test_blocks_are_gathered_where_their_texts_lie(spark, tmp_path, monkeypatch):
+    """Against brute force, with null and repeated ids and segments of several batches; no shuffle of words, no sample."""
+    texts = ["Red, red blue", None, "", "the IS", "ÄÖ äö 12-ab", "red"] * 7
+    rows = [(None if i % 5 == 4 else i % 9, t) for i, t in enumerate(texts)]
+    want = {}
+    for doc, text in rows:
+        for w in (text or "").lower().replace(",", " ").replace("-", " ").split():
+            if w not in search.STOP_WORDS:
+                want.setdefault(w, {}).setdefault(doc, 0)
+                want[w][doc] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, write = [], textindex._write
+    monkeypatch.setattr(textindex, "_write", lambda *a: (plans.append(a[-1]._jdf.queryExecution().executedPlan().toString()), write(*a)))
+    monkeypatch.setattr(type(docs), "repartitionByRange", None)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in ("10000", "2"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            path = str(tmp_path / most)
+            textindex.write_block_index(docs, path, segment=20)
+            got, parts = {}, []
+            for r in spark.read.parquet(f"{path}/blocks").collect():
+                assert r.n == len(r.docs) == len(r.tfs) and r.max_tf == max(r.tfs)
+                got.setdefault(r.token, {}).update(zip(r.docs, r.tfs))
+                parts.append((r.token, r.segment))
+            assert got == want and len(parts) == len(set(parts)) and len({s for _, s in parts}) > 1
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [p.count("Exchange") for p in plans] == [1, 1]
