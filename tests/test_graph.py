@@ -311,6 +311,31 @@ def test_tasks_that_compare_pairs_grow_in_number(spark, monkeypatch):
     assert asked == [1, 1, -(-len(rows) // 100), -(-len(rows) // 100)]
 
 
+@pytest.mark.parametrize("name", [
+    "entity_network",
+])
+def test_a_query_bounds_its_own_tasks(spark, sf, capsys, name):
+    """A session of large scans and two pieces a shuffle does not decide what a task of the query holds."""
+    import re
+
+    import workload.everything  # noqa: F401  (fills the registry)
+    from corpusgraph.session import BOUNDED
+    from workload.registry import QUERIES
+
+    loose = dict(zip(BOUNDED, ("1g", "1g", "2"), strict=True)) | {"spark.sql.shuffle.partitions": "2"}
+    kept = {key: spark.conf.get(key) for key in loose}
+    try:
+        for key, value in loose.items():
+            spark.conf.set(key, value)
+        QUERIES[name](spark, sf).explain()
+        found = {key: spark.conf.get(key) for key in BOUNDED}
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    pieces = re.findall(r"hashpartitioning\(.*, (\d+)\), ENSURE_REQUIREMENTS", capsys.readouterr().out)
+    assert found == BOUNDED and set(pieces) == {"1000"}
+
+
 @pytest.mark.parametrize("copies,k", [(1, 3), (900, 3), (1, 40)])
 def test_knn_batch_beyond_single_precision(spark, monkeypatch, copies, k):
     """Points closer than a float tells apart, copies, zero and broken vectors, against brute force; rows are copied less often."""
