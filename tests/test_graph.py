@@ -312,7 +312,7 @@ def test_tasks_that_compare_pairs_grow_in_number(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("name", [
-    "entity_network", "hubs", "shared_connections", "co_occurring", "co_occurring_samples", "degree", "list_entities", "person_profile",
+    "entity_network", "hubs", "shared_connections", "co_occurring", "co_occurring_samples", "degree", "list_entities", "person_profile", "find_entities",
 ])
 def test_a_query_bounds_its_own_tasks(spark, sf, capsys, name):
     """A session of large scans and two pieces a shuffle does not decide what a task of the query holds."""
