@@ -34,3 +34,38 @@ def test_forms_of_every_block_meet_once(spark):
         got = [(r.a, r.b) for r in rows.collect()]
         assert len(got) == len(set(got))
         assert {p for p in got if jaro_winkler_score(*p) >= 0.85} == {p for p in itertools.combinations(names, 2) if jaro_winkler_score(*p) >= 0.85}
+
+
+def test_links_write_no_pair_that_cannot_link(spark, monkeypatch):
+    """Ambiguous pairs without a common document are dropped where they are found; the others and the sure ones stay."""
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choice("abcd") for _ in range(7)) for _ in range(150)} | {"christopher nolan", "christoper nolan"})
+    entities = [(i, "Person", "", n) for i, n in enumerate(names)]
+    docs = {i: {rng.randrange(40)} for i in range(len(names))} | {i: {100 + i} for i in range(0, len(names), 2)}
+    keyed = spark.createDataFrame(entities + [(5000, "Person", "", names[0])], "id bigint, label string, block string, normalized string")
+    mentions = spark.createDataFrame([(i, d) for i, ds in docs.items() for d in ds] + [(5000, 7), (7, None), (9, None)], "src bigint, dst bigint")
+    docs[5000] = {7}
+    named = {i: n for i, _, _, n in entities} | {5000: names[0]}
+    scores = {p: jaro_winkler_score(*sorted((named[p[0]], named[p[1]]))) for p in itertools.combinations(sorted(named), 2)}
+    sure = {tuple(sorted((named[a], named[b]))) for (a, b), s in scores.items() if 0.95 <= s < 1}
+    backed = {(a, b) for (a, b), s in scores.items() if 0.85 <= s < 0.95 and docs[a] & docs[b]}
+    band = sum(0.85 <= s < 0.95 for s in scores.values())
+    written, kept = resolution.written, []
+    monkeypatch.setattr(resolution, "written", lambda df: kept.append(written(df)) or kept[-1])
+    links = {tuple(sorted((r.src, r.dst))) for r in resolution.match_links(keyed, mentions).collect()}
+    pairs = [df for df in kept if "similarity" in df.columns]
+    assert len(pairs) == 1 and backed and sure
+    assert links == {(0, 5000)} | backed | {tuple(sorted((names.index(a), names.index(b)))) for a, b in sure}
+    assert pairs[0].count() < band / 4 and {(r.a, r.b) for r in pairs[0].collect()} >= sure
+
+
+def test_components_leave_two_tables(spark, tmp_path, monkeypatch):
+    """Tables of former rounds are gone; what the result reads stays."""
+    from corpusgraph import session
+    from corpusgraph.operators import algorithms
+
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "src bigint, dst bigint")
+    found = algorithms.connected_components(spark.range(62), edges)
+    assert len([p for p in tmp_path.iterdir() if any(p.glob("*.parquet"))]) == 2
+    assert {r.id: r.component for r in found.collect()} == {i: 0 if i < 61 else 61 for i in range(62)}
