@@ -278,3 +278,23 @@ def test_stored_index_gives_the_same_ranking(spark, tmp_path):
         assert direct == [tuple(r) for r in search.fulltext(docs, query, index=index).select("doc_id", "score").collect()]
     with pytest.raises(ValueError):
         search.fulltext(docs, "the of")
+
+
+def test_sources_side_by_side_match_single_ones():
+    """Packed pieces of a graph with hubs, and a path too long for tables of levels, against one source at a time."""
+    import numpy as np
+
+    from corpusgraph.functions import brandes
+
+    rng = np.random.default_rng(6)
+    ends = np.concatenate([rng.integers(0, 300, (900, 2)), [(0, i) for i in range(1, 300)]])
+    for ends in (ends, np.array([(i, i + 1) for i in range(40)])):
+        pairs = np.unique([(a, b) for x, y in ends for a, b in ((x, y), (y, x)) if a != b], axis=0)
+        whole = brandes.Graph.of(*pairs.T)
+        n = len(whole.ids)
+        sizes, near = np.bincount(pairs[:, 0], minlength=n).astype("<i4"), pairs[:, 1].astype("<i4")
+        cut = sizes[: n // 3].sum()
+        packed = brandes.Graph.packed([sizes[: n // 3].tobytes(), sizes[n // 3 :].tobytes()], [near[:cut].tobytes(), near[cut:].tobytes()])
+        sources = np.arange(0, n, 3)
+        want = sum(whole.dependencies(i) for i in sources)
+        assert want.max() > 1 and np.allclose(packed.summed(sources), want, atol=1e-9)
